@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kohorte.functions import gates
 from kohorte.functions.columns import count_if, customer_segment, day, email_domain, keyword_class, month_start, sum_if
 from kohorte.operators.counters import dedup_latest_txn
-from kohorte.operators.shared import is_charge, is_refund, subscription_prices
+from kohorte.operators.shared import is_charge, is_refund, with_plan_price
 from kohorte.params import Params
 from kohorte.sources.catalog import Tables
 
@@ -38,10 +38,9 @@ def _subscribers(t: Tables, p: Params, after) -> DataFrame:
     left = F.col("unsubscribed_date").isNotNull() | (F.col("subscription_status") == "Unsuscribed")
     owners = gates.external_customers(t["customers"], p.internal_mail).select(
         F.col("id").alias("customer_id_np"), "email", F.col("ip_country").alias("customer_country"))
-    return (
-        subs.select(F.col("id").alias("subscription_id"), "customer_id_np", "product_id",
-                    F.when(left, "churned").otherwise("active").alias("status"))
-        .join(owners, "customer_id_np").join(subscription_prices(t), "subscription_id"))
+    subs = subs.select(F.col("id").alias("subscription_id"), "customer_id_np", "product_id", "subscription_type_id",
+                       F.when(left, "churned").otherwise("active").alias("status"))
+    return with_plan_price(subs, t).join(owners, "customer_id_np")
 
 
 def _measures() -> list[Column]:

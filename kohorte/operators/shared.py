@@ -87,12 +87,15 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def subscription_prices(t: Tables) -> DataFrame:
-    """Subscription -> price of its plan. Subscriptions without a plan keep NULL prices."""
+def with_plan_price(subs: DataFrame, t: Tables) -> DataFrame:
+    """Adds the prices of the plan to rows with a ``subscription_type_id``; NULL where there is no plan."""
     plans = t["subscription_types"].select(F.col("id").alias("subscription_type_id"), F.col("price_id"))
     prices = t["prices"].select(F.col("id").alias("price_id"), F.col("amount").alias("price_amount"),
                                 F.col("amount_trial").alias("price_trial"), F.col("currency").alias("price_currency"))
-    return (
-        t["subscriptions"].select(F.col("id").alias("subscription_id"), "subscription_type_id")
-        .join(plans, "subscription_type_id", "left").join(prices, "price_id", "left")
-        .select("subscription_id", "price_amount", "price_trial", "price_currency"))
+    return subs.join(plans, "subscription_type_id", "left").join(prices, "price_id", "left").drop(
+        "price_id", "subscription_type_id")
+
+
+def subscription_prices(t: Tables) -> DataFrame:
+    """Subscription -> price of its plan."""
+    return with_plan_price(t["subscriptions"].select(F.col("id").alias("subscription_id"), "subscription_type_id"), t)

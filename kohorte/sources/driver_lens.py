@@ -1,7 +1,7 @@
 """The driver's star-schema tables seen as the logical subscription tables.
 
-Each logical table is a lazy projection of the parquet files. Customers hold up to five
-subscriptions (one per order priority); an order is a charge, a returned first line a refund.
+Each logical table is a lazy projection of the parquet files, written as SQL expressions. Customers hold up
+to five subscriptions (one per order priority); an order is a charge, a returned first line a refund.
 Set-valued derivations are written so that one customer with a large share of the orders does
 not end up in one task: the first charge of a subscription is found by a rank filter (limited
 on the map side) and joined back by order key, and counters are plain aggregates.
@@ -9,278 +9,238 @@ on the map side) and joined back by order key, and counters are plain aggregates
 
 from __future__ import annotations
 
-from datetime import date
-from decimal import Decimal
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from kohorte.functions.columns import lookup
 from kohorte.sources.catalog import Tables
 
-NATION_CODES = {0: "US", 1: "AU", 2: "CA", 3: "BR", 4: "GB", 5: "FR", 6: "ES", 7: "DE", 8: "IT"}
+# Declared, so that opening a table starts no schema-reading job.
+DRIVER_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+NATION_CODES = ["US", "AU", "CA", "BR", "GB", "FR", "ES", "DE", "IT"]
 CURRENCIES = ["EUR", "USD", "GBP", "CAD", "AUD"]
 PRICES = ["29.95", "39.95", "49.95"]
-TRIAL_PRICE = "0.95"
 FILE_FORMATS = ["pdf", "PDF", "docx", "DOCX", "csv", "CSV", "jpg", "JPEG", "png", "ppt", "xlsx", "XLS"]
-PROJECTS = ["editor", "web", "mobile"]
-EVENT_NAMES = {
-    "view": "landing_page_viewed", "click": "upload_document", "signup": "sign_up",
-    "purchase": "payment_page_viewed", "error": "initial_purchase_event",
-}
-FIRST_DAY = date(1995, 1, 1)
 
 
-def nation_code(key: Column) -> Column:
-    return F.coalesce(lookup(key.cast("int"), NATION_CODES), F.concat(F.lit("X"), key.cast("string")))
+def pick(index: str, values: list[str | None]) -> str:
+    """The value at ``index`` (from 0) of a constant list."""
+    arms = " ".join(f"when {i} then " + (f"'{v}'" if v is not None else "null") for i, v in enumerate(values))
+    return f"case {index} {arms} end"
 
 
-def pick(index: Column, values: list) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
+def nation_code(key: str) -> str:
+    return f"coalesce({pick(key, NATION_CODES)}, concat('X', {key}))"
 
 
-def as_money(text: Column) -> Column:
-    return text.cast("decimal(10,2)")
+def plan_price(subscription: str) -> str:
+    return f"cast({pick(f'{subscription} % 3', PRICES)} as decimal(10,2))"
+
+
+def card_country(customer: str) -> str:
+    return (f"case when {customer} % 17 = 0 then null when {customer} % 25 = 4 then 'UK' "
+            f"else {nation_code(f'({customer} % 25)')} end")
 
 
 def lens(spark: SparkSession, folder: str) -> Tables:
+    opened: dict[str, DataFrame] = {}
+
     def raw(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        if name not in opened:
+            opened[name] = spark.read.schema(DRIVER_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+        return opened[name]
 
     def orders() -> DataFrame:
-        return raw("orders").select(
+        return raw("orders").selectExpr(
             "o_orderkey", "o_custkey", "o_orderdate",
-            (F.col("o_custkey") * 5 + F.left("o_orderpriority", F.lit(1)).cast("int") - 1).alias("subscription_id"),
-            F.when(F.col("o_orderstatus") == "P", 0).otherwise(1).alias("status"),
-        )
+            "o_custkey * 5 + cast(left(o_orderpriority, 1) as int) - 1 as subscription_id",
+            "case when o_orderstatus = 'P' then 0 else 1 end as status")
 
-    def charges_with_refund() -> DataFrame:
+    def payments() -> DataFrame:
+        """One row per charge and per refund, with the order's keys."""
         base = orders()
-        rank = Window.partitionBy("subscription_id", "status").orderBy("o_orderdate", "o_orderkey")
-        first = (
-            base.withColumn("seq", F.row_number().over(rank)).where(F.col("seq") == 1)
-            .select("o_orderkey", F.lit(True).alias("first"))
-        )
-        returned = (
-            raw("lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1))
-            .groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("returned_at"))
-        )
-        return base.join(first, "o_orderkey", "left").join(returned, "o_orderkey", "left")
+        first = base.selectExpr(
+            "o_orderkey", "row_number() over (partition by subscription_id, status order by o_orderdate, o_orderkey) as seq",
+        ).where("seq = 1").selectExpr("o_orderkey", "true as first")
+        returned = raw("lineitem").where("l_returnflag = 'R' and l_linenumber = 1").selectExpr(
+            "l_orderkey as o_orderkey", "l_shipdate").groupBy("o_orderkey").agg({"l_shipdate": "max"})
+        return base.join(first, "o_orderkey", "left").join(returned, "o_orderkey", "left").selectExpr(
+            "*", "coalesce(first, false) and status = 1 as opening",
+            "`max(l_shipdate)` is not null and status = 1 as refunded",
+            "explode(case when `max(l_shipdate)` is not null and status = 1 then array(0, 1) else array(0) end) as kind",
+        ).selectExpr(
+            "o_orderkey as k", "o_custkey as customer_id", "subscription_id", "status", "opening", "refunded", "kind",
+            "case kind when 0 then o_orderdate else greatest(o_orderdate, `max(l_shipdate)`) end as created_at",
+            f"case when opening then cast('0.95' as decimal(10,2)) else {plan_price('subscription_id')} end as amount",
+            f"{pick('subscription_id % 5', CURRENCIES)} as currency",
+            "case k % 3 when 0 then 'card' when 1 then 'wallet' end as apm_type")
 
     def transactions() -> DataFrame:
-        base = charges_with_refund()
-        refunded = F.col("returned_at").isNotNull() & (F.col("status") == 1)
-        kinds = F.when(refunded, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        first = F.coalesce(F.col("first"), F.lit(False)) & (F.col("status") == 1)
-        amount = F.when(first, F.lit(TRIAL_PRICE)).otherwise(pick(F.col("subscription_id") % 3, PRICES))
-        at = F.when(F.col("transaction_type") == 0, F.col("o_orderdate")).otherwise(
-            F.greatest("o_orderdate", "returned_at"))
-        return base.withColumn("transaction_type", F.explode(kinds)).select(
-            (F.col("o_orderkey") * 2 + F.col("transaction_type")).alias("id"),
-            F.concat(F.when(F.col("transaction_type") == 0, "ch_").otherwise("re_"),
-                     F.col("o_orderkey").cast("string")).alias("id_transaction"),
-            F.col("o_custkey").alias("customer_id"),
-            "subscription_id",
-            F.col("o_custkey").alias("user_agent_id"),
-            (F.col("o_orderkey") % 4).alias("utms_id"),
-            (F.col("o_orderkey") % 3).alias("mid_id"),
-            "transaction_type",
-            F.col("status").alias("transaction_status"),
-            as_money(amount).alias("amount"),
-            pick(F.col("subscription_id") % 5, CURRENCIES).alias("currency"),
-            F.when(F.col("o_orderkey") % 3 == 0, "card").when(F.col("o_orderkey") % 3 == 1, "wallet").alias("apm_type"),
-            at.alias("created_at"),
-            at.alias("payment_date"),
-            F.col("o_orderkey").alias("order_key"),
-            first.alias("opening"),
-            F.coalesce(refunded, F.lit(False)).alias("refunded"),
-        )
-
-    def public_transactions() -> DataFrame:
-        return transactions().drop("order_key", "opening", "refunded")
+        return payments().selectExpr(
+            "k * 2 + kind as id", "concat(case kind when 0 then 'ch_' else 're_' end, k) as id_transaction", "customer_id",
+            "subscription_id", "customer_id as user_agent_id", "k % 4 as utms_id", "k % 3 as mid_id",
+            "kind as transaction_type", "status as transaction_status", "amount", "currency", "apm_type", "created_at",
+            "created_at as payment_date")
 
     def transactions_dup() -> DataFrame:
-        copies = F.when(F.col("id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        return public_transactions().withColumn("copy", F.explode(copies)).withColumn(
-            "payment_date", F.col("payment_date") - F.col("copy") * F.expr("interval 1 day")).drop("copy")
+        columns = [c for c in transactions().columns if c != "payment_date"]
+        return transactions().selectExpr("*", "explode(case when id % 10 = 0 then array(0, 1) else array(0) end) as copy").selectExpr(
+            *columns, "payment_date - make_dt_interval(copy) as payment_date")
 
     def invoices() -> DataFrame:
-        return raw("lineitem").select("l_orderkey").distinct().select(
-            F.explode(F.array(F.col("l_orderkey") * 2, F.col("l_orderkey") * 2 + 1)).alias("transaction_id"),
-        ).withColumn("invoice_number", F.concat(F.lit("INV-"), F.col("transaction_id").cast("string")))
+        return raw("lineitem").select("l_orderkey").distinct().selectExpr(
+            "explode(array(l_orderkey * 2, l_orderkey * 2 + 1)) as transaction_id").selectExpr(
+            "transaction_id", "concat('INV-', transaction_id) as invoice_number")
 
     def prices() -> DataFrame:
-        return spark.range(0, 15, 1, 1).select(
-            "id", as_money(pick(F.col("id") % 3, PRICES)).alias("amount"),
-            as_money(F.lit(TRIAL_PRICE)).alias("amount_trial"),
-            pick(F.col("id") % 5, CURRENCIES).alias("currency"))
+        return spark.range(0, 15, 1, 1).selectExpr(
+            "id", f"{plan_price('id')} as amount", "cast('0.95' as decimal(10,2)) as amount_trial",
+            f"{pick('id % 5', CURRENCIES)} as currency")
 
     def subscription_types() -> DataFrame:
-        return spark.range(0, 15, 1, 1).select(
-            "id", F.col("id").alias("price_id"), F.concat(F.lit("plan_"), F.col("id").cast("string")).alias("name"))
+        return spark.range(0, 15, 1, 1).selectExpr("id", "id as price_id", "concat('plan_', id) as name")
 
     def subscriptions() -> DataFrame:
-        per_sub = orders().groupBy("subscription_id", "o_custkey").agg(
-            F.min("o_orderdate").alias("created_at"),
-            F.max(F.when(F.col("status") == 1, F.col("o_orderdate"))).alias("last_success"))
-        sid = F.col("subscription_id")
-        return per_sub.select(
-            sid.alias("id"), F.col("o_custkey").alias("customer_id_np"), (sid % 4).alias("product_id"),
-            (sid % 15).alias("subscription_type_id"),
-            F.when(F.col("last_success").isNull(), "Registered").when(sid % 10 < 4, "Unsuscribed")
-            .otherwise("Active").alias("subscription_status"),
-            "created_at",
-            F.when(sid % 10 < 4, F.col("last_success") + F.expr("interval 20 days")).alias("requested_unsubscribed_date"),
-            F.when(sid % 10 < 3, F.col("last_success") + F.expr("interval 30 days")).alias("unsubscribed_date"))
+        per_sub = orders().selectExpr(
+            "subscription_id as id", "o_custkey as customer_id_np", "o_orderdate",
+            "case when status = 1 then o_orderdate end as success",
+        ).groupBy("id", "customer_id_np").agg({"o_orderdate": "min", "success": "max"})
+        return per_sub.selectExpr(
+            "id", "customer_id_np", "id % 4 as product_id", "id % 15 as subscription_type_id",
+            "case when `max(success)` is null then 'Registered' when id % 10 < 4 then 'Unsuscribed' else 'Active' end "
+            "as subscription_status",
+            "`min(o_orderdate)` as created_at",
+            "case when id % 10 < 4 then `max(success)` + interval 20 days end as requested_unsubscribed_date",
+            "case when id % 10 < 3 then `max(success)` + interval 30 days end as unsubscribed_date")
 
     def products() -> DataFrame:
-        return spark.range(0, 4, 1, 1).select("id", F.concat(F.lit("product_"), F.col("id").cast("string")).alias("sub_product"))
+        return spark.range(0, 4, 1, 1).selectExpr("id", "concat('product_', id) as sub_product")
 
     def utms() -> DataFrame:
-        return spark.range(0, 4, 1, 1).select("id", pick(F.col("id"), ["pdf free", "editor GRATIS", "gratuit pdf", None]).alias("utm_term"))
+        terms = pick("id", ["pdf free", "editor GRATIS", "gratuit pdf"])
+        return spark.range(0, 4, 1, 1).selectExpr("id", f"{terms} as utm_term")
 
     def mids() -> DataFrame:
-        return spark.range(0, 3, 1, 1).select("id", F.concat(F.lit("mid_"), F.col("id").cast("string")).alias("internal_mid_name"))
+        return spark.range(0, 3, 1, 1).selectExpr("id", "concat('mid_', id) as internal_mid_name")
 
     def customers() -> DataFrame:
-        key = F.col("c_custkey")
-        text = key.cast("string")
-        return raw("customer").select(
-            key.alias("id"),
-            F.when(key % 50 == 3, F.lit(None).cast("string"))
-            .when(key % 20 == 7, F.concat(F.lit("qa"), text, F.lit("@internal.test")))
-            .when(key % 4 == 0, F.concat(F.lit("u"), text, F.lit("@gmail.com")))
-            .otherwise(F.concat(F.lit("u"), text, F.lit("@firm"), F.col("c_nationkey").cast("string"), F.lit(".com")))
-            .alias("email"),
-            F.when(key % 25 != 11, nation_code(F.col("c_nationkey"))).alias("ip_country"),
-            (F.lit(str(FIRST_DAY)).cast("timestamp_ntz")
-             + F.make_dt_interval(days=(key % 2000).cast("int"))).alias("created_at"))
+        return raw("customer").selectExpr(
+            "c_custkey as id",
+            """case when c_custkey % 50 = 3 then null
+                    when c_custkey % 20 = 7 then concat('qa', c_custkey, '@internal.test')
+                    when c_custkey % 4 = 0 then concat('u', c_custkey, '@gmail.com')
+                    else concat('u', c_custkey, '@firm', c_nationkey, '.com') end as email""",
+            f"case when c_custkey % 25 <> 11 then {nation_code('c_nationkey')} end as ip_country",
+            "timestamp_ntz'1995-01-01' + make_dt_interval(cast(c_custkey % 2000 as int)) as created_at")
 
     def user_agents() -> DataFrame:
-        key = F.col("c_custkey")
-        return raw("customer").select(
-            key.alias("id"),
-            F.when(key % 3 == 0, "Desktop").when(key % 3 == 1, "Mobile").alias("device"),
-            nation_code((F.col("c_nationkey") + 1) % 25).alias("ip_country_iso_code"))
+        return raw("customer").selectExpr(
+            "c_custkey as id", "case c_custkey % 3 when 0 then 'Desktop' when 1 then 'Mobile' end as device",
+            f"{nation_code('((c_nationkey + 1) % 25)')} as ip_country_iso_code")
 
     def marketing_spends() -> DataFrame:
-        supplier = raw("supplier").select(
-            F.col("s_suppkey").alias("l_suppkey"),
-            F.when(F.col("s_nationkey") == 4, "UK").otherwise(nation_code(F.col("s_nationkey"))).alias("geo"))
-        per_supplier = raw("lineitem").groupBy(F.col("l_shipdate").cast("date").alias("date"), "l_suppkey").agg(
-            F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("costs"))
-        return per_supplier.join(supplier, "l_suppkey").groupBy(
-            "date", "geo", F.when(F.col("l_suppkey") % 2 == 0, "web").otherwise("pdf").alias("project_id"),
-        ).agg(F.sum("costs").cast("decimal(18,2)").alias("costs"))
+        supplier = raw("supplier").selectExpr(
+            "s_suppkey as l_suppkey", f"case s_nationkey when 4 then 'UK' else {nation_code('s_nationkey')} end as geo")
+        per_supplier = raw("lineitem").selectExpr(
+            "cast(l_shipdate as date) as date", "l_suppkey", "cast(l_quantity as decimal(18,2)) as costs",
+        ).groupBy("date", "l_suppkey").agg({"costs": "sum"})
+        return per_supplier.join(supplier, "l_suppkey").selectExpr(
+            "date", "geo", "case when l_suppkey % 2 = 0 then 'web' else 'pdf' end as project_id", "`sum(costs)` as costs",
+        ).groupBy("date", "geo", "project_id").agg({"costs": "sum"}).selectExpr(
+            "date", "geo", "cast(`sum(costs)` as decimal(18,2)) as costs", "project_id")
 
     def spends_of(project: str) -> DataFrame:
-        return marketing_spends().where(F.col("project_id") == project)
+        return marketing_spends().where(f"project_id = '{project}'")
 
     def exchange_rates() -> DataFrame:
-        days = raw("orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
-        return days.select("date", F.posexplode(F.array(*[F.lit(c) for c in CURRENCIES])).alias("i", "code")).select(
-            "date", "code",
-            (F.lit(Decimal("1.00")) + F.col("i") * F.lit(Decimal("0.10"))
-             + F.dayofmonth("date") * F.lit(Decimal("0.01"))).cast("decimal(10,4)").alias("rate"))
+        codes = ", ".join(f"'{c}'" for c in CURRENCIES)
+        return raw("orders").selectExpr("cast(o_orderdate as date) as date").distinct().selectExpr(
+            "date", f"posexplode(array({codes})) as (i, code)").selectExpr(
+            "date", "code", "cast(1 + i * 0.10 + dayofmonth(date) * 0.01 as decimal(10,4)) as rate")
 
     def countries() -> DataFrame:
-        codes = F.when(F.col("n_nationkey") == 4, F.array(F.lit("GB"), F.lit("UK"))).otherwise(
-            F.array(nation_code(F.col("n_nationkey"))))
-        return raw("nation").select(F.col("n_name").alias("country_name"), F.explode(codes).alias("country_iso_2"))
+        return raw("nation").selectExpr(
+            "n_name as country_name",
+            f"explode(case n_nationkey when 4 then array('GB', 'UK') else array({nation_code('n_nationkey')}) end) "
+            "as country_iso_2")
 
     def events() -> DataFrame:
-        home = raw("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("n_nationkey"))
+        home = raw("customer").selectExpr("c_custkey as user_id", "c_nationkey as n_nationkey")
         nation = raw("nation").select("n_nationkey", "n_name")
-        page = F.when(F.col("event_id") % 2 == 0, "tool_page").otherwise("home")
-        mobile_view = (F.col("event_id") % 3 == 2) & (F.col("event_type") == "view")
-        return (
-            raw("events").join(home, "user_id").join(nation, "n_nationkey").select(
-                (F.col("ts") - F.expr("interval 8766 days")).alias("event_time"),
-                F.when(mobile_view, "view_page").otherwise(lookup(F.col("event_type"), EVENT_NAMES)).alias("event_type"),
-                F.col("user_id").alias("amplitude_id"),
-                F.concat(F.lit(" "), "n_name").alias("country"),
-                pick(F.col("event_id") % 3, PROJECTS).alias("project_id"),
-                F.when(F.col("event_id") % 10 == 9, "dev").otherwise("prod").alias("environment"),
-                F.concat(F.lit('{"charge_id": "ch_'), F.get_json_object("props", "$.k"),
-                         F.lit('", "page_name": "'), page, F.lit('"}')).alias("event_properties")))
+        return raw("events").join(home, "user_id").join(nation, "n_nationkey").selectExpr(
+            "ts - interval 8766 days as event_time",
+            """case when event_id % 3 = 2 and event_type = 'view' then 'view_page' when event_type = 'view' then 'landing_page_viewed'
+                    when event_type = 'click' then 'upload_document' when event_type = 'signup' then 'sign_up'
+                    when event_type = 'purchase' then 'payment_page_viewed'
+                    when event_type = 'error' then 'initial_purchase_event' end as event_type""",
+            "user_id as amplitude_id", "concat(' ', n_name) as country",
+            f"{pick('event_id % 3', ['editor', 'web', 'mobile'])} as project_id",
+            "case when event_id % 10 = 9 then 'dev' else 'prod' end as environment",
+            """concat('{"charge_id": "ch_', get_json_object(props, '$.k'), '", "page_name": "',
+                      case when event_id % 2 = 0 then 'tool_page' else 'home' end, '"}') as event_properties""")
 
     def money_movements() -> DataFrame:
-        sign = F.when(F.col("transaction_type") == 1, -F.col("amount")).otherwise(F.col("amount"))
-        return transactions().select(
-            F.col("created_at").cast("date").alias("event_date"),
-            F.when(F.col("transaction_type") == 1, "refund").otherwise("charge").alias("event_type"),
-            F.when(F.col("transaction_type") == 1, "refund").when(F.col("opening"), "initial_purchase")
-            .otherwise("renewal").alias("event_subtype"),
-            F.concat(F.lit("ch_"), F.col("order_key").cast("string")).alias("charge_id"),
-            F.concat(F.lit("cus_"), F.col("customer_id").cast("string")).alias("customer_id"),
-            F.concat(F.lit("sub_"), F.col("subscription_id").cast("string")).alias("subscription_id"),
-            F.when(F.col("opening"), F.lit(0)).otherwise(1 + F.col("order_key") % 12).cast("int").alias("recurrence_cycle"),
-            sign.cast("decimal(18,2)").alias("gross_amount"),
-            F.col("apm_type").alias("payment_method_type"),
-            F.when(F.col("order_key") % 2 == 0, "debit").otherwise("credit").alias("card_funding"),
-            card_country("customer_id").alias("card_address_country"),
-            F.concat(F.lit("m"), (F.col("subscription_id") % 7).cast("string")).alias("merchant_id"),
-            F.when(F.col("transaction_status") == 1, "succeeded").otherwise("failed").alias("status"))
-
-    def card_country(customer: str) -> Column:
-        key = F.col(customer)
-        return (F.when(key % 17 == 0, F.lit(None).cast("string")).when(key % 25 == 4, "UK")
-                .otherwise(nation_code(key % 25)))
+        return payments().selectExpr(
+            "cast(created_at as date) as event_date", "case kind when 1 then 'refund' else 'charge' end as event_type",
+            "case when kind = 1 then 'refund' when opening then 'initial_purchase' else 'renewal' end as event_subtype",
+            "concat('ch_', k) as charge_id", "concat('cus_', customer_id) as customer_id",
+            "concat('sub_', subscription_id) as subscription_id",
+            "cast(case when opening then 0 else 1 + k % 12 end as int) as recurrence_cycle",
+            "cast(case kind when 1 then -amount else amount end as decimal(18,2)) as gross_amount",
+            "apm_type as payment_method_type", "case when k % 2 = 0 then 'debit' else 'credit' end as card_funding",
+            f"{card_country('customer_id')} as card_address_country", "concat('m', subscription_id % 7) as merchant_id",
+            "case status when 1 then 'succeeded' else 'failed' end as status")
 
     def processor_charges() -> DataFrame:
-        cents = (F.col("amount") * 100).cast("bigint")
-        return transactions().where(F.col("transaction_type") == 0).select(
-            F.concat(F.lit("ch_"), F.col("order_key").cast("string")).alias("id"),
-            F.col("created_at").alias("captured_at"),
-            F.when(F.col("opening"), "Subscription creation").otherwise("Subscription update").alias("description"),
-            cents.alias("amount"),
-            F.when(F.col("refunded"), cents).otherwise(F.lit(0)).cast("bigint").alias("amount_refunded"),
-            F.lower("currency").alias("currency"),
-            F.when(F.col("order_key") % 5 != 0, card_country("customer_id")).alias("card_country"),
-            card_country("customer_id").alias("card_address_country"),
-            F.concat(F.lit("cus_"), F.col("customer_id").cast("string")).alias("customer_id"),
-            F.concat(F.lit("m"), (F.col("subscription_id") % 7).cast("string")).alias("merchant_id"),
-            F.when(F.col("transaction_status") == 1, "succeeded").otherwise("failed").alias("status"))
+        return payments().where("kind = 0").selectExpr(
+            "concat('ch_', k) as id", "created_at as captured_at",
+            "case when opening then 'Subscription creation' else 'Subscription update' end as description",
+            "cast(amount * 100 as bigint) as amount",
+            "cast(case when refunded then amount * 100 else 0 end as bigint) as amount_refunded", "lower(currency) as currency",
+            f"case when k % 5 <> 0 then {card_country('customer_id')} end as card_country",
+            f"{card_country('customer_id')} as card_address_country", "concat('cus_', customer_id) as customer_id",
+            "concat('m', subscription_id % 7) as merchant_id",
+            "case status when 1 then 'succeeded' else 'failed' end as status")
 
     def processor_refunds() -> DataFrame:
-        return transactions().where(F.col("transaction_type") == 1).select(
-            F.concat(F.lit("re_"), F.col("order_key").cast("string")).alias("id"),
-            F.concat(F.lit("ch_"), F.col("order_key").cast("string")).alias("charge_id"),
-            (F.col("amount") * 100).cast("bigint").alias("amount"),
-            F.concat(F.lit("m"), (F.col("subscription_id") % 7).cast("string")).alias("merchant_id"),
-            F.lit("succeeded").alias("status"))
+        return payments().where("kind = 1").selectExpr(
+            "concat('re_', k) as id", "concat('ch_', k) as charge_id", "cast(amount * 100 as bigint) as amount",
+            "concat('m', subscription_id % 7) as merchant_id", "'succeeded' as status")
 
     def processor_invoices() -> DataFrame:
-        return orders().select(
-            F.concat(F.lit("ch_"), F.col("o_orderkey").cast("string")).alias("charge_id"),
-            F.concat(F.lit("sub_"), F.col("subscription_id").cast("string")).alias("subscription_id"))
+        return orders().selectExpr("concat('ch_', o_orderkey) as charge_id", "concat('sub_', subscription_id) as subscription_id")
 
     def processor_customers() -> DataFrame:
-        return customers().select(F.concat(F.lit("cus_"), F.col("id").cast("string")).alias("id"), "email")
+        return customers().selectExpr("concat('cus_', id) as id", "email")
 
     def files() -> DataFrame:
-        key, size = F.col("p_partkey"), F.col("p_size")
-        return raw("part").select(
-            key.alias("id"), pick(key % 12, FILE_FORMATS).alias("file_format"),
-            F.when(key % 3 == 0, F.concat(size.cast("string"), F.lit("MB")))
-            .when(key % 3 == 1, F.concat((size * 10).cast("string"), F.lit("KB")))
-            .otherwise(F.concat(size.cast("string"), F.lit("mb"))).alias("file_size"),
-            (F.lit(str(FIRST_DAY)).cast("timestamp_ntz")
-             + F.make_dt_interval(days=(key % 2000).cast("int"))).alias("created_at"))
+        return raw("part").selectExpr(
+            "p_partkey as id", f"{pick('p_partkey % 12', FILE_FORMATS)} as file_format",
+            """case p_partkey % 3 when 0 then concat(p_size, 'MB') when 1 then concat(p_size * 10, 'KB')
+                    else concat(p_size, 'mb') end as file_size""",
+            "timestamp_ntz'1995-01-01' + make_dt_interval(cast(p_partkey % 2000 as int)) as created_at")
 
     def reviews() -> DataFrame:
-        how_many = raw("customer").agg(F.count(F.lit(1))).scalar()
-        author = customers().select(F.col("id").alias("author"), "email")
-        return (
-            raw("documents").withColumn("author", F.col("doc_id") % how_many).join(author, "author", "left").select(
-                F.col("doc_id").alias("id"), "email", (1 + F.col("doc_id") % 5).cast("int").alias("rating"),
-                F.col("text").alias("comment"),
-                (F.lit("1998-01-01").cast("timestamp_ntz")
-                 + F.make_dt_interval(days=(F.col("doc_id") % 900).cast("int"))).alias("created_at")))
+        how_many = raw("customer").groupBy().count().scalar()
+        author = customers().selectExpr("id as author", "email")
+        return raw("documents").withColumn("author", raw("documents")["doc_id"] % how_many).join(author, "author", "left").selectExpr(
+            "doc_id as id", "email", "cast(1 + doc_id % 5 as int) as rating", "text as comment",
+            "timestamp_ntz'1998-01-01' + make_dt_interval(cast(doc_id % 900 as int)) as created_at")
 
     return Tables({
         "customers": customers,
-        "transactions": public_transactions,
+        "transactions": transactions,
         "transactions_dup": transactions_dup,
         "subscriptions": subscriptions,
         "subscription_types": subscription_types,
