@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kohorte.functions import gates
-from kohorte.functions.columns import count_if, day, keyword_class, money, ratio, safe_div, static_eur, week_start
+from kohorte.functions.columns import count_if, day, keyword_class, money, ratio, safe_div, static_eur, sum_if, week_start
 from kohorte.operators.shared import (
-    all_activity, customer_keys, first_rows, invoiced_activity, on_or_after, per_subscription, subscription_prices,
+    all_activity, customer_keys, first_rows, invoiced_activity, is_charge, is_refund, on_or_after, per_subscription, subscription_prices,
     trial_charges,
 )
 from kohorte.params import Params
@@ -191,6 +191,22 @@ def cohort_revenue_eur(t: Tables, p: Params) -> DataFrame:
         money(F.sum(in_eur(F.col("charged") - F.col("refunded")))).alias("real_revenue"))
 
 
+def daily_activity(txn: DataFrame) -> DataFrame:
+    """Per subscription: charge and refund counts and amounts, and its refunds as a list of (day, amount).
+
+    The first aggregation leaves one charge row and one refund row per day, so the list is never longer than
+    the calendar.
+    """
+    parts = txn.groupBy(
+        "subscription_id", "transaction_type", F.when(is_refund(), F.col("created_at").cast("date")).alias("day"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("decimal(18,2)").alias("amount"))
+    return parts.groupBy("subscription_id").agg(
+        sum_if(is_charge(), F.col("n")).alias("n_charges"), sum_if(is_refund(), F.col("n")).alias("n_refunds"),
+        sum_if(is_charge(), F.col("amount")).cast("decimal(18,2)").alias("charged"),
+        sum_if(is_refund(), F.col("amount")).cast("decimal(18,2)").alias("refunded"),
+        F.collect_list(F.when(is_refund(), F.struct("day", "amount"))).alias("refund_days"))
+
+
 def trial_payback(t: Tables, p: Params, cohort: DataFrame, *dims: str, legacy_repeat: bool = False) -> DataFrame:
     """Sales, charges, refunds, net and 37-day revenue and first renewals by ``cohort_date`` and ``dims``.
 
@@ -206,18 +222,14 @@ def trial_payback(t: Tables, p: Params, cohort: DataFrame, *dims: str, legacy_re
     early = first_rows(charges.select("subscription_id", "created_at", "id", "amount"),
                        ["subscription_id"], ["created_at", "id"], p.payback_charges)
     early = early.groupBy("subscription_id").agg(F.sum("amount").cast("decimal(18,2)").alias("early_charged"))
-    # One sum per refund day, then one list per subscription: never longer than the calendar.
-    refunds = txn.where(F.col("transaction_type") == gates.REFUND).groupBy(
-        "subscription_id", F.col("created_at").cast("date").alias("day")).agg(
-        F.sum("amount").cast("decimal(18,2)").alias("amount"))
-    refunds = refunds.groupBy("subscription_id").agg(F.collect_list(F.struct("day", "amount")).alias("refund_days"))
+    activity = daily_activity(txn)
     zero = F.lit(0).cast("decimal(18,2)")
     in_time = F.filter("refund_days", lambda r: r["day"] <= F.date_add("cohort_date", p.payback_days))
     early_refunded = F.coalesce(
         F.aggregate(in_time, zero, lambda acc, r: (acc + r["amount"]).cast("decimal(18,2)")), zero)
     rows = (
-        cohort.join(all_activity(t), "subscription_id", "left").join(early, "subscription_id", "left")
-        .join(refunds, "subscription_id", "left").withColumn("early_refunded", early_refunded))
+        cohort.join(activity, "subscription_id", "left").join(early, "subscription_id", "left")
+        .withColumn("early_refunded", early_refunded))
     n = F.col("n_trials")
     times = n * (F.col("n_charges") + F.col("n_refunds")) if legacy_repeat else n
 

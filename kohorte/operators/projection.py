@@ -12,8 +12,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kohorte.functions.columns import count_if, day, money, power_law, safe_div
-from kohorte.operators.retention import by_month, maturity_days, observed_points, running_product
+from kohorte.functions.columns import day, money, power_law, safe_div
+from kohorte.operators.retention import by_month, heads, maturity_days, observed_points, running_product
 from kohorte.params import Params
 
 # ------------------------------------------------------------------------- fit
@@ -124,11 +124,11 @@ def lt_cumulative(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
 def price_split(prepared: DataFrame, p: Params, *, baseline_age: int = 0) -> tuple[DataFrame, DataFrame]:
     """Baseline rows (before the first price change) and rows on a new price since its date, tagged ``price``."""
     changes = sorted(p.price_dates.items(), key=lambda kv: kv[1])
-    began = F.col("initial_payment_date").cast("timestamp")
-    baseline = prepared.where((began < day(changes[0][1]).cast("timestamp")) & (F.col("account_age_days") >= baseline_age))
+    began = F.col("started")
+    baseline = prepared.where((began < day(changes[0][1])) & (F.col("account_age_days") >= baseline_age))
     on_new = None
     for price, since in changes:
-        rule = (began >= day(since).cast("timestamp")) & (F.col("amount") == F.lit(Decimal(price)).cast("decimal(10,2)"))
+        rule = (began >= day(since)) & (F.col("amount") == F.lit(Decimal(price)).cast("decimal(10,2)"))
         on_new = rule if on_new is None else on_new | rule
     return baseline, prepared.where(on_new).withColumn("price", F.col("amount"))
 
@@ -154,7 +154,7 @@ def scenario_curves(prepared: DataFrame, p: Params, *, countries: Sequence[str]
         baseline = baseline.where(F.col("ip_country").isin(list(countries)))
     mature = maturity_days(1, "second")
     sizes = baseline.groupBy("ip_country").agg(
-        F.count(F.lit(1)).alias("rows"), count_if(F.col("account_age_days") >= mature).alias("mature"))
+        heads(baseline).alias("rows"), heads(baseline, F.col("account_age_days") >= mature).alias("mature"))
     sizes = sizes.where(F.col("rows") >= min_volume)
     _, base = country_base(baseline, p)
     base = base.join(sizes.select("ip_country"), "ip_country", "left_semi")

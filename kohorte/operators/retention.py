@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kohorte.functions import constants as k
-from kohorte.functions.columns import count_if, day, lookup, money, ratio, whole_days_between, whole_months_between
+from kohorte.functions.columns import day, lookup, money, ratio, whole_days_between, whole_months_between
 from kohorte.params import Params
 
 
@@ -34,47 +34,82 @@ def maturity_days(cycle: int, rule: str) -> int:
 TIER_OF = {country: tier for tier, members in k.MARKET_TIERS.items() for country in members}
 
 
-def model_prep(fact: DataFrame, p: Params, *, tenure_offset: int = 0, obs_end: date | None = None, markets: bool = True,
+def model_rows(fact: DataFrame, p: Params, *, tenure_offset: int = 0, obs_end: date | None = None, markets: bool = True,
                annual: bool = False) -> DataFrame:
-    """Fact rows that enter a model, with churn flag, account age and market tier.
+    """Fact rows that may enter a model, with churn flag, account age, start day and market tier.
 
-    Drops subscriptions that start after ``obs_end``, annual plans (unless ``annual``) and tenures below zero
-    after ``tenure_offset``. ``markets`` keeps countries of a tier with at least ``min_country_volume`` rows;
-    the tier list is constant, so the list of countries that pass is never longer than it.
+    Drops subscriptions that start after ``obs_end``, annual plans (unless ``annual``), tenures below zero
+    after ``tenure_offset`` and, with ``markets``, countries without a tier.
     """
     end = obs_end or p.as_of
-    rows = fact.where(F.col("initial_payment_date").cast("timestamp") <= day(end).cast("timestamp"))
+    began = F.col("initial_payment_date")
+    rows = fact.where(began.cast("timestamp") <= day(end).cast("timestamp"))
     if not annual:
         rows = rows.where(F.col("amount") < F.lit(p.annual_from))
     rows = rows.withColumn("tenure", (F.col("tenure") - tenure_offset).cast("bigint")).where(F.col("tenure") >= 0)
     rows = rows.withColumns({
         "churned": F.when(F.col("status") == "churned", 1).otherwise(0).cast("bigint"),
-        "account_age_days": whole_days_between(end, F.col("initial_payment_date")),
-        "age": whole_months_between(end, F.col("initial_payment_date"))})
+        "account_age_days": whole_days_between(end, began), "age": whole_months_between(end, began),
+        "started": began.cast("date")})
     if not markets:
         return rows
-    rows = rows.withColumn("tier", lookup(F.col("ip_country"), TIER_OF)).where(F.col("tier").isNotNull())
-    volume = rows.groupBy("ip_country").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= p.min_country_volume)
+    return rows.withColumn("tier", lookup(F.col("ip_country"), TIER_OF)).where(F.col("tier").isNotNull())
+
+
+WEIGHT = "n_subscriptions"
+CELL = ["tenure", "account_age_days", "age", "churned", "started"]
+
+
+def fold(rows: DataFrame, *dims: str) -> DataFrame:
+    """Subscriptions counted per cell of ``dims``, tenure, age, churn and start day.
+
+    All that the models read, and no longer than the calendar times the tenures per dimension, however many
+    subscriptions there are. The functions below take cells and single rows alike.
+    """
+    return rows.groupBy(*dims, *CELL).agg(F.count(F.lit(1)).alias(WEIGHT))
+
+
+def heads(df: DataFrame, cond: Column | None = None, value: Column | None = None) -> Column:
+    """Number of subscriptions (or sum of ``value`` over them) for which ``cond`` holds; 0 on an empty group."""
+    weight = F.col(WEIGHT) if WEIGHT in df.columns else F.lit(1)
+    amount = weight if value is None else weight * value
+    amount = amount if cond is None else F.when(cond, amount)
+    return F.coalesce(F.sum(amount), F.lit(0)).cast("bigint")
+
+
+def volume_gate(rows: DataFrame, p: Params) -> DataFrame:
+    """Rows of countries with at least ``min_country_volume`` subscriptions.
+
+    Rows carry a tier, so the list that passes is never longer than the constant list of tier countries.
+    """
+    volume = rows.groupBy("ip_country").agg(heads(rows).alias("n")).where(F.col("n") >= p.min_country_volume)
     return rows.join(F.broadcast(volume.select("ip_country")), "ip_country", "left_semi")
 
 
+def model_prep(fact: DataFrame, p: Params, **options) -> DataFrame:
+    """Model rows of countries with enough volume. Reads ``fact`` twice: pass a stored one."""
+    return volume_gate(model_rows(fact, p, **options), p)
+
+
 # ------------------------------------------------------------------ descriptive
 
 
 def segment_descriptives(prepared: DataFrame, segment: str = "user_segment") -> DataFrame:
     return prepared.groupBy(segment).agg(
-        F.count("subscription_id").alias("users"), ratio(F.sum("churned"), F.count(F.lit(1))).alias("avg_churn_rate"))
+        heads(prepared).alias("users"),
+        ratio(heads(prepared, value=F.col("churned")), heads(prepared)).alias("avg_churn_rate"))
 
 
 def price_descriptives(prepared: DataFrame, top: int = 3) -> DataFrame:
     """The ``top`` prices by users, with mean and longest tenure."""
     return prepared.groupBy("amount").agg(
-        F.count("subscription_id").alias("users"), ratio(F.sum("tenure"), F.count(F.lit(1))).alias("tenure_avg"),
+        heads(prepared).alias("users"),
+        ratio(heads(prepared, value=F.col("tenure")), heads(prepared)).alias("tenure_avg"),
         F.max("tenure").alias("tenure_max")).orderBy(F.desc("users"), "amount").limit(top)
 
 
 def top_countries(prepared: DataFrame, top: int = 5) -> DataFrame:
-    return prepared.groupBy("ip_country").agg(F.count(F.lit(1)).alias("users")).orderBy(
+    return prepared.groupBy("ip_country").agg(heads(prepared).alias("users")).orderBy(
         F.desc("users"), "ip_country").limit(top)
 
 
@@ -83,12 +118,12 @@ def cr_by_price(prepared: DataFrame, *, first_days: int = 8, second_days: int =
     age, tenure = F.col("account_age_days"), F.col("tenure")
 
     def percent(days: int, reached: int) -> Column:
-        return money(ratio(count_if((age >= days) & (tenure >= reached)), count_if(age >= days)) * 100)
+        return money(ratio(heads(prepared, (age >= days) & (tenure >= reached)), heads(prepared, age >= days)) * 100)
 
     return prepared.groupBy("amount").agg(
-        F.count(F.lit(1)).alias("n"),
-        count_if(age >= first_days).alias("eligible_r1"), percent(first_days, 2).alias("cr_sale_to_r1"),
-        count_if(age >= second_days).alias("eligible_r2"), percent(second_days, 3).alias("cr_sale_to_r2"))
+        heads(prepared).alias("n"),
+        heads(prepared, age >= first_days).alias("eligible_r1"), percent(first_days, 2).alias("cr_sale_to_r1"),
+        heads(prepared, age >= second_days).alias("eligible_r2"), percent(second_days, 3).alias("cr_sale_to_r2"))
 
 
 # ------------------------------------------------------------------- life table
@@ -106,7 +141,7 @@ def _at_risk(counts: DataFrame, last: DataFrame, segment: str) -> DataFrame:
 def life_table(prepared: DataFrame, segment: str = "user_segment") -> DataFrame:
     """(segment, month 0..longest tenure) -> subscriptions with at least that tenure, and those churned at it."""
     counts = prepared.groupBy(segment, F.col("tenure").alias("month")).agg(
-        F.count(F.lit(1)).alias("reached"), F.sum("churned").alias("events"))
+        heads(prepared).alias("reached"), heads(prepared, value=F.col("churned")).alias("events"))
     return _at_risk(counts, counts.groupBy(segment).agg(F.max("month").alias("last")), segment)
 
 
@@ -129,10 +164,10 @@ def km_survival(prepared: DataFrame, segment: str = "user_segment") -> DataFrame
     ``lifetime`` is the area under the segment's whole curve.
     """
     reach = F.least("age", "tenure")
-    events = prepared.where((F.col("churned") == 1) & (F.col("age") >= 0)).groupBy(
-        segment, F.col("tenure").alias("month")).agg(F.lit(0).cast("bigint").alias("reached"), F.count(F.lit(1)).alias("events"))
+    events = prepared.where(F.col("churned") == 1).groupBy(segment, F.col("tenure").alias("month")).agg(
+        F.lit(0).cast("bigint").alias("reached"), heads(prepared).alias("events"))
     reached = prepared.where(reach >= 0).groupBy(segment, reach.alias("month")).agg(
-        F.count(F.lit(1)).alias("reached"), F.lit(0).cast("bigint").alias("events"))
+        heads(prepared).alias("reached"), F.lit(0).cast("bigint").alias("events"))
     counts = reached.unionByName(events).groupBy(segment, "month").agg(
         F.sum("reached").alias("reached"), F.sum("events").alias("events"))
     last = prepared.groupBy(segment).agg(F.max("age").alias("last")).where(F.col("last") >= 0)
@@ -158,8 +193,8 @@ def retention_counts(prepared: DataFrame, keys: Sequence[str], cycles: int, rule
     pairs = []
     for r in range(1, cycles + 1):
         old = age >= maturity_days(r, rule)
-        pairs.append(F.struct(F.lit(r).cast("bigint").alias("r"), count_if(old).alias("eligible"),
-                              count_if(old & (tenure >= r + 1)).alias("survivors")))
+        pairs.append(F.struct(F.lit(r).cast("bigint").alias("r"), heads(prepared, old).alias("eligible"),
+                              heads(prepared, old & (tenure >= r + 1)).alias("survivors")))
     folded = prepared.groupBy(*keys).agg(F.array(*pairs).alias("cells"))
     return folded.select(*keys, F.inline("cells"))
 

@@ -20,7 +20,7 @@ from kohorte.operators import (
 from kohorte.functions.gates import REFUND, successful
 from kohorte.params import Params
 from kohorte.plans.oracle import lens_ltv_windows
-from kohorte.session import configure, shared_folder
+from kohorte.session import configure, cut_lineage, shared_folder
 from kohorte.sources.catalog import Tables, read_csv
 from kohorte.sources.driver_lens import lens
 from kohorte.sources.sinks import write_csv
@@ -63,20 +63,23 @@ def _fact(t: Tables, p: Params) -> DataFrame:
     return facts.subscription_fact(t, p, feed="transactions_dup")
 
 
-def _prepared(t: Tables, p: Params) -> DataFrame:
-    return retention.model_prep(_fact(t, p), p)
+def _model_prep(t: Tables, p: Params) -> DataFrame:
+    return retention.model_prep(cut_lineage(_fact(t, p)), p).drop("started")
 
 
-def _segments(t: Tables, p: Params) -> DataFrame:
-    return retention.model_prep(facts.subscription_segments(t, p), p, tenure_offset=1, markets=False, annual=True)
+def _prepared(t: Tables, p: Params) -> DataFrame:
+    """The invoiced fact folded to cells and stored: one pass over the data, whatever reads the cells."""
+    cells = retention.fold(retention.model_rows(_fact(t, p), p), "ip_country", "tier", "amount")
+    return retention.volume_gate(cut_lineage(cells), p)
 
 
-def _life(t: Tables, p: Params) -> DataFrame:
-    return retention.life_table(_segments(t, p))
+def _segments(t: Tables, p: Params) -> DataFrame:
+    rows = retention.model_rows(facts.subscription_segments(t, p), p, tenure_offset=1, markets=False, annual=True)
+    return cut_lineage(retention.fold(rows, "user_segment"))
 
 
-def _users(t: Tables, p: Params) -> DataFrame:
-    return _segments(t, p).groupBy("user_segment").agg(F.count(F.lit(1)).alias("users"))
+def _users(segments: DataFrame) -> DataFrame:
+    return segments.groupBy("user_segment").agg(retention.heads(segments).alias("users"))
 
 
 def _site_spend(t: Tables, p: Params) -> DataFrame:
@@ -127,18 +130,25 @@ def _lt_cumulative(t: Tables, p: Params) -> DataFrame:
     return projection.lt_cumulative(projection.price_curves(_prepared(t, p), p), ["amount"])
 
 
-def _empirical(t: Tables, p: Params) -> DataFrame:
-    return projection.empirical_hazard(_life(t, p))
+def _empirical(segments: DataFrame) -> DataFrame:
+    return projection.empirical_hazard(retention.life_table(segments))
 
 
-def _modelled(t: Tables, p: Params) -> DataFrame:
-    return hazard.segment_hazard(_life(t, p))
+def _modelled(segments: DataFrame) -> DataFrame:
+    return hazard.segment_hazard(retention.life_table(segments))
+
+
+def _horizons(t: Tables, p: Params, hazard_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    segments = _segments(t, p)
+    return projection.lt_horizons(hazard_of(segments), _users(segments))
 
 
 def _min_days(t: Tables, p: Params) -> DataFrame:
     """Renewal cycle and maturity rule -> required account age, and subscriptions that have it."""
+    prepared = _prepared(t, p)
+
     def per_rule(rule: str) -> DataFrame:
-        counts = retention.retention_counts(_prepared(t, p), [], p.max_cycles, rule)
+        counts = retention.retention_counts(prepared, [], p.max_cycles, rule)
         ages = F.array(*[F.lit(retention.maturity_days(r, rule)) for r in range(1, p.max_cycles + 1)])
         return counts.select(F.lit(rule).alias("rule"), "r", F.element_at(ages, F.col("r").cast("int")).alias("min_days"),
                              "eligible")
@@ -218,13 +228,13 @@ BUILDERS: dict[str, tuple[Builder, Mapping]] = {
     # model input
     "subscription_fact": (_fact, {"as_date": DATES}),
     "subscription_segments": (facts.subscription_segments, {"as_date": DATES}),
-    "model_prep": (_prepared, {"as_date": DATES}),
+    "model_prep": (_model_prep, {"as_date": DATES}),
     # retention
     "segment_descriptives": (lambda t, p: retention.segment_descriptives(_segments(t, p)), {}),
     "price_descriptives": (lambda t, p: retention.price_descriptives(_prepared(t, p)), {}),
     "top_countries": (lambda t, p: retention.top_countries(_prepared(t, p)), {}),
     "cr_by_price": (lambda t, p: retention.cr_by_price(_prepared(t, p)), {}),
-    "life_table": (_life, {}),
+    "life_table": (lambda t, p: retention.life_table(_segments(t, p)), {}),
     "km_survival": (lambda t, p: retention.km_survival(_segments(t, p)), {"rounded": ("survival_rate",)}),
     "empirical_lifetime": (lambda t, p: retention.empirical_lifetime(retention.km_survival(_segments(t, p))),
                            {"rounded": ("lifetime_months",)}),
@@ -241,11 +251,11 @@ BUILDERS: dict[str, tuple[Builder, Mapping]] = {
     "lt_cumulative": (_lt_cumulative, {"rounded": ("retention", "lifetime")}),
     "curve_detail": (lambda t, p: projection.curve_detail(projection.price_curves(_prepared(t, p), p), p), {}),
     # lifetime from hazards
-    "segment_hazard": (_modelled, {"rounded": ("hazard",)}),
-    "lt_horizons": (lambda t, p: projection.lt_horizons(_empirical(t, p), _users(t, p)), {}),
-    "lt_horizons_modelled": (lambda t, p: projection.lt_horizons(_modelled(t, p), _users(t, p)), {}),
-    "ltv_cumulative": (lambda t, p: projection.ltv_cumulative(_empirical(t, p), p), {"rounded": ("ltv",)}),
-    "ltv_cumulative_modelled": (lambda t, p: projection.ltv_cumulative(_modelled(t, p), p), {"rounded": ("ltv",)}),
+    "segment_hazard": (lambda t, p: _modelled(_segments(t, p)), {"rounded": ("hazard",)}),
+    "lt_horizons": (lambda t, p: _horizons(t, p, _empirical), {}),
+    "lt_horizons_modelled": (lambda t, p: _horizons(t, p, _modelled), {}),
+    "ltv_cumulative": (lambda t, p: projection.ltv_cumulative(_empirical(_segments(t, p)), p), {"rounded": ("ltv",)}),
+    "ltv_cumulative_modelled": (lambda t, p: projection.ltv_cumulative(_modelled(_segments(t, p)), p), {"rounded": ("ltv",)}),
     # sources and semantics
     "src_csv_roundtrip": (_csv_roundtrip, {}),
     "trap_on_vs_where": (_on_vs_where, {}),
