@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kohorte.functions.columns import logistic
 from kohorte.session import cut_lineage
 
-MAX_FEATURES = 4096
+MAX_FEATURES = 1024
 
 
 @dataclass(frozen=True)
@@ -31,24 +31,28 @@ class HazardFit:
 
 
 def fit_segment_hazard(life_table: DataFrame, segment: str = "user_segment", *, segment_sd: float = 1.5,
-                       step_sd: float = 0.2, refits: int = 3) -> HazardFit:
+                       step_sd: float = 0.2, refits: int = 3, walk_months: int = 120) -> HazardFit:
     """Posterior mode from a life table (segment, month, n_risk, n_event).
 
     Features are scaled by the prior deviations, so a unit ridge is the prior: one indicator per segment times
     ``segment_sd`` and, for every month j >= 1, ``step_sd`` in all months from j on. The regression weighs its
     penalty by the total working weight, which depends on the fit; a few refits settle it. The life table is
     written once, since every pass of the solver reads it.
+
+    The walk takes a step in each of the first ``walk_months`` months; later months keep all their rows and share
+    the last effect, so that one subscription with an absurd tenure does not add thousands of parameters.
     """
     table = cut_lineage(life_table.where(F.col("n_risk") > 0).select(segment, "month", "n_risk", "n_event"))
     last_month = table.agg(F.max("month")).first()[0]
     found = [r[0] for r in table.select(segment).distinct().orderBy(segment).limit(MAX_FEATURES + 1).collect()]
     if last_month is None:
         raise ValueError("the life table is empty")
-    if len(found) + last_month > MAX_FEATURES:
-        raise ValueError(f"{len(found)} segments and {last_month} months exceed {MAX_FEATURES} features")
+    n_steps = min(int(last_month), walk_months)
+    if len(found) + n_steps > MAX_FEATURES:
+        raise ValueError(f"{len(found)} segments and {n_steps} steps exceed {MAX_FEATURES} features")
     features = [F.when(F.col(segment).eqNullSafe(F.lit(s)), segment_sd).otherwise(0.0) for s in found]
-    steps = F.transform(F.sequence(F.lit(1), F.lit(int(last_month))), lambda j: F.when(
-        F.col("month") >= j, step_sd).otherwise(0.0)) if last_month >= 1 else F.array().cast("array<double>")
+    steps = F.transform(F.sequence(F.lit(1), F.lit(n_steps)), lambda j: F.when(
+        F.col("month") >= j, step_sd).otherwise(0.0)) if n_steps else F.array().cast("array<double>")
     rows = table.select(
         (F.col("n_event").cast("double") / F.col("n_risk").cast("double")).alias("label"),
         F.col("n_risk").cast("double").alias("weight"),

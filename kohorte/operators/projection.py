@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kohorte.functions.columns import day, money, power_law, safe_div
 from kohorte.operators.retention import by_month, heads, maturity_days, observed_points, running_product
 from kohorte.params import Params
+from kohorte.session import cut_lineage
 
 # ------------------------------------------------------------------------- fit
 
@@ -138,12 +139,18 @@ def _points(prepared: DataFrame, keys: Sequence[str], *, cycles: int, at_least:
     return found.select(*keys, F.col("r").alias("x"), F.col("retention").alias("y"), "eligible")
 
 
+def curve_points(prepared: DataFrame, p: Params) -> DataFrame:
+    """(country, x, y) -> share retained at renewal x, as far as there are enough subscriptions."""
+    return _points(prepared, ["ip_country"], cycles=p.max_cycles, at_least=p.min_curve_users)
+
+
 def country_base(prepared: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """(points, base curve) per country of baseline rows."""
+    """(points, base curve) per country of baseline rows. Both are a few rows per country that several later steps
+    read, so each is stored once."""
     keys = ["ip_country"]
-    points = _points(prepared, keys, cycles=p.max_cycles, at_least=p.min_curve_users)
+    points = cut_lineage(curve_points(prepared, p))
     fits = power_law_fit(points, keys, min_points=p.min_curve_points)
-    return points, base_curve(points, fits, keys, horizon=p.horizon)
+    return points, cut_lineage(base_curve(points, fits, keys, horizon=p.horizon))
 
 
 def scenario_curves(prepared: DataFrame, p: Params, *, countries: Sequence[str] | None = None, min_volume: int = 0,
@@ -158,7 +165,7 @@ def scenario_curves(prepared: DataFrame, p: Params, *, countries: Sequence[str]
     sizes = sizes.where(F.col("rows") >= min_volume)
     _, base = country_base(baseline, p)
     base = base.join(sizes.select("ip_country"), "ip_country", "left_semi")
-    points = _points(new, ["ip_country", "price"], cycles=new_cycles, at_least=p.min_eligible)
+    points = cut_lineage(_points(new, ["ip_country", "price"], cycles=new_cycles, at_least=p.min_eligible))
     stitched = stitched_curve(base, points, ["ip_country"], "price", horizon=p.horizon)
     sample = points.where(F.col("x") == 1).select("ip_country", "price", F.col("eligible").alias("rows"),
                                                   F.col("eligible").alias("mature"))
@@ -196,8 +203,9 @@ def price_curves(prepared: DataFrame, p: Params, *, base_users: int = 100, new_u
         return trial.unionByName(found.select("amount", (F.col("x") + 1).alias("x"), "y"))
 
     old = points([base_price], p.max_cycles, base_users)
-    base = base_curve(old, power_law_fit(old, ["amount"], min_points=2), ["amount"], horizon=p.horizon, keep_observed=False)
-    new = stitched_curve(base.drop("amount"), points(new_prices, new_cycles, new_users), [], "amount",
+    fits = power_law_fit(old, ["amount"], min_points=2)
+    base = cut_lineage(base_curve(old, fits, ["amount"], horizon=p.horizon, keep_observed=False))
+    new = stitched_curve(base.drop("amount"), cut_lineage(points(new_prices, new_cycles, new_users)), [], "amount",
                          horizon=p.horizon)
     return base.unionByName(new.select(*base.columns))
 

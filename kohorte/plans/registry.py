@@ -101,7 +101,7 @@ def _ltv_by_window(t: Tables, p: Params) -> DataFrame:
 
 
 def _points(t: Tables, p: Params) -> DataFrame:
-    return projection.country_base(_prepared(t, p), p)[0]
+    return projection.curve_points(_prepared(t, p), p)
 
 
 def _loglog(t: Tables, p: Params) -> DataFrame:
