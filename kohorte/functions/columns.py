@@ -145,7 +145,8 @@ def decimal_comma(value: Column) -> Column:
 
 def percent_text(rate: Column, digits: int = 1) -> Column:
     """Presentation only: ``0.1234`` as ``12.3%``, ``N/A`` when missing."""
-    return F.coalesce(F.concat(F.format_string(f"%.{digits}f", rate * 100), F.lit("%")), F.lit("N/A"))
+    text = F.concat(F.format_string(f"%.{digits}f", rate * 100), F.lit("%"))
+    return F.when(rate.isNotNull(), text).otherwise("N/A")
 
 
 def logistic(x: Column) -> Column:

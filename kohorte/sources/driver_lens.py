@@ -105,7 +105,7 @@ def lens(spark: SparkSession, folder: str) -> Tables:
 
     def prices() -> DataFrame:
         return spark.range(0, 15, 1, 1).selectExpr(
-            "id", f"{plan_price('id')} as amount", "cast('0.95' as decimal(10,2)) as amount_trial",
+            "id", f"{plan_price('id')} as amount", f"cast({pick('id % 1', ['0.95'])} as decimal(10,2)) as amount_trial",
             f"{pick('id % 5', CURRENCIES)} as currency")
 
     def subscription_types() -> DataFrame:
