@@ -69,4 +69,4 @@ def renewal_windows(t: Tables, p: Params) -> DataFrame:
         *[count_if(net >= k).alias(f"renewal_{k}") for k in steps],
         *[count_if(asked & _in_window(F.col("requested"), k)).alias(f"req_before_r{k}") for k in steps],
         *[count_if(F.col(f"ref{k}") == 1).alias(f"ref_before_r{k}") for k in steps],
-    ).withColumn("week", week_span_label(F.col("date")))
+    ).withColumn("week", week_span_label(F.col("date"))).orderBy(F.desc("date"), "ip_country")

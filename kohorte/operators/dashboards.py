@@ -41,7 +41,7 @@ PAYBACK = ["real_revenue", "real_revenue_37d", "charges", "refunds", "first_rene
 
 
 def dashboard_daily(t: Tables, p: Params, *, legacy_repeat: bool = False) -> DataFrame:
-    """(day, country) -> spend, sales, funnel and payback, zero where absent, and totals per day."""
+    """(day, country) -> spend, sales, funnel and payback, zero where absent, and totals per day; highest spend first."""
     sales = ["sales", "ltv", "user_revenue", "amount_refunds"]
     steps = list(funnel.STEPS)
     paid = payback.payback_by_country(t, p, legacy_repeat=legacy_repeat).withColumnRenamed("cohort_date", "date")
@@ -55,7 +55,7 @@ def dashboard_daily(t: Tables, p: Params, *, legacy_repeat: bool = False) -> Dat
     rows = rows.withColumns({
         "grand_total_sales": F.sum("sales").over(per_day),
         "grand_total_spend": F.sum("spend").over(per_day).cast("decimal(18,2)")})
-    return zero_filled(rows, ["spend", *sales, *steps, *PAYBACK])
+    return zero_filled(rows, ["spend", *sales, *steps, *PAYBACK]).orderBy(F.desc("spend"), "date", "ip_country")
 
 
 def dashboard_multisite(t: Tables, p: Params, *, spend: DataFrame, viewers: DataFrame, ltv_windows: Sequence[tuple],

@@ -58,7 +58,10 @@ def subscription_fact(t: Tables, p: Params, *, after=None, feed: str = "transact
     A transaction without an agent country takes the customer's, so the highest code is the
     greater of the agents' highest and, if any agent country is missing, the customer's.
     """
-    txn = gates.invoiced(gates.successful(dedup_latest_txn(t[feed])), t["invoices_sii"], numbered=False)
+    # Only the columns read below: the deduplication sorts by all it is given.
+    raw = t[feed].select("id", "subscription_id", "user_agent_id", "transaction_type", "transaction_status", "amount",
+                         "payment_date")
+    txn = gates.invoiced(gates.successful(dedup_latest_txn(raw)), t["invoices_sii"], numbered=False)
     agents = t["http_user_agents"].select(F.col("id").alias("user_agent_id"), "ip_country_iso_code")
     per_agent = _totals("subscription_id", "user_agent_id", rows=txn).join(agents, "user_agent_id", "left")
     per_sub = per_agent.groupBy("subscription_id").agg(

@@ -110,14 +110,22 @@ def recurrence_pyramid(t: Tables, p: Params, spend: DataFrame, *, depth: int = 1
     ``ltv_rk`` adds up the revenue of the nested sets 0..k, so a long-lived subscription counts once per level.
     ``ltv_rk_exact`` counts every subscription with 0..k net cycles once.
     """
-    cycles, revenue = F.col("net_cycles"), F.col("net_revenue")
-    levels = range(depth + 1)
-    cohorts = subscription_net(t, p).where(F.col("site").isin(list(p.report_sites))).groupBy(
-        "cohort_date", "ip_country", "card_funding", "site",
-    ).agg(
-        F.count(F.lit(1)).alias("initial_sales"),
-        *[count_if(cycles >= i).alias(f"r{i}") for i in levels],
-        *[sum_if(cycles >= i, revenue).alias(f"rev_r{i}") for i in range(max(depth, ltv_depth + 1) + 1)])
+    keys = ["cohort_date", "ip_country", "card_funding", "site"]
+    levels, top = range(depth + 1), max(depth, ltv_depth + 1)
+    # The pass over subscriptions adds up two numbers per number of cycles, revenue in whole cents; the wide
+    # table is made from those few rows.
+    per_cycle = subscription_net(t, p).where(F.col("site").isin(list(p.report_sites))).groupBy(
+        *keys, F.least(F.col("net_cycles"), F.lit(top)).alias("cycles"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("net_revenue") * 100).cast("bigint")).alias("cents"))
+
+    def from_level(i: int, value: str) -> Column:
+        return F.sum(F.when(F.col("cycles") >= i, F.col(value)).otherwise(F.lit(0)))
+
+    wide = per_cycle.groupBy(*keys).agg(
+        F.sum("n").alias("initial_sales"), *[from_level(i, "n").alias(f"r{i}") for i in levels],
+        *[from_level(i, "cents").alias(f"cents_{i}") for i in range(top + 1)])
+    cohorts = wide.select(*keys, "initial_sales", *[f"r{i}" for i in levels], *[
+        (F.col(f"cents_{i}").cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias(f"rev_r{i}") for i in range(top + 1)])
     size = F.col("initial_sales")
 
     def nested(i: int) -> Column:
@@ -128,10 +136,10 @@ def recurrence_pyramid(t: Tables, p: Params, spend: DataFrame, *, depth: int = 1
         month_start(F.col("cohort_date")).alias("cohort_month"), "cohort_date", cohorts.ip_country, cohorts.site,
         "initial_sales", "card_funding", F.coalesce("spend", F.lit(0).cast("decimal(18,2)")).alias("spend"),
         *[F.col(f"r{i}") for i in levels],
-        *[F.col(f"rev_r{i}").cast("decimal(18,2)").alias(f"rev_r{i}") for i in levels],
+        *[F.col(f"rev_r{i}") for i in levels],
         *[money(ratio(nested(i), size)).alias(f"ltv_r{i}") for i in range(ltv_depth + 1)],
         *[money(ratio(F.col("rev_r0") - F.col(f"rev_r{i + 1}"), size)).alias(f"ltv_r{i}_exact")
-          for i in range(ltv_depth + 1)])
+          for i in range(ltv_depth + 1)]).orderBy(F.desc("cohort_date"))
 
 
 def sales_by_site(t: Tables, p: Params) -> DataFrame:

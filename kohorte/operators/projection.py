@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kohorte.functions import constants as k
 from kohorte.functions.columns import day, money, power_law, safe_div
 from kohorte.operators.retention import by_month, heads, maturity_days, observed_points, running_product
 from kohorte.params import Params
@@ -183,6 +184,11 @@ def scenario_report(curves: DataFrame, p: Params, *, baseline_name: str = "Histo
     return wide.withColumnRenamed("ip_country", "country")
 
 
+def published_lifetimes(spark: SparkSession) -> DataFrame:
+    """The published projection as a constant dimension of the same shape as :func:`ltv_projection_dim`."""
+    return spark.createDataFrame(k.PUBLISHED_LIFETIMES, "country string, price decimal(10,2), lt_36m decimal(18,2)")
+
+
 def ltv_projection_dim(curves: DataFrame, p: Params) -> DataFrame:
     """(country, price) -> 36-month lifetime and number of mature subscriptions. Small; written as a dimension."""
     price = F.coalesce("price", F.lit(Decimal(p.price_points[0])).cast("decimal(10,2)"))

@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 
-def write_report(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
+def write_report(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), order_by: Sequence[str] = (),
+                 mode: str = "overwrite") -> None:
+    """Write a report; ``order_by`` sorts it here, where row-level exports (reviews, ledger rows) need an order."""
+    if order_by:
+        df = df.orderBy(*order_by)
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -180,3 +180,9 @@ def test_hazard_keeps_months_beyond_the_walk(spark):
     got = [r["hazard"] for r in hazard.segment_hazard(life, walk_months=4).orderBy("month").collect()]
     assert len(got) == 10
     assert got[4:] == pytest.approx([got[4]] * 6)
+
+
+def test_published_lifetimes(spark):
+    dim = projection.published_lifetimes(spark)
+    assert dim.count() == dim.select("country", "price").distinct().count() == 15
+    assert dim.where("country = 'GB' and price = 49.95").first()["lt_36m"] == Decimal("2.05")
