@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Hot keys (one customer, subscription or agent with a large share of the rows) are split at
@@ -46,14 +44,14 @@ def build_session(name: str = "kohorte", master: str | None = None, **extra: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, named by ``spark.checkpoint.dir``.
 
-    A temporary folder stands in only for a single-machine session that names none.
+    A session on a single machine that names none uses a folder of its warehouse; elsewhere that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="kohorte-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
