@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from kohorte.llm import bpe, decontaminate, urlrules
+from kohorte.llm import bpe, decontaminate, lines, partenum, urlrules
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 # (host, path, verdict)
@@ -28,6 +28,15 @@ def coded(docs: DataFrame) -> DataFrame:
                           F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op2_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
+    return partenum.classes(_table(spark, folder, "documents"))
+
+
 def op5_bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return coded(_table(spark, folder, "documents"))
 
@@ -45,6 +54,8 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_partenum_join": op2_partenum_join,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op8_url_rules": op8_url_rules,
     "op10_decontaminate": op10_decontaminate,
