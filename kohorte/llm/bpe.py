@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from kohorte.llm.textops import slices, text_batch
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
 
-REMEMBERED = 500_000    # pieces a worker keeps
-POOL = 12 << 20         # bytes of text whose new pieces are merged together
+REMEMBERED = 250_000    # pieces a worker keeps
+POOL = 6 << 20         # bytes of text whose new pieces are merged together
 
 
 def byte_of_char() -> dict[str, int]:
@@ -70,7 +71,7 @@ class Vocabulary:
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it can't be merged."""
-        keys = left * self.width + right
+        keys = left.astype(np.int64) * self.width + right
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.order[at], -1)
 
@@ -117,12 +118,12 @@ def merge_pool(pieces: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
     sizes = np.array([len(p) for p in pieces], np.int64)
     ends = np.cumsum(sizes)
     n = int(ends[-1])
-    symbol = vocabulary.base[np.frombuffer(b"".join(pieces), np.uint8)]
-    following = np.arange(1, n + 1)
+    symbol = vocabulary.base[np.frombuffer(b"".join(pieces), np.uint8)].astype(np.int32)
+    following = np.arange(1, n + 1, dtype=np.int32)
     following[ends - 1] = -1
-    preceding = np.arange(-1, n - 1)
+    preceding = np.arange(-1, n - 1, dtype=np.int32)
     preceding[ends - sizes] = -1
-    index, inner = PairIndex(), np.flatnonzero(following >= 0)
+    index, inner = PairIndex(), np.flatnonzero(following >= 0).astype(np.int32)
     index.add(vocabulary.rank(symbol[inner], symbol[inner + 1]), inner)
     while index.ranks:
         rank, at = index.pop()
@@ -190,17 +191,16 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known = {}
-        sections = [self._sections(t) for t in texts]
         parts: set[str] = set()
-        for one in sections:
-            for special, found in one:
+        for text in texts:      # cut twice rather than kept: the parts of a pool take ten times its bytes
+            for special, found in self._sections(text):
                 if not special:
                     parts.update(found)
         self._learn(parts - self.known.keys())
         known = self.known
         special = {s: np.array([i], "<u4").tobytes() for s, i in self.vocabulary.special.items()}
-        return [b"".join([special[p] if is_special else known[p] for is_special, found in one for p in found])
-                for one in sections]
+        return [b"".join([special[p] if is_special else known[p] for is_special, found in self._sections(text) for p in found])
+                for text in texts]
 
 
 _loaded: dict[str, Encoder] = {}
@@ -212,40 +212,48 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
+def _encoded(vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = encoder(vocabulary)
+    for batch in batches:
+        for first, texts in slices(text_batch(batch), POOL):
+            ids = own.encode(texts.to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(first, len(texts)), pa.array(ids, pa.binary())], names=["key", "ids"])
+
+
+def _decoded(vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = encoder(vocabulary).vocabulary.bytes
+    spelled = np.array([table.get(i, b"") for i in range(max(table) + 1)], dtype=object)
+    for batch in batches:
+        for first, packed in slices(batch.column(1)):
+            texts = [b"".join(spelled[np.frombuffer(p, "<u4")].tolist()).decode("utf-8", "replace") for p in packed.to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(first, len(packed)), packed, pa.array(texts, pa.string())], names=["key", "ids", "text"])
+
+
 def encode(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``id_column`` and ``ids``: the text's ids as packed little-endian unsigned 32-bit integers.
 
     ``vocabulary`` is the path of a byte-level BPE file of the tokenizers library, present on every node.
     """
     rows = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(partial(_encoded, vocabulary), f"key {kind}, ids binary").withColumnRenamed("key", id_column)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
-        for batch in batches:
-            for first, texts in slices(text_batch(batch), POOL):
-                ids = own.encode(texts.to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array(ids, pa.binary())], names=["key", "ids"])
 
+def decode(encoded: DataFrame, vocabulary: str, *, id_column: str = "doc_id") -> DataFrame:
+    """``id_column``, ``ids`` (null: none) and ``text``, what the ids spell; bytes that are not UTF-8 become U+FFFD."""
+    rows = encoded.select(F.col(id_column).alias("key"), "ids")
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, ids binary").select(F.col("key").alias(id_column), "ids")
+    return rows.mapInArrow(partial(_decoded, vocabulary), f"key {kind}, ids binary, text string").withColumnRenamed("key", id_column)
 
 
-def decode(encoded: DataFrame, vocabulary: str, *, id_column: str = "doc_id", keep_ids: bool = False) -> DataFrame:
-    """``id_column`` and ``text`` of packed ids (null: none), and the ids again where asked for; bytes that are
-    not UTF-8 become U+FFFD."""
-    rows = encoded.select(F.col(id_column).alias("key"), "ids")
+def encode_decode(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``decode`` of ``encode``, in one Python worker a task."""
+    rows = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = encoder(vocabulary).vocabulary.bytes
-        spelled = np.array([table.get(i, b"") for i in range(max(table) + 1)], dtype=object)
-        for batch in batches:
-            for first, packed in slices(batch.column(1).fill_null(b"")):
-                texts = [b"".join(spelled[np.frombuffer(p, "<u4")].tolist()).decode("utf-8", "replace")
-                         for p in packed.to_pylist()]
-                columns = [batch.column(0).slice(first, len(packed)), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + [packed] * keep_ids, names=["key", "text"] + ["ids"] * keep_ids)
+        return _decoded(vocabulary, _encoded(vocabulary, batches))
 
-    kind = rows.schema["key"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"key {kind}, text string" + ", ids binary" * keep_ids)
-    return out.withColumnRenamed("key", id_column)
+    return rows.mapInArrow(run, f"key {kind}, ids binary, text string").withColumnRenamed("key", id_column)
