@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from kohorte.llm import bpe, decontaminate, lines, partenum, urlrules
+from kohorte.llm import bpe, decisions, decontaminate, ebayes, lines, partenum, urlrules
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 # (host, path, verdict)
@@ -22,8 +22,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def coded(docs: DataFrame) -> DataFrame:
     """Digests of the encoded and of the decoded documents."""
-    encoded = bpe.encode(docs, VOCABULARY)
-    decoded = bpe.decode(encoded, VOCABULARY, keep_ids=True)
+    decoded = bpe.encode_decode(docs, VOCABULARY)
     return decoded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                           F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -41,11 +40,21 @@ def op5_bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return coded(_table(spark, folder, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = decisions.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op8_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urlrules.judge(_table(spark, folder, "pages"), rules)
 
 
+def op9_site_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return ebayes.judged(docs, _table(spark, folder, "labels"), keep=["doc_id", "source", "lang"])
+
+
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -57,7 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_partenum_join": op2_partenum_join,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
+    "op6_quality_rules": op6_quality_rules,
     "op8_url_rules": op8_url_rules,
+    "op9_site_quality": op9_site_quality,
     "op10_decontaminate": op10_decontaminate,
 }
 
