@@ -1,7 +1,7 @@
 """Quality classifier: document evidence combined with site priors by hierarchical empirical Bayes.
 
 Evidence. For each label (low quality, toxic) every feature of a document has a log-odds weight, shrunk toward zero
-by ``SHRINK`` imagined documents of the average rate. Features are the document's distinct words and a few binned
+by up to ``SHRINK`` imagined documents of the average rate (fewer in small samples). Features are the document's distinct words and a few binned
 statistics. A document's evidence is the sum of its positive weights from ``WEAKEST`` on, and a logistic curve, fitted
 on documents that the weights weren't counted on, turns it into a probability.
 
@@ -30,7 +30,7 @@ from kohorte.llm.textops import flat, hashed, slices, text_batch
 
 MAX_LABELLED = 20_000
 MAX_FEATURES = 20_000
-SHRINK, LEAST_SEEN, WEAKEST, MOST = 10.0, 15, 1.5, 12.0
+SHRINK, LEAST_SEEN, WEAKEST, MOST = 10.0, 15, 3.0, 12.0
 HEADS = ("low", "toxic")
 
 _CAPITAL = np.zeros(256, bool)
@@ -107,13 +107,14 @@ def _counts(fold: int | None):
     return run
 
 
-def _weights(sample: DataFrame, fold: int | None, rates: dict[str, float]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def _weights(sample: DataFrame, size: int, fold: int | None, rates: dict[str, float]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    shrink, least = min(SHRINK, max(1.0, size / 1000)), min(LEAST_SEEN, max(4, size // 700))
     counted = sample.select("text", "low", "toxic", "part").mapInArrow(_counts(fold), "feature long, n long, low long, toxic long")
-    totals = counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "low", "toxic")]).where(F.col("n") >= LEAST_SEEN)
+    totals = counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "low", "toxic")]).where(F.col("n") >= least)
 
     def weight(head: str) -> Column:
         rate = rates[head]
-        odds = (F.col(head) + SHRINK * rate) / (F.col("n") - F.col(head) + SHRINK * (1 - rate))
+        odds = (F.col(head) + shrink * rate) / (F.col("n") - F.col(head) + shrink * (1 - rate))
         return F.log(odds) - math.log(rate / (1 - rate))
 
     weighed = totals.select("feature", *[F.when(weight(h) >= WEAKEST, weight(h)).otherwise(0.0).alias(h) for h in HEADS])
@@ -160,13 +161,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
         return None
     rates = {h: (total[h] + 0.5) / (total["n"] + 1) for h in HEADS}
     # The curve: weights from one half, evidence on the other.
-    half = Model(*_weights(sample, 1, rates), curve={})
+    half = Model(*_weights(sample, total["n"] // 2, 1, rates), curve={})
     scored = sample.where("part = 1").select("text", "low", "toxic").mapInArrow(_scores(half), "low int, toxic int, e_low double, e_toxic double")
     curve = {}
     for head in HEADS:
         bins = scored.groupBy(F.round(F.col(f"e_{head}") * 4).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(head).alias("bad")).collect()
         curve[head] = _logistic(*(np.array([float(r[c]) for r in bins]) / (4 if c == "x" else 1) for c in ("x", "n", "bad")), rates[head])
-    return Model(*_weights(sample, None, rates), curve)
+    return Model(*_weights(sample, total["n"], None, rates), curve)
 
 
 def _logits(model: Model, names: list[str], text_column: str):
