@@ -7,9 +7,10 @@ pair agrees on at least n - k of them, and thus on the signatures of all subsets
 the signatures of its own band and of the next one.
 
 Subsets: all n - k partitions together for k up to 3, pairs of partitions while there are at most ``PAIRED``, else
-single ones. With more than ``EMITTED`` partitions (sets of about 150 shingles or more) only the first ``EMITTED`` give
-signatures: differences fall into partitions by hash, so a pair at the threshold agrees on each with probability
-0.51, and misses the needed ``AGREED`` with a probability below 2e-11.
+single ones. From ``FILLED`` partitions on (sets of about 90 shingles or more) empty partitions give no signature, and at
+most the first ``EMITTED`` partitions do. Differences fall into partitions by hash, so a pair at the threshold
+agrees on a filled partition with probability 0.44; the agreements that are asked for are so few that a pair misses
+them with a probability below 1e-10, whatever the texts.
 
 Frequent signatures (empty partitions, partitions filled by one shared passage) are dropped by the prefix argument: two
 sets that share s signatures share one that isn't among the s - 1 most frequent of either. What remains is
@@ -39,7 +40,9 @@ from kohorte.llm.textops import flat, hashed, mix, slices, text_batch, windows
 
 PERCENT = 75
 SHINGLE = 5
-PAIRED, EMITTED, AGREED = 13, 64, 8
+PAIRED, FILLED, EMITTED = 13, 40, 96
+AGREES, MISSED = 0.44, 1e-10
+STARS = 3       # rounds with centres, before all open pairs are compared
 
 
 @cache
@@ -67,7 +70,13 @@ def scheme(percent: int, band: int) -> tuple[int, int, np.ndarray | None, int]:
         return n, n, np.array(list(combinations(range(n), n - k))), 1
     if n <= PAIRED:
         return n, n, np.array(list(combinations(range(n), 2))), comb(n - k, 2)
-    return (n, n, None, n - k) if n <= EMITTED else (n, EMITTED, None, AGREED)
+    if n < FILLED:
+        return n, n, None, n - k
+    emitted, shared, missed = min(n, EMITTED), 0, 0.0
+    while missed < MISSED:
+        missed += comb(emitted, shared) * AGREES ** shared * (1 - AGREES) ** (emitted - shared)
+        shared += 1
+    return n, emitted, None, max(shared - 1, 1)
 
 
 def signatures(own: np.ndarray, band: int, percent: int = PERCENT) -> tuple[np.ndarray, int]:
@@ -79,7 +88,8 @@ def signatures(own: np.ndarray, band: int, percent: int = PERCENT) -> tuple[np.n
     sums = np.zeros(n, np.uint64)
     np.add.at(sums, part, mix(spread))
     if subsets is None:
-        base, order = sums[:emitted], np.arange(emitted, dtype=np.uint64)
+        order = (np.flatnonzero(sums[:emitted]) if n >= FILLED else np.arange(emitted)).astype(np.uint64)
+        base = sums[order.astype(np.int64)]
     else:
         factors = mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
         base, order = (sums[subsets] * factors[subsets]).sum(axis=1, dtype=np.uint64), np.arange(len(subsets), dtype=np.uint64)
@@ -157,11 +167,17 @@ def _compare(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. The member's text is met first, then the centre's."""
+def _linked(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose texts are similar. Pairs that share fewer signatures than similar ones do are left out
+    before texts are met; the member's text comes first, then the centre's."""
+    def of(side: str) -> DataFrame:
+        return sigs.select(F.col("fp").alias(side), F.col("need").alias(f"need_{side}"), F.col("sigs").alias(f"sigs_{side}"))
+
+    near = pairs.join(of("b"), "b").join(of("a"), "a") \
+        .where(F.size(F.array_intersect("sigs_a", "sigs_b")) >= F.least("need_a", "need_b")).select("a", "b")
     of_b = texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b"))
     of_a = texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_compare(percent), "a long, b long")
+    return near.join(of_b, "b").join(of_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_compare(percent), "a long, b long")
 
 
 def _compatible(percent: int):
@@ -184,7 +200,10 @@ def classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "t
     kept = scratch.keep(kept, "kept")
     score = kept.groupBy("fp").agg(F.sum("often").alias("score"))
     groups = scratch.keep(kept.select("sig", "fp", "n").join(score, "fp"), "groups")
-    found = _closed(groups, _texts(rows, sets, groups, scratch), scratch, percent)
+    asked = groups.select("fp").distinct()
+    shared = members.join(asked, "fp", "left_semi").groupBy("fp").agg(
+        (F.min("spare") + 1).alias("need"), F.collect_list(F.col("sig").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("sigs"))     # a set's own signatures
+    found = _closed(groups, scratch.keep(shared, "sigs"), _texts(rows, sets, groups, scratch), scratch, percent)
     return _labelled(sets, found).withColumnRenamed("doc", id_column)
 
 
@@ -194,7 +213,7 @@ def _texts(rows: DataFrame, sets: DataFrame, groups: DataFrame, scratch: Scratch
     return scratch.keep(rows.join(of_set, "doc").select("fp", "text").dropDuplicates(["fp"]), "texts")
 
 
-def _closed(groups: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def _closed(groups: DataFrame, sigs: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(a, b): each linked set and the smallest set of its component.
 
     Star rounds first, as long as they find links; the last round compares all that a signature joins and that are in
@@ -208,7 +227,7 @@ def _closed(groups: DataFrame, texts: DataFrame, scratch: Scratch, percent: int)
     pairs = to_center.where(_compatible(percent)).groupBy("b").agg(F.max(F.struct("rank", "a")).alias("best")).select(
         F.col("best.a").alias("a"), "b")
     tested = scratch.keep(pairs, "pairs-0")
-    edges = scratch.keep(_linked(tested, texts, percent), "edges-0")
+    edges = scratch.keep(_linked(tested, sigs, texts, percent), "edges-0")
     roots = connected(edges, scratch, "roots-0")
     k, stars = 0, True
     while True:
@@ -228,14 +247,14 @@ def _closed(groups: DataFrame, texts: DataFrame, scratch: Scratch, percent: int)
         fresh = ordered.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")) \
             .join(done, ["lo", "hi"], "left_anti").dropDuplicates(["lo", "hi"]).select("a", "b")
         fresh = scratch.keep(fresh, f"pairs-{k}")
-        linked = scratch.keep(_linked(fresh, texts, percent), f"edges-{k}")
+        linked = scratch.keep(_linked(fresh, sigs, texts, percent), f"edges-{k}")
         grew = not linked.isEmpty()
         tested, edges = tested.unionByName(fresh), edges.unionByName(linked)
         if grew:
             roots = connected(edges, scratch, f"roots-{k}")
         if not stars:
             return roots
-        stars = grew and k < 4
+        stars = grew and k < STARS
 
 
 def _cross(rows: DataFrame) -> DataFrame:
