@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from kohorte.llm import bpe, decisions, decontaminate, ebayes, lines, partenum, urlrules
+from kohorte.llm.scratch import Scratch
+from kohorte.llm import bpe, decisions, decontaminate, ebayes, lines, mixcoder, partenum, separators, urlrules
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 0xC480     # above all ids of the vocabulary
 # (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -36,6 +38,14 @@ def op2_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
     return partenum.classes(_table(spark, folder, "documents"))
 
 
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    file = Scratch(spark, "token-files").keep(mixcoder.blocks(_table(spark, folder, "documents"), VOCABULARY), "blocks")
+    docs = mixcoder.read(file).select("part", "block", "doc_id", "offset", F.expr("octet_length(ids) div 4").alias("n_tokens"),
+                                      F.crc32("ids").alias("ids_crc32"))
+    return docs.join(mixcoder.block_starts(file), ["part", "block"]).select(
+        "doc_id", (F.col("begin") + F.col("offset")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
+
+
 def op5_bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return coded(_table(spark, folder, "documents"))
 
@@ -45,6 +55,12 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = bpe.encode(_table(spark, folder, "documents"), VOCABULARY)
+    files = Scratch(spark, "flat-tokens").keep(separators.flat_files(encoded, end_id=END_ID), "files")
+    return separators.counts(files, END_ID)
+
+
 def op8_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urlrules.judge(_table(spark, folder, "pages"), rules)
@@ -65,8 +81,10 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_partenum_join": op2_partenum_join,
+    "op4_token_files": op4_token_files,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op6_quality_rules": op6_quality_rules,
+    "op7_token_counts": op7_token_counts,
     "op8_url_rules": op8_url_rules,
     "op9_site_quality": op9_site_quality,
     "op10_decontaminate": op10_decontaminate,
