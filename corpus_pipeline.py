@@ -1,29 +1,52 @@
-"""A corpus from raw documents to token ids, one operator a stage."""
+"""A corpus from raw documents to token ids, one operator a stage.
+
+Every stage is judged by what it takes from its predecessor: documents that the classifier rejects go; line runs that
+occur earlier are cut, and a document that has no word left after that goes; of each group of near copies the one with the
+smallest id stays; documents with a benchmark passage go; the rest is encoded and decoded. All but the last stage
+return the columns of documents, with ``n_chars`` of the text as it is.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kohorte.llm import decontaminate, queries
+from kohorte.llm import decontaminate, ebayes, lines, partenum, queries
 from kohorte.llm.scratch import Scratch
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return ebayes.judged(docs, labels).where("kept").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = lines.dedup_lines(docs, length_column="n_chars")
+    emptied = (F.col("n_removed") > 0) & (F.length(F.translate("text", " \t\n\x0b\f\r", "")) == 0)
+    return cut.where(~emptied).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return partenum.first_of_class(docs).select(docs.columns)
+
+
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the documents' ids and of the texts decoded from them."""
     return queries.coded(docs)
 
 
 STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
     ("benchmark decontamination", benchmark_free),
     ("BPE encoding and decoding", token_ids),
 ]
 
-# Stages with trained models, suffix arrays and BPE can't be written in SQL.
+# Trained models, suffix arrays, set joins and BPE can't be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from kohorte.llm.scratch import Scratch
-from kohorte.llm import bpe, decisions, decontaminate, ebayes, lines, mixcoder, partenum, separators, urlrules
+from kohorte.llm import bpe, decisions, decontaminate, ebayes, lines, maxent, mixcoder, partenum, separators, urlrules
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0xC480     # above all ids of the vocabulary
@@ -38,6 +38,10 @@ def op2_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
     return partenum.classes(_table(spark, folder, "documents"))
 
 
+def op3_maxent_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return maxent.score(_table(spark, folder, "documents"))
+
+
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     file = Scratch(spark, "token-files").keep(mixcoder.blocks(_table(spark, folder, "documents"), VOCABULARY), "blocks")
     docs = mixcoder.read(file).select("part", "block", "doc_id", "offset", F.expr("octet_length(ids) div 4").alias("n_tokens"),
@@ -81,6 +85,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_partenum_join": op2_partenum_join,
+    "op3_maxent_scores": op3_maxent_scores,
     "op4_token_files": op4_token_files,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op6_quality_rules": op6_quality_rules,
