@@ -29,7 +29,7 @@ def _merge() -> list[Column]:
             F.max("last_payment").alias("last_payment")]
 
 
-def _subscribers(t: Tables, p: Params, after) -> DataFrame:
+def _subscribers(t: Tables, p: Params, after, *, plan_required: bool = False) -> DataFrame:
     """Real subscriptions of external customers, created after a day, with status, price and customer fields."""
     subs = t["subscriptions"].where(
         (F.col("subscription_status") != "Registered") & (F.col("created_at").cast("date") > day(after)))
@@ -40,7 +40,7 @@ def _subscribers(t: Tables, p: Params, after) -> DataFrame:
         F.col("id").alias("customer_id_np"), "email", F.col("ip_country").alias("customer_country"))
     subs = subs.select(F.col("id").alias("subscription_id"), "customer_id_np", "product_id", "subscription_type_id",
                        F.when(left, "churned").otherwise("active").alias("status"))
-    return with_plan_price(subs, t).join(owners, "customer_id_np")
+    return with_plan_price(subs, t, required=plan_required).join(owners, "customer_id_np")
 
 
 def _measures() -> list[Column]:
@@ -52,9 +52,11 @@ def _measures() -> list[Column]:
         F.col("ip_country")]
 
 
-def subscription_fact(t: Tables, p: Params, *, after=None, feed: str = "transactions") -> DataFrame:
+def subscription_fact(t: Tables, p: Params, *, after=None, feed: str = "transactions", plan_required: bool = True) -> DataFrame:
     """Invoiced form: latest copy of every transaction, one row per subscription, highest country code.
 
+    Subscriptions without a plan are left out; with ``plan_required=False`` they stay, without prices.
+
     A transaction without an agent country takes the customer's, so the highest code is the
     greater of the agents' highest and, if any agent country is missing, the customer's.
     """
@@ -67,7 +69,8 @@ def subscription_fact(t: Tables, p: Params, *, after=None, feed: str = "transact
     per_sub = per_agent.groupBy("subscription_id").agg(
         *_merge(), F.max("ip_country_iso_code").alias("agent_country"),
         F.max(F.col("ip_country_iso_code").isNull()).alias("agent_missing"))
-    rows = per_sub.where(F.col("charges") > F.col("refunds")).join(_subscribers(t, p, after or p.start), "subscription_id")
+    rows = per_sub.where(F.col("charges") > F.col("refunds")).join(
+        _subscribers(t, p, after or p.start, plan_required=plan_required), "subscription_id")
     rows = rows.withColumn(
         "ip_country", F.greatest("agent_country", F.when(F.col("agent_missing"), F.col("customer_country"))))
     return rows.select(*_measures(), month_start(F.col("first_payment")).alias("cohort"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kohorte.functions.columns import country_or_unknown, money, normal_country
+from kohorte.functions.columns import country_or_unknown, day, money, normal_country
 from kohorte.operators.shared import on_or_after
 from kohorte.params import Params
 from kohorte.sources.catalog import Tables
@@ -84,13 +85,20 @@ def spend_daily(t: Tables, p: Params) -> DataFrame:
         "date", normal_country(F.col("geo")).alias("ip_country")).agg(money(F.sum("costs")).alias("spend"))
 
 
-def spend_by_site(t: Tables, p: Params, *, first_site: str, second_site: str, second_project: str) -> DataFrame:
+def spend_by_site(t: Tables, p: Params, *, first_site: str, second_site: str, second_project: str,
+                  second_since: date | None | str = "start") -> DataFrame:
     """(day, country, site) -> marketing cost of two sources. The site is a constant per source, so the
-    union cannot produce equal rows and needs no distinct."""
-    recent = F.col("date") >= F.lit(str(p.start)).cast("date")
-    first = t["marketing_spends_pdf"].where(recent).groupBy(
+    union cannot produce equal rows and needs no distinct.
+
+    The first source counts from ``p.start``, the second from ``second_since`` (``"start"``: the same day; None: all days).
+    """
+    since = p.start if second_since == "start" else second_since
+    first = t["marketing_spends_pdf"].where(F.col("date") >= day(p.start)).groupBy(
         "date", country_or_unknown(F.col("geo")).alias("ip_country"), F.lit(first_site).alias("site"))
-    second = t["marketing_spends_web"].where(recent & (F.col("project_id") == second_project)).groupBy(
+    second = t["marketing_spends_web"].where(F.col("project_id") == second_project)
+    if since is not None:
+        second = second.where(F.col("date") >= day(since))
+    second = second.groupBy(
         "date", F.coalesce(normal_country(F.col("geo")), F.lit("UNKNOWN")).alias("ip_country"),
         F.lit(second_site).alias("site"))
     return first.agg(money(F.sum("costs")).alias("spend")).unionByName(second.agg(money(F.sum("costs")).alias("spend")))

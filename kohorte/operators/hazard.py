@@ -1,85 +1,121 @@
 """Segment hazard model: churn probability by segment and month of tenure.
 
-logit p = segment effect + month effect, segment effects ~ N(0, 1.5), month effects a random walk with
-step 0.2, events binomial in the number at risk. The estimate is the posterior mode, found by Spark's own
-generalised linear regression on the life table; posterior means by sampling are not built, and the start of the
-walk has a flat prior.
+logit p = segment effect + month effect, segment effects ~ N(0, 1.5), month effects a random walk with step 0.2
+from a flat start, events binomial in the number at risk. The estimate is the posterior mode by Newton steps;
+posterior means by sampling are not built.
+
+Given the month effects each segment's own effect is a problem in one number, solved where the segment's rows are. What
+is left is a system in the months alone: gradients and curvatures are summed over the segments in Spark, and the driver
+solves it. It never sees a list of segments, and every observed month has a step of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GeneralizedLinearRegression
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kohorte.functions.columns import logistic
 from kohorte.session import cut_lineage
 
-MAX_FEATURES = 1024
+INNER_STEPS = 60
 
 
 @dataclass(frozen=True)
 class HazardFit:
-    segments: list[str]
-    last_month: int
-    intercept: float
-    effects: list[float]
-    steps: list[float]
+    """Month effects (0 to the last observed month) of a fit over segments with prior deviation ``segment_sd``."""
+    months: np.ndarray
+    segment_sd: float
+    by_segment: DataFrame
+
+
+def _own_effect(v: np.ndarray, n: np.ndarray, y: np.ndarray, precision: float) -> tuple[float, np.ndarray]:
+    """A segment's effect given the month effects ``v``, and its churn probabilities."""
+    effect = 0.0
+    for _ in range(INNER_STEPS):
+        p = 1 / (1 + np.exp(-(effect + v)))
+        step = ((y - n * p).sum() - precision * effect) / ((n * p * (1 - p)).sum() + precision)
+        effect += float(np.clip(step, -2, 2))
+        if abs(step) < 1e-12:
+            break
+    return effect, 1 / (1 + np.exp(-(effect + v)))
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for cells in batch.column(batch.schema.get_field_index("cells")):
+        at, n, y = (np.array([c[name] for c in cells.as_py()], float) for name in ("month", "n_risk", "n_event"))
+        yield at.astype(int), n, y
+
+
+def _sums(months: np.ndarray, precision: float):
+    """(month, gradient, curvature row) of a task's segments, their own effects eliminated."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(months)
+        gradient, curvature = np.zeros(size), np.zeros((size, size))
+        for batch in batches:
+            for at, n, y in _rows(batch):
+                _, p = _own_effect(months[at], n, y, precision)
+                w = n * p * (1 - p)
+                gradient[at] += y - n * p
+                curvature[at, at] += w
+                curvature[np.ix_(at, at)] -= np.outer(w, w) / (w.sum() + precision)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(size), pa.int32()), pa.array(gradient), pa.array(list(curvature), pa.list_(pa.float64()))],
+            names=["month", "gradient", "curvature"])
+    return run
+
+
+def _total(table: pa.Table) -> pa.Table:
+    return pa.table({"month": table["month"].slice(0, 1), "gradient": pa.array([sum(table["gradient"].to_pylist())]),
+                     "curvature": pa.array([np.sum(table["curvature"].to_pylist(), axis=0)], pa.list_(pa.float64()))})
 
 
 def fit_segment_hazard(life_table: DataFrame, segment: str = "user_segment", *, segment_sd: float = 1.5,
-                       step_sd: float = 0.2, refits: int = 3, walk_months: int = 120) -> HazardFit:
-    """Posterior mode from a life table (segment, month, n_risk, n_event).
-
-    Features are scaled by the prior deviations, so a unit ridge is the prior: one indicator per segment times
-    ``segment_sd`` and, for every month j >= 1, ``step_sd`` in all months from j on. The regression weighs its
-    penalty by the total working weight, which depends on the fit; a few refits settle it. The life table is
-    written once, since every pass of the solver reads it.
-
-    The walk takes a step in each of the first ``walk_months`` months; later months keep all their rows and share
-    the last effect, so that one subscription with an absurd tenure does not add thousands of parameters.
-    """
-    table = cut_lineage(life_table.where(F.col("n_risk") > 0).select(segment, "month", "n_risk", "n_event"))
-    last_month = table.agg(F.max("month")).first()[0]
-    found = [r[0] for r in table.select(segment).distinct().orderBy(segment).limit(MAX_FEATURES + 1).collect()]
-    if last_month is None:
+                       step_sd: float = 0.2, most_steps: int = 40) -> HazardFit:
+    """Posterior mode from a life table (segment, month, n_risk, n_event), which is written once."""
+    cells = F.struct("month", "n_risk", "n_event")
+    by_segment = cut_lineage(life_table.where(F.col("n_risk") > 0).groupBy(segment).agg(F.collect_list(cells).alias("cells")))
+    last = by_segment.select(F.max(F.array_max("cells.month"))).first()[0]
+    if last is None:
         raise ValueError("the life table is empty")
-    n_steps = min(int(last_month), walk_months)
-    if len(found) + n_steps > MAX_FEATURES:
-        raise ValueError(f"{len(found)} segments and {n_steps} steps exceed {MAX_FEATURES} features")
-    features = [F.when(F.col(segment).eqNullSafe(F.lit(s)), segment_sd).otherwise(0.0) for s in found]
-    steps = F.transform(F.sequence(F.lit(1), F.lit(n_steps)), lambda j: F.when(
-        F.col("month") >= j, step_sd).otherwise(0.0)) if n_steps else F.array().cast("array<double>")
-    rows = table.select(
-        (F.col("n_event").cast("double") / F.col("n_risk").cast("double")).alias("label"),
-        F.col("n_risk").cast("double").alias("weight"),
-        array_to_vector(F.concat(F.array(*features), steps)).alias("features"))
-    share = F.col("label")
-    ridge = 1.0 / max(rows.agg(F.sum(F.col("weight") * share * (1 - share))).first()[0] or 0.0, 1e-9)
-    for _ in range(refits + 1):
-        model = GeneralizedLinearRegression(
-            family="binomial", link="logit", weightCol="weight", regParam=ridge, maxIter=50, tol=1e-10).fit(rows)
-        fitted = model.transform(rows)
-        p = F.col("prediction")
-        ridge = 1.0 / max(fitted.agg(F.sum(F.col("weight") * p * (1 - p))).first()[0], 1e-9)
-    values = [float(v) for v in model.coefficients]
-    return HazardFit(found, int(last_month), float(model.intercept),
-                     [segment_sd * v for v in values[:len(found)]], [step_sd * v for v in values[len(found):]])
+    size = int(last) + 1
+    walk = np.zeros((size, size))
+    for j in range(1, size):
+        walk[[j, j - 1, j, j - 1], [j, j - 1, j - 1, j]] += np.array([1, 1, -1, -1]) / step_sd ** 2
+    total = by_segment.select(F.explode("cells").alias("c")).agg(F.sum("c.n_event"), F.sum("c.n_risk")).first()
+    share = (total[0] + 0.5) / (total[1] + 1)
+    months = np.full(size, float(np.log(share / (1 - share))))
+    schema = "month int, gradient double, curvature array<double>"
+    for _ in range(most_steps):
+        rows = by_segment.select("cells").mapInArrow(_sums(months, segment_sd ** -2), schema) \
+            .groupBy("month").applyInArrow(_total, schema).collect()      # months x months numbers
+        gradient, curvature = np.zeros(size), np.zeros((size, size))
+        for r in rows:
+            gradient[r["month"]], curvature[r["month"]] = r["gradient"], r["curvature"]
+        step = np.linalg.lstsq(curvature + walk, gradient - walk @ months, rcond=None)[0]
+        months = months + step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
+        if np.abs(step).max() < 1e-9:
+            break
+    return HazardFit(months, segment_sd, by_segment)
 
 
 def segment_hazard(life_table: DataFrame, segment: str = "user_segment", **fit_options) -> DataFrame:
     """(segment, month 0..longest tenure of all segments) -> modelled churn probability ``hazard``."""
     fit = fit_segment_hazard(life_table, segment, **fit_options)
-    spark = life_table.sparkSession
-    effects = spark.createDataFrame(
-        [(s, fit.intercept + e) for s, e in zip(fit.segments, fit.effects)], f"{segment} string, level double")
-    walk = F.aggregate(
-        F.slice(F.array(*[F.lit(s) for s in fit.steps]) if fit.steps else F.array().cast("array<double>"),
-                F.lit(1), F.col("month").cast("int")),
-        F.lit(0.0), lambda acc, s: acc + s)
-    months = F.sequence(F.lit(0), F.lit(fit.last_month)).cast("array<bigint>")
-    return effects.withColumn("month", F.explode(months)).select(
-        segment, "month", logistic(F.col("level") + walk).alias("hazard"))
+    months, precision = fit.months, fit.segment_sd ** -2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            curves = []
+            for at, n, y in _rows(batch):
+                effect, _ = _own_effect(months[at], n, y, precision)
+                curves.append(1 / (1 + np.exp(-(effect + months))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(curves, pa.list_(pa.float64()))], names=["segment", "curve"])
+
+    kind = fit.by_segment.schema[segment].dataType.simpleString()
+    curves = fit.by_segment.select(F.col(segment).alias("segment"), "cells").mapInArrow(run, f"segment {kind}, curve array<double>")
+    return curves.select(F.col("segment").alias(segment), F.posexplode("curve").alias("month", "hazard")) \
+        .withColumn("month", F.col("month").cast("bigint"))

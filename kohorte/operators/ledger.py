@@ -206,15 +206,18 @@ def payback_by_site(t: Tables, p: Params, *, legacy_repeat: bool = False) -> Dat
         count_if(F.col("n_charges") - F.col("n_refunds") > 1).alias("first_renewals"))
 
 
-def processor_cohort(t: Tables, p: Params, *, subscription: str | None = None) -> DataFrame:
+def processor_cohort(t: Tables, p: Params, *, subscription: str | None = None, legacy: bool = False) -> DataFrame:
     """(cohort day, country) -> charges, refunds and net revenue in EUR from the processor's own tables (cents).
 
-    Refunds are counted per charge before they meet it, so two refunds of one charge do not repeat its amount.
+    Refunds are counted per charge before they meet it, so two refunds of one charge do not repeat its amount. Neither
+    do two invoices, of which the smallest subscription id counts; ``legacy`` repeats a charge for each of them.
     """
     own = F.col("merchant_id").isin(list(p.processor_merchants)) & (F.col("status") == "succeeded")
     refunds = t["processor_refunds"].where(own & (F.col("amount") > 0)).groupBy(F.col("charge_id").alias("id")).agg(
         F.count(F.lit(1)).alias("n_refunds"))
     invoices = t["processor_invoices"].select(F.col("charge_id").alias("id"), "subscription_id")
+    if not legacy:
+        invoices = invoices.groupBy("id").agg(F.min("subscription_id").alias("subscription_id"))
     owners = gates.external_customers(t["processor_customers"], p.internal_mail, keep_missing=True).select(
         F.col("id").alias("customer_id"))
     rates = t["eur_exchange_rates"].select("date", F.lower("code").alias("currency"), "rate")

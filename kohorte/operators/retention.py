@@ -78,12 +78,9 @@ def heads(df: DataFrame, cond: Column | None = None, value: Column | None = None
 
 
 def volume_gate(rows: DataFrame, p: Params) -> DataFrame:
-    """Rows of countries with at least ``min_country_volume`` subscriptions.
-
-    Rows carry a tier, so the list that passes is never longer than the constant list of tier countries.
-    """
+    """Rows of countries with at least ``min_country_volume`` subscriptions."""
     volume = rows.groupBy("ip_country").agg(heads(rows).alias("n")).where(F.col("n") >= p.min_country_volume)
-    return rows.join(F.broadcast(volume.select("ip_country")), "ip_country", "left_semi")
+    return rows.join(volume.select("ip_country"), "ip_country", "left_semi")
 
 
 def model_prep(fact: DataFrame, p: Params, **options) -> DataFrame:

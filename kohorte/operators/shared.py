@@ -87,12 +87,14 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def with_plan_price(subs: DataFrame, t: Tables) -> DataFrame:
-    """Adds the prices of the plan to rows with a ``subscription_type_id``; NULL where there is no plan."""
+def with_plan_price(subs: DataFrame, t: Tables, *, required: bool = False) -> DataFrame:
+    """Adds the prices of the plan to rows with a ``subscription_type_id``; where there is no plan, NULL or, if one is
+    ``required``, no row."""
+    how = "inner" if required else "left"
     plans = t["subscription_types"].select(F.col("id").alias("subscription_type_id"), F.col("price_id"))
     prices = t["prices"].select(F.col("id").alias("price_id"), F.col("amount").alias("price_amount"),
                                 F.col("amount_trial").alias("price_trial"), F.col("currency").alias("price_currency"))
-    return subs.join(plans, "subscription_type_id", "left").join(prices, "price_id", "left").drop(
+    return subs.join(plans, "subscription_type_id", how).join(prices, "price_id", how).drop(
         "price_id", "subscription_type_id")
 
 

@@ -252,7 +252,9 @@ VIEW["site_spend"] = f"""
     select date, case geo when 'UK' then 'GB' else geo end as ip_country, case project_id when 'pdf' then 'B' else 'A' end as site,
            {cents('sum(costs)')} as spend
     from spend where date >= date '1995-01-01' group by 1, 2, 3"""
+VIEW["site_spend_open"] = VIEW["site_spend"].replace("where date >= date '1995-01-01'", "where date >= date '1995-01-01' or project_id != 'pdf'")
 Q["spend_by_site"] = "select * from site_spend"
+Q["spend_by_site_open"] = "select * from site_spend_open"
 
 # --------------------------------------------------------------------- ledger
 Q["ledger_enriched"] = """
@@ -389,14 +391,14 @@ def multisite(repeat: bool) -> str:
     return f"""
 with paid as ({site_paid(repeat)}),
 sold as (select *, {dated_ltv()} as ltv from site_sales),
-spine as (select date, ip_country, site from site_spend union select date, ip_country, site from sold
+spine as (select date, ip_country, site from site_spend_open union select date, ip_country, site from sold
           union select date, ip_country, site from viewers)
 select m.date, m.ip_country, m.site, coalesce(s.spend, 0) as spend, coalesce(d.sales, 0) as sales, coalesce(d.ltv, 0) as ltv,
        coalesce(d.user_revenue, 0) as user_revenue, coalesce(d.amount_refunds, 0) as amount_refunds,
        coalesce(v.landing_page_viewers, 0) as landing_page_viewers, coalesce(p.real_revenue, 0) as real_revenue,
        coalesce(p.real_revenue_37d, 0) as real_revenue_37d, coalesce(p.charges, 0) as charges, coalesce(p.refunds, 0) as refunds,
        coalesce(p.first_renewals, 0) as first_renewals
-from spine m left join site_spend s using (date, ip_country, site) left join sold d using (date, ip_country, site)
+from spine m left join site_spend_open s using (date, ip_country, site) left join sold d using (date, ip_country, site)
 left join viewers v using (date, ip_country, site)
 left join paid p on p.cohort_date = m.date and p.ip_country = m.ip_country and p.site = m.site
 where m.site in ('A', 'B') and m.date <= {AS_OF} - interval 1 day"""
@@ -454,6 +456,9 @@ def prepared(source: str, offset: int) -> str:
 VIEW["pre"] = f"""
     select * from ({prepared('fact', 0)}) where amount < 100 and tier is not null
     qualify count(*) over (partition by ip_country) >= 50"""
+VIEW["preinc"] = f"""
+    select * from ({prepared('fact', 1)}) where amount < 100 and tier is not null
+    qualify count(*) over (partition by ip_country) >= 50"""
 VIEW["segpre"] = prepared("seg", 1)
 
 Q["model_prep"] = f"select {FACT}, churned, account_age_days, age, tier from pre"
@@ -470,6 +475,7 @@ select cast(amount as double) as amount, count(*) as n, count(*) filter (where a
        {cents('count(*) filter (where account_age_days >= 37 and tenure >= 3) / nullif(count(*) filter (where account_age_days >= 37), 0) * 100')}
          as cr_sale_to_r2
 from pre group by pre.amount"""
+Q["cr_by_price_increase"] = Q["cr_by_price"].replace("from pre group by pre.amount", "from preinc group by preinc.amount")
 
 # ------------------------------------------------------------------ life table
 VIEW["life"] = """
@@ -512,16 +518,26 @@ def points(source: str, keys: str, cycles: int, rule: str, at_least: int) -> str
 FIVE = texts(k.MODEL_COUNTRIES)
 PRICES = ", ".join(str(x) for x in k.PRICE_POINTS)
 VIEW["five"] = f"select * from pre where ip_country in ({FIVE}) and amount in ({PRICES})"
-Q["retention_table"] = f"""
+VIEW["fiveinc"] = VIEW["five"].replace("from pre ", "from preinc ")
+
+
+def retention_table(source: str, cycles: int) -> str:
+    return f"""
 select g.ip_country, cast(g.amount as double) as amount, g.r, coalesce(eligible, 0) as eligible,
        case when eligible >= 20 then survivors / eligible end as retention
 from (select ip_country, cast(amount as decimal(10,2)) as amount, r
-      from (select unnest([{FIVE}]) as ip_country), (select unnest([{PRICES}]) as amount), (select unnest(range(1, 4)) as r)) g
-left join ({cells('five', 'ip_country, amount', 3, 'first')}) c on c.ip_country = g.ip_country and c.amount = g.amount and c.r = g.r"""
+      from (select unnest([{FIVE}]) as ip_country), (select unnest([{PRICES}]) as amount), (select unnest(range(1, {cycles + 1})) as r)) g
+left join ({cells(source, 'ip_country, amount', cycles, 'first')}) c on c.ip_country = g.ip_country and c.amount = g.amount and c.r = g.r"""
+
+
+Q["retention_table"] = retention_table("five", 3)
+Q["retention_table_increase"] = retention_table("fiveinc", 4)
 VIEW["five_points"] = points("five", "ip_country, amount", 12, "first", 20)
 Q["retention_curve"] = """
 select ip_country, cast(amount as double) as amount, r + 1 as cycle, y as retention from five_points
 union all select ip_country, cast(amount as double), 1, 1.0 from five_points where r = 1"""
+VIEW["fiveinc_points"] = points("fiveinc", "ip_country, amount", 12, "first", 20)
+Q["retention_curve_increase"] = Q["retention_curve"].replace("five_points", "fiveinc_points")
 Q["min_days"] = f"""
 select rule, r, d as min_days, count(*) filter (where account_age_days >= d) as eligible
 from pre, (select 'first' as rule, r, {days('first')} as d from (select unnest(range(1, 13)) as r)
@@ -580,7 +596,7 @@ curves as (
 
 Q["stitched_curve"] = f"""{scenarios(0, 0, 1, FIVE)}
 select ip_country, cast(price as double) as price, month, round(s, 6) as retention from curves where price is not null"""
-Q["scenario_report"] = f"""{scenarios(180, 100, 2)}
+Q["scenario_report"] = f"""{scenarios(180, 100, 2, FIVE)}
 select ip_country as country, case when price is null then 'Historico_Antiguo' else 'Precio_' || price end as scenario,
        rows as sample_size, round(sum(s), 6) as lt_36m,
        {', '.join(f'round(sum(s) filter (where month <= {m}), 6) as month_{m}' for m in range(1, 37))}
@@ -592,7 +608,7 @@ from curves group by 1, 2"""
 
 def price_curves() -> str:
     trial = "select amount, r + 1 as x, y from ({}) union all select unnest([{}]), 1, 1.0"
-    pts = f"""five0 as (select * from pre where ip_country in ({FIVE})),
+    pts = f"""five0 as (select * from preinc where ip_country in ({FIVE})),
  old as (select * from five0 where amount = 29.95), new as (select * from five0 where amount in (39.95, 49.95)),
  pt as (select cast(amount as decimal(10,2)) as amount, cast(x as double) as x, y
         from ({trial.format(points('old', 'amount', 12, 'first', 100), '29.95')})),

@@ -67,12 +67,17 @@ def _model_prep(t: Tables, p: Params) -> DataFrame:
     return retention.model_prep(cut_lineage(_fact(t, p)), p).drop("started")
 
 
-def _prepared(t: Tables, p: Params) -> DataFrame:
+def _prepared(t: Tables, p: Params, tenure_offset: int = 0) -> DataFrame:
     """The invoiced fact folded to cells and stored: one pass over the data, whatever reads the cells."""
-    cells = retention.fold(retention.model_rows(_fact(t, p), p), "ip_country", "tier", "amount")
+    cells = retention.fold(retention.model_rows(_fact(t, p), p, tenure_offset=tenure_offset), "ip_country", "tier", "amount")
     return retention.volume_gate(cut_lineage(cells), p)
 
 
+def _increase(t: Tables, p: Params) -> DataFrame:
+    """Cells of the price-increase model, which counts tenure from the charge after the trial."""
+    return _prepared(t, p, tenure_offset=1)
+
+
 def _segments(t: Tables, p: Params) -> DataFrame:
     rows = retention.model_rows(facts.subscription_segments(t, p), p, tenure_offset=1, markets=False, annual=True)
     return cut_lineage(retention.fold(rows, "user_segment"))
@@ -86,13 +91,18 @@ def _site_spend(t: Tables, p: Params) -> DataFrame:
     return funnel.spend_by_site(t, p, first_site="B", second_site="A", second_project="web")
 
 
+def _site_spend_open(t: Tables, p: Params) -> DataFrame:
+    """As the multi-site dashboard has it: the second source without a first day."""
+    return funnel.spend_by_site(t, p, first_site="B", second_site="A", second_project="web", second_since=None)
+
+
 def _viewers(t: Tables, p: Params) -> DataFrame:
     return funnel.funnel_by_site(t, p, step_site="B", page_site="A", page_projects=("mobile",))
 
 
 def _multisite(t: Tables, p: Params, *, legacy_repeat: bool) -> DataFrame:
     return dashboards.dashboard_multisite(
-        t, p, spend=_site_spend(t, p), viewers=_viewers(t, p), ltv_windows=lens_ltv_windows(), legacy_repeat=legacy_repeat)
+        t, p, spend=_site_spend_open(t, p), viewers=_viewers(t, p), ltv_windows=lens_ltv_windows(), legacy_repeat=legacy_repeat)
 
 
 def _ltv_by_window(t: Tables, p: Params) -> DataFrame:
@@ -122,12 +132,12 @@ def _stitched(t: Tables, p: Params) -> DataFrame:
 
 def _scenarios(t: Tables, p: Params) -> DataFrame:
     curves = projection.scenario_curves(
-        _prepared(t, p), p, min_volume=BASELINE_VOLUME, baseline_age=180, new_cycles=2)
+        _prepared(t, p), p, countries=p.model_countries, min_volume=BASELINE_VOLUME, baseline_age=180, new_cycles=2)
     return projection.scenario_report(curves, p)
 
 
 def _lt_cumulative(t: Tables, p: Params) -> DataFrame:
-    return projection.lt_cumulative(projection.price_curves(_prepared(t, p), p), ["amount"])
+    return projection.lt_cumulative(projection.price_curves(_increase(t, p), p), ["amount"])
 
 
 def _empirical(segments: DataFrame) -> DataFrame:
@@ -211,6 +221,7 @@ BUILDERS: dict[str, tuple[Builder, Mapping]] = {
     "country_mapping": (lambda t, p: funnel.country_mapping(t), {}),
     "spend_daily": (funnel.spend_daily, {}),
     "spend_by_site": (_site_spend, {}),
+    "spend_by_site_open": (_site_spend_open, {}),
     # ledger
     "ledger_enriched": (ledger.ledger_enriched, {}),
     "ledger_reconcile": (ledger.ledger_reconcile, {}),
@@ -234,12 +245,15 @@ BUILDERS: dict[str, tuple[Builder, Mapping]] = {
     "price_descriptives": (lambda t, p: retention.price_descriptives(_prepared(t, p)), {}),
     "top_countries": (lambda t, p: retention.top_countries(_prepared(t, p)), {}),
     "cr_by_price": (lambda t, p: retention.cr_by_price(_prepared(t, p)), {}),
+    "cr_by_price_increase": (lambda t, p: retention.cr_by_price(_increase(t, p)), {}),
     "life_table": (lambda t, p: retention.life_table(_segments(t, p)), {}),
     "km_survival": (lambda t, p: retention.km_survival(_segments(t, p)), {"rounded": ("survival_rate",)}),
     "empirical_lifetime": (lambda t, p: retention.empirical_lifetime(retention.km_survival(_segments(t, p))),
                            {"rounded": ("lifetime_months",)}),
     "retention_table": (lambda t, p: retention.retention_table(_prepared(t, p), p), {}),
     "retention_curve": (lambda t, p: retention.retention_curve(_prepared(t, p), p), {}),
+    "retention_table_increase": (lambda t, p: retention.retention_table(_increase(t, p), p, cycles=4), {}),
+    "retention_curve_increase": (lambda t, p: retention.retention_curve(_increase(t, p), p), {}),
     "min_days": (_min_days, {}),
     # projection
     "power_law_loglog": (_loglog, {"rounded": ("alpha", "beta")}),
@@ -249,7 +263,7 @@ BUILDERS: dict[str, tuple[Builder, Mapping]] = {
     "scenario_report": (_scenarios, {"rounded": ("lt_36m", *[f"month_{m}" for m in range(1, 37)])}),
     "ltv_projection_dim": (lambda t, p: projection.ltv_projection_dim(_projection_curves(t, p), p), {}),
     "lt_cumulative": (_lt_cumulative, {"rounded": ("retention", "lifetime")}),
-    "curve_detail": (lambda t, p: projection.curve_detail(projection.price_curves(_prepared(t, p), p), p), {}),
+    "curve_detail": (lambda t, p: projection.curve_detail(projection.price_curves(_increase(t, p), p), p), {}),
     # lifetime from hazards
     "segment_hazard": (lambda t, p: _modelled(_segments(t, p)), {"rounded": ("hazard",)}),
     "lt_horizons": (lambda t, p: _horizons(t, p, _empirical), {}),

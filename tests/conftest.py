@@ -9,8 +9,10 @@ from kohorte.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+def spark(tmp_path_factory):
+    session = build_session("tests", "local[4]", **{
+        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

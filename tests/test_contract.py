@@ -6,15 +6,18 @@ import __spark_entry__ as contract
 from check import compare, duck
 from fixtures import P, charge, tables
 from kohorte.operators.shared import trial_charges
+from kohorte.plans import oracle, registry
 from kohorte.sources.catalog import from_catalog, from_parquet, read_csv
 from kohorte.sources.sinks import write_csv, write_report
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+ORACLES = oracle.oracle_sql()
+QUERIES = {name: contract.queries()[name] for name in registry.queries()}
 MODELLED = {"segment_hazard", "lt_horizons_modelled", "ltv_cumulative_modelled"}
 # One or two per family; check.py compares all of them.
 COMPARED = ["sales_daily", "cohort_renewals", "renewal_windows", "payback_daily", "payback_by_method", "funnel_daily",
-            "recurrence_pyramid", "dashboard_daily", "subscription_fact", "km_survival", "src_csv_roundtrip"]
+            "recurrence_pyramid", "dashboard_daily", "subscription_fact", "km_survival", "src_csv_roundtrip", "lt_cumulative",
+            "scenario_report", "spend_by_site_open", "dashboard_multisite", "retention_curve_increase", "processor_cohort"]
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +28,7 @@ def duckdb_tables():
 def test_every_query_has_an_oracle_unless_modelled():
     assert set(QUERIES) - set(ORACLES) == MODELLED
     assert set(ORACLES) <= set(QUERIES)
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry(spark):

@@ -154,7 +154,10 @@ def exact_mode(table, segments, months, sd=1.5, step=0.2):
     theta = np.zeros(x.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-x @ theta))
-        theta = theta + np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + ridge, x.T @ (y - n * p) - ridge @ theta)
+        change = np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + ridge, x.T @ (y - n * p) - ridge @ theta)
+        theta = theta + change * min(1, 2 / np.abs(change).max())
+        if np.abs(change).max() < 1e-11:
+            break
     return {(s, m): 1 / (1 + np.exp(-(theta[0] + sd * theta[1 + i] + step * theta[1 + len(segments):1 + len(segments) + m].sum())))
             for i, s in enumerate(segments) for m in range(months + 1)}
 
@@ -175,11 +178,23 @@ def test_hazard_is_the_posterior_mode(spark):
     assert max(abs(got[c] - want[c]) for c in want) < 1e-5
 
 
-def test_hazard_keeps_months_beyond_the_walk(spark):
-    life = curve(spark, [("a", m, 100 - m, 5) for m in range(10)], "user_segment string, month bigint, n_risk bigint, n_event bigint")
-    got = [r["hazard"] for r in hazard.segment_hazard(life, walk_months=4).orderBy("month").collect()]
-    assert len(got) == 10
-    assert got[4:] == pytest.approx([got[4]] * 6)
+def test_hazard_with_many_segments_and_months(spark):
+    """Every month has a step of its own, and there is no bound on segments; gaps and early ends included."""
+    rng = np.random.default_rng(2)
+    table = []
+    for i in range(120):
+        risk, level = int(rng.integers(20, 4000)), rng.normal(-3, 1)
+        for m in range(int(rng.integers(1, 150)) if i else 150):
+            events = int(rng.binomial(risk, 1 / (1 + np.exp(-(level + 0.3 * np.sin(m / 9))))))
+            if risk:
+                table.append((f"s{i:03}", m, risk, events))
+            risk -= events
+    life = curve(spark, table, "user_segment string, month bigint, n_risk bigint, n_event bigint")
+    last = max(r[1] for r in table)
+    want = exact_mode(table, sorted({r[0] for r in table}), last)
+    got = {(r["user_segment"], r["month"]): r["hazard"] for r in hazard.segment_hazard(life).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[c] - want[c]) for c in want) < 1e-6
 
 
 def test_published_lifetimes(spark):
