@@ -123,7 +123,7 @@ def documents(scanned: DataFrame) -> DataFrame:
     without the end id."""
     by_file = Window.partitionBy("file").orderBy("block")      # a few numbers a block
     before = by_file.rowsBetween(Window.unboundedPreceding, -1)
-    numbers = scanned.select("file", "block", "n_ids", F.size("ends").alias("n_ends"), F.element_at("ends", -1).alias("last")) \
+    numbers = scanned.select("file", "block", "n_ids", F.size("ends").alias("n_ends"), F.get("ends", F.size("ends") - 1).alias("last")) \
         .withColumn("begin", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     placed = numbers.select(
         "file", "block", "begin", "n_ids", F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("docs_before"),
