@@ -15,7 +15,7 @@ them with a probability below 1e-10, whatever the texts.
 Frequent signatures (empty partitions, partitions filled by one shared passage) are dropped by the prefix argument: two
 sets that share s signatures share one that isn't among the s - 1 most frequent of either. What remains is
 grouped; the sets of a group are compared with its most connected member, then those still in different components
-with each other. Sets with equal content are one set throughout, so copies are never paired. Every link is checked on
+with those that have one of their rarest shingles. Sets with equal content are one set throughout, so copies are never paired. Every link is checked on
 the texts; signatures only propose.
 
 Null and empty texts, and texts without a word, have an empty set and link with nothing; fewer than five words
@@ -42,7 +42,6 @@ PERCENT = 75
 SHINGLE = 5
 PAIRED, FILLED, EMITTED = 13, 40, 96
 AGREES, MISSED = 0.44, 1e-10
-STARS = 3       # rounds with centres, before all open pairs are compared
 
 
 @cache
@@ -216,8 +215,9 @@ def _texts(rows: DataFrame, sets: DataFrame, groups: DataFrame, scratch: Scratch
 def _closed(groups: DataFrame, sigs: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(a, b): each linked set and the smallest set of its component.
 
-    Star rounds first, as long as they find links; the last round compares all that a signature joins and that are in
-    different components still.
+    Two rounds with centres. The last round is for what signatures join and is in different
+    components still: of these sets all that share a rare shingle are compared, so that many texts with the same long
+    passage, and thus the same signatures, don't all meet each other.
     """
     member = F.struct("score", "fp", "n")
     center = groups.groupBy("sig").agg(F.max(member).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -229,39 +229,58 @@ def _closed(groups: DataFrame, sigs: DataFrame, texts: DataFrame, scratch: Scrat
     tested = scratch.keep(pairs, "pairs-0")
     edges = scratch.keep(_linked(tested, sigs, texts, percent), "edges-0")
     roots = connected(edges, scratch, "roots-0")
-    k, stars = 0, True
-    while True:
-        k += 1
+    for k, rarest in ((1, False), (2, True)):
         placed = groups.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left") \
             .withColumn("root", F.coalesce("root", "fp"))
         open_sigs = placed.groupBy("sig").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("sig")
         open_rows = scratch.keep(placed.join(open_sigs, "sig", "left_semi"), f"open-{k}")
-        if stars:
+        if rarest:
+            new = _rarest(open_rows, texts, percent)
+        else:
             lead = open_rows.groupBy("sig").agg(F.max(F.struct("score", "fp", "n", "root")).alias("c"))
             new = open_rows.join(lead, "sig").where("root <> c.root").select(
                 F.col("c.fp").alias("a"), F.col("fp").alias("b"), F.col("c.n").alias("n_a"), F.col("n").alias("n_b"))
-        else:
-            new = _cross(open_rows)
         ordered = new.where(_compatible(percent)).select("a", "b").distinct()
         done = tested.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
         fresh = ordered.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")) \
             .join(done, ["lo", "hi"], "left_anti").dropDuplicates(["lo", "hi"]).select("a", "b")
         fresh = scratch.keep(fresh, f"pairs-{k}")
+        tested = tested.unionByName(fresh)
         linked = scratch.keep(_linked(fresh, sigs, texts, percent), f"edges-{k}")
-        grew = not linked.isEmpty()
-        tested, edges = tested.unionByName(fresh), edges.unionByName(linked)
-        if grew:
-            roots = connected(edges, scratch, f"roots-{k}")
-        if not stars:
-            return roots
-        stars = grew and k < STARS
-
-
-def _cross(rows: DataFrame) -> DataFrame:
-    """Pairs that share a signature and aren't in one component yet."""
-    left = rows.select("sig", F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    right = rows.select("sig", F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    return left.join(right, "sig").where("a < b and root_a <> root_b")
+        if linked.isEmpty():
+            continue
+        edges = edges.unionByName(linked)
+        roots = connected(edges, scratch, f"roots-{k}")
+    return roots
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, texts in slices(text_batch(batch)):
+            sets = [s.view(np.int64) for s in shingle_sets(texts)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(first, len(texts)), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+
+def _rarest(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of open groups that aren't in one component and share one of their rarest shingles.
+
+    Similar sets of sizes m and n share at least o = p / (1 + p) (m + n) shingles. So of each, in one order from rare to
+    frequent, one of the first n - p n + 1 is shared; and the first that they share leaves enough behind it to get to o.
+    """
+    asked = rows.select("fp", "n", "root").distinct()
+    cut = texts.join(asked, "fp").select("fp", "text").mapInArrow(_shingles, "fp long, shingles array<long>")
+    each = cut.select("fp", F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").count().where("count > 1")
+    nth = F.row_number().over(Window.partitionBy("fp").orderBy("count", "shingle"))
+    of_set = Window.partitionBy("fp")       # a set's own shingles
+    placed = each.join(common, "shingle").join(asked, "fp").withColumn("at", nth + F.col("n") - F.count(F.lit(1)).over(of_set)) \
+        .where(f"at <= n - (n * {percent} + 99) div 100 + 1").select("shingle", "fp", "n", "root", "at")
+    left, right = (placed.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "root", "at")]) for side in "ab")
+    reach = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    return left.join(right, "shingle").where(F.col("fp_a") < F.col("fp_b")).where("root_a <> root_b") \
+        .where((100 + percent) * reach >= percent * (F.col("n_a") + F.col("n_b"))) \
+        .select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"), "n_a", "n_b")
 
 
 def _labelled(sets: DataFrame, roots: DataFrame) -> DataFrame:
