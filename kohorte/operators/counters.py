@@ -71,16 +71,18 @@ def active_subs_no_refund(t: Tables, p: Params) -> DataFrame:
 def sales_revenue_daily(t: Tables, p: Params, *, iso_year: bool = False) -> DataFrame:
     """(date, country) -> sales, whole net revenue and refunds, with week label and the country's lifetime value."""
     rows = on_or_after(gates.successful(t["transactions"]), "created_at", p.start)
-    rows = gates.invoiced(rows, t["invoices_sii"]).select(
-        "customer_id", "subscription_id", "transaction_type", "amount", F.col("created_at").cast("date").alias("date"))
+    # Folded before it meets prices and customers: equal charges of a subscription and day are one row.
+    rows = gates.invoiced(rows, t["invoices_sii"]).groupBy(
+        "customer_id", "subscription_id", "transaction_type", "amount", F.col("created_at").cast("date").alias("date")).agg(
+        F.count(F.lit(1)).alias("times"))
     rows = rows.join(subscription_prices(t).select("subscription_id", "price_trial"), "subscription_id", "left")
     rows = rows.join(customer_keys(t, p), "customer_id")
-    amount = F.col("amount")
+    times, amount = F.col("times"), F.col("amount") * F.col("times").cast("decimal(18,0)")
     label = iso_week_label if iso_year else calendar_week_label
     return rows.groupBy("date", "ip_country").agg(
-        count_if(is_charge() & (F.col("price_trial") == amount)).alias("sales"),
+        sum_if(is_charge() & (F.col("price_trial") == F.col("amount")), times).alias("sales"),
         whole_units(sum_if(is_charge(), amount) - sum_if(is_refund(), amount)).alias("user_revenue"),
-        count_if(is_refund()).alias("refunds"),
+        sum_if(is_refund(), times).alias("refunds"),
         whole_units(sum_if(is_refund(), amount)).alias("amount_refunds"),
     ).select(
         "date", "ip_country", label(F.col("date")).alias("week"),

@@ -30,10 +30,10 @@ def is_refund() -> Column:
     return F.col("event_type") == "refund"
 
 
-def movements(t: Tables, p: Params, *, known_customers: bool = True) -> DataFrame:
+def movements(t: Tables, p: Params, *, known_customers: bool = True, with_email: bool = False) -> DataFrame:
     """Successful movements of the reported merchants with their site, internal customers left out.
 
-    ``known_customers=False`` skips the customer gate.
+    ``known_customers=False`` skips the customer gate; ``with_email`` adds the customer's address.
     """
     rows = t["money_movements"].where(
         F.col("merchant_id").isin(list(p.merchant_sites)) & (F.col("status") == "succeeded")
@@ -42,7 +42,7 @@ def movements(t: Tables, p: Params, *, known_customers: bool = True) -> DataFram
     if known_customers:
         owners = gates.external_customers(t["processor_customers"], p.internal_mail).select(
             F.col("id").alias("customer_id"), "email")
-        rows = rows.join(owners, "customer_id")
+        rows = rows.join(owners, "customer_id") if with_email else rows.join(owners, "customer_id", "left_semi")
     return rows
 
 
@@ -77,7 +77,7 @@ def ledger_reconcile(t: Tables, p: Params) -> DataFrame:
         F.col("id_transaction").alias("charge_id"), F.col("id").alias("transaction_id"), "id_transaction",
         F.col("customer_id").alias("customer_id_internal"), F.col("amount").alias("amount_internal"),
         F.col("currency").alias("currency_internal"))
-    rows = with_country(movements(t, p), t, p)
+    rows = with_country(movements(t, p, with_email=True), t, p)
     return (
         rows.join(internal, "charge_id", "left").join(t["invoices_sii"], "transaction_id", "left")
         .select(F.col("event_date").alias("date"), "event_type", "charge_id",
@@ -139,7 +139,7 @@ def recurrence_pyramid(t: Tables, p: Params, spend: DataFrame, *, depth: int = 1
         *[F.col(f"rev_r{i}") for i in levels],
         *[money(ratio(nested(i), size)).alias(f"ltv_r{i}") for i in range(ltv_depth + 1)],
         *[money(ratio(F.col("rev_r0") - F.col(f"rev_r{i + 1}"), size)).alias(f"ltv_r{i}_exact")
-          for i in range(ltv_depth + 1)]).orderBy(F.desc("cohort_date"))
+          for i in range(ltv_depth + 1)])
 
 
 def sales_by_site(t: Tables, p: Params) -> DataFrame:

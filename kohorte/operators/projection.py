@@ -244,11 +244,11 @@ def survival_to(hazard: DataFrame, months: int, segment: str = "user_segment") -
 
 def lt_horizons(hazard: DataFrame, users: DataFrame, segment: str = "user_segment",
                 horizons: Sequence[int] = (1, 3, 6, 12, 24, 36)) -> DataFrame:
-    """Segment -> users and lifetime within each horizon, longest 12-month lifetime first."""
+    """Segment -> users and lifetime within each horizon."""
     curve = survival_to(hazard, max(horizons), segment)
     wide = curve.groupBy(segment).agg(
         *[money(F.sum(F.when(F.col("month") < m, F.col("survival")))).alias(f"lt_{m}") for m in horizons])
-    return wide.join(users, segment).orderBy(F.desc(f"lt_{horizons[3]}"), segment)
+    return wide.join(users, segment)
 
 
 def ltv_cumulative(hazard: DataFrame, p: Params, segment: str = "user_segment", *, months: int = 35) -> DataFrame:

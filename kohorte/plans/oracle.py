@@ -657,5 +657,21 @@ select 'where', count(*), count(t.id) from cust c left join txn t on t.customer_
 where t.transaction_status = 1 and t.transaction_type = 1"""
 
 
+def early(sql: str) -> str:
+    """The statement as of 1998-01-01."""
+    return sql.replace("2001-08-01", "1998-01-01").replace("2001 * 12 + 8", "1998 * 12 + 1")
+
+
+PUBLISHED = ", ".join(f"('{c}', {p}, {lt})" for c, p, lt in k.PUBLISHED_LIFETIMES)
+Q["projection_check"] = Q["ltv_projection_dim"].replace(
+    "select ip_country as country, cast(coalesce(price, 29.95) as double) as price,", """, own as (
+select ip_country as country, cast(coalesce(price, 29.95) as double) as price,""") + f""")
+select own.country, own.price, lt_36m, cast(published as double) as published_lt_36m,
+       round(lt_36m - published, 2) as difference
+from own left join (values {PUBLISHED}) w(country, price, published) on w.country = own.country and w.price = own.price"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql, VIEW) for name, sql in Q.items()}
+    from kohorte.plans.registry import EARLY_REPORTS
+    whole = {name: with_views(sql, VIEW) for name, sql in Q.items()}
+    return whole | {f"{name}_early": early(whole[name]) for name in EARLY_REPORTS}

@@ -7,6 +7,7 @@ plain types (decimals as doubles), under the column names its oracle statement u
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import replace
 from datetime import date
 from decimal import Decimal
 from uuid import uuid4
@@ -23,7 +24,7 @@ from kohorte.plans.oracle import lens_ltv_windows
 from kohorte.session import configure, cut_lineage, shared_folder
 from kohorte.sources.catalog import Tables, read_csv
 from kohorte.sources.driver_lens import lens
-from kohorte.sources.sinks import write_csv
+from kohorte.sources import sinks
 
 PARAMS = Params(
     as_of=date(2001, 8, 1),
@@ -136,6 +137,14 @@ def _scenarios(t: Tables, p: Params) -> DataFrame:
     return projection.scenario_report(curves, p)
 
 
+def _projection_check(t: Tables, p: Params) -> DataFrame:
+    """The lifetime projection beside the published one."""
+    own = projection.ltv_projection_dim(_projection_curves(t, p), p)
+    published = projection.published_lifetimes(t["customers"].sparkSession).withColumnRenamed("lt_36m", "published_lt_36m")
+    return own.join(published, ["country", "price"], "left").select(
+        "country", "price", "lt_36m", "published_lt_36m", (F.col("lt_36m") - F.col("published_lt_36m")).alias("difference"))
+
+
 def _lt_cumulative(t: Tables, p: Params) -> DataFrame:
     return projection.lt_cumulative(projection.price_curves(_increase(t, p), p), ["amount"])
 
@@ -169,7 +178,7 @@ def _csv_roundtrip(t: Tables, p: Params) -> DataFrame:
     """The subscription fact through a CSV export and back, as the models receive it."""
     spark = t["customers"].sparkSession
     path = f"{shared_folder(spark)}/fact-{uuid4().hex}"
-    write_csv(_fact(t, p), path)
+    sinks.write_csv(_fact(t, p), path)
     return read_csv(spark, path, "subscription_fact").groupBy("ip_country", "status").agg(
         F.count(F.lit(1)).alias("subscriptions"), F.sum("tenure").alias("tenure"), F.sum("user_revenue").alias("user_revenue"))
 
@@ -262,6 +271,7 @@ BUILDERS: dict[str, tuple[Builder, Mapping]] = {
     "stitched_curve": (_stitched, {"rounded": ("retention",)}),
     "scenario_report": (_scenarios, {"rounded": ("lt_36m", *[f"month_{m}" for m in range(1, 37)])}),
     "ltv_projection_dim": (lambda t, p: projection.ltv_projection_dim(_projection_curves(t, p), p), {}),
+    "projection_check": (_projection_check, {}),
     "lt_cumulative": (_lt_cumulative, {"rounded": ("retention", "lifetime")}),
     "curve_detail": (lambda t, p: projection.curve_detail(projection.price_curves(_increase(t, p), p), p), {}),
     # lifetime from hazards
@@ -276,10 +286,30 @@ BUILDERS: dict[str, tuple[Builder, Mapping]] = {
 }
 
 
+# Reports of a day on which much of the data is young: maturity rules and predicted shares matter then.
+EARLY = replace(PARAMS, as_of=date(1998, 1, 1))
+EARLY_REPORTS = ("payback_daily", "payback_weekly", "payback_by_device", "recurrence_ratios", "retention_table", "retention_curve", "min_days",
+                 "cr_by_price", "km_survival", "life_table")
+SORTS = {    # order of the reports' rows where they are written (``sinks.write_report``)
+    "dashboard_daily": ("-spend", "date", "ip_country"), "renewal_windows": ("-date", "ip_country"),
+    "recurrence_pyramid": ("-cohort_date",), "lt_horizons": ("-lt_12", "user_segment"),
+}
+
+
 def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
-    build, publishing = BUILDERS[name]
-    return publish(build(lens(configure(spark), folder), PARAMS), **publishing)
+    early = name.endswith("_early") and name not in BUILDERS
+    build, publishing = BUILDERS[name.removesuffix("_early") if early else name]
+    return publish(build(lens(configure(spark), folder), EARLY if early else PARAMS), **publishing)
+
+
+def names() -> list[str]:
+    return [*BUILDERS, *[f"{name}_early" for name in EARLY_REPORTS]]
+
+
+def write(name: str, spark: SparkSession, folder: str, path: str) -> None:
+    """A report in its order, as Parquet."""
+    sinks.write_report(run(name, spark, folder), path, order_by=SORTS.get(name, ()))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, folder, n=name: run(n, spark, folder)) for name in BUILDERS}
+    return {name: (lambda spark, folder, n=name: run(n, spark, folder)) for name in names()}

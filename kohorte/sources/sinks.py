@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_report(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), order_by: Sequence[str] = (),
                  mode: str = "overwrite") -> None:
-    """Write a report; ``order_by`` sorts it here, where row-level exports (reviews, ledger rows) need an order."""
+    """Write a report; ``order_by`` sorts it here (``-name``: descending), where its readers need an order."""
     if order_by:
-        df = df.orderBy(*order_by)
+        df = df.orderBy(*[F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order_by])
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
