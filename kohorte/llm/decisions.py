@@ -152,6 +152,7 @@ def learn(sample: DataFrame, *, label: str = "__label") -> list[Rule]:
         return {(r["feature"], r["bin"], r["bad"], r["held"]): r["count"] for r in out.collect()}     # features x cuts x 4
 
     rules, left = [], binned
+    least = min(LEAST_COVERED, max(3, binned.count() // 60))      # fewer in small samples
     while len(rules) < MAX_RULES:
         grown: list[tuple[int, bool, int]] = []
         history = []
@@ -161,7 +162,7 @@ def learn(sample: DataFrame, *, label: str = "__label") -> list[Rule]:
                      for b in (True, False) for h in (True, False)}
             history.append(total)
             p0, n0 = total[True, False], total[False, False]
-            if len(grown) == MAX_CONDITIONS or not n0 or p0 < LEAST_COVERED:
+            if len(grown) == MAX_CONDITIONS or not n0 or p0 < least:
                 break
             best = None
             for f, name in enumerate(names):
@@ -169,7 +170,7 @@ def learn(sample: DataFrame, *, label: str = "__label") -> list[Rule]:
                     for above in (True, False):
                         p, n = (sum(table.get((f, x, bad, False), 0) for x in (range(cut + 1, len(cuts[name]) + 1) if above else range(cut + 1)))
                                 for bad in (True, False))
-                        if p < LEAST_COVERED or p + n == p0 + n0:
+                        if p < least or p + n == p0 + n0:
                             continue
                         gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
                         if best is None or gain > best[0] + 1e-9:
@@ -187,7 +188,7 @@ def learn(sample: DataFrame, *, label: str = "__label") -> list[Rule]:
             break
         k = -max(prefixes)[1]
         p, n = (history[k][bad, True] + history[k][bad, False] for bad in (True, False))
-        if (worth(history[k]) + 1) / 2 < LEAST_PRECISION or p < LEAST_COVERED:
+        if (worth(history[k]) + 1) / 2 < LEAST_PRECISION or p < least:
             break
         rules.append(Rule(tuple(Condition(names[f], above, cuts[names[f]][cut]) for f, above, cut in grown[:k]), p, n))
         covered = F.lit(True)
