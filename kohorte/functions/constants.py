@@ -120,3 +120,35 @@ MODEL_COUNTRIES = ["US", "AU", "FR", "GB", "CA"]
 
 # Price points of the recurring charge, oldest first.
 PRICE_POINTS = [Decimal("29.95"), Decimal("39.95"), Decimal("49.95")]
+
+# Events that mark the steps of the funnel, in their order.
+FUNNEL_EVENTS = {
+    "landing_page_viewers": "landing_page_viewed",
+    "upload_document_users": "upload_document",
+    "sign_ups": "sign_up",
+    "payment_page_viewers": "payment_page_viewed",
+}
+
+# Events of page views.
+PAGE_EVENTS = ["view_page", "begin_checkout", "click", "view"]
+
+# Subscription statuses (as they are spelled).
+REGISTERED = "Registered"
+UNSUBSCRIBED = "Unsuscribed"
+
+# Ledger words.
+OPENING_SUBTYPE = "initial_purchase"
+
+# Names of the scenarios of the projection report.
+BASELINE_SCENARIO = "Historico_Antiguo"
+PRICE_SCENARIO = "Precio_"
+
+# Account ages in days at which a sale counts for the first and second renewal rate.
+FIRST_RENEWAL_DAYS = 8
+SECOND_RENEWAL_DAYS = 37
+
+# Trial days, days of a cycle, and days of grace of the two maturity rules.
+TRIAL_DAYS = 7
+CYCLE_DAYS = 28
+FIRST_RULE_GRACE = 2
+SECOND_RULE_GRACE = 8

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kohorte.functions import constants as k
 from kohorte.functions import gates
 from kohorte.functions.columns import count_if, customer_segment, day, email_domain, keyword_class, month_start, sum_if
 from kohorte.operators.counters import dedup_latest_txn
@@ -32,10 +33,10 @@ def _merge() -> list[Column]:
 def _subscribers(t: Tables, p: Params, after, *, plan_required: bool = False) -> DataFrame:
     """Real subscriptions of external customers, created after a day, with status, price and customer fields."""
     subs = t["subscriptions"].where(
-        (F.col("subscription_status") != "Registered") & (F.col("created_at").cast("date") > day(after)))
+        (F.col("subscription_status") != k.REGISTERED) & (F.col("created_at").cast("date") > day(after)))
     if p.test_subscriptions:
         subs = subs.where(~F.col("id").isin([int(i) for i in p.test_subscriptions]))
-    left = F.col("unsubscribed_date").isNotNull() | (F.col("subscription_status") == "Unsuscribed")
+    left = F.col("unsubscribed_date").isNotNull() | (F.col("subscription_status") == k.UNSUBSCRIBED)
     owners = gates.external_customers(t["customers"], p.internal_mail).select(
         F.col("id").alias("customer_id_np"), "email", F.col("ip_country").alias("customer_country"))
     subs = subs.select(F.col("id").alias("subscription_id"), "customer_id_np", "product_id", "subscription_type_id",

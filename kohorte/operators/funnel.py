@@ -8,18 +8,14 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kohorte.functions import constants as k
 from kohorte.functions.columns import country_or_unknown, day, money, normal_country
 from kohorte.operators.shared import on_or_after
 from kohorte.params import Params
 from kohorte.sources.catalog import Tables
 
 # Funnel step -> event that marks it.
-STEPS = {
-    "landing_page_viewers": "landing_page_viewed",
-    "upload_document_users": "upload_document",
-    "sign_ups": "sign_up",
-    "payment_page_viewers": "payment_page_viewed",
-}
+STEPS = k.FUNNEL_EVENTS
 
 
 def country_mapping(t: Tables) -> DataFrame:
@@ -63,7 +59,7 @@ def page_funnel_daily(t: Tables, p: Params, *, projects: Sequence[str], event: s
                       page: str = "tool_page", page_key: str = "page_name") -> DataFrame:
     """(day, country) -> distinct users that saw one page, read from the event's JSON properties."""
     events = located_events(t, p, projects).where(
-        F.col("event_type").isin("view_page", "begin_checkout", "click", "view")).select(
+        F.col("event_type").isin(k.PAGE_EVENTS)).select(
         F.col("event_time").cast("date").alias("date"),
         country_or_unknown(F.coalesce("iso", "country")).alias("ip_country"), "amplitude_id",
         ((F.col("event_type") == event)

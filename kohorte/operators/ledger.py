@@ -19,7 +19,7 @@ from kohorte.sources.catalog import Tables
 
 
 def is_opening() -> Column:
-    return F.col("event_subtype") == "initial_purchase"
+    return F.col("event_subtype") == k.OPENING_SUBTYPE
 
 
 def is_charge() -> Column:

@@ -174,7 +174,8 @@ def scenario_curves(prepared: DataFrame, p: Params, *, countries: Sequence[str]
     return old.unionByName(stitched.join(sample, ["ip_country", "price"]))
 
 
-def scenario_report(curves: DataFrame, p: Params, *, baseline_name: str = "Historico_Antiguo", prefix: str = "Precio_") -> DataFrame:
+def scenario_report(curves: DataFrame, p: Params, *, baseline_name: str = k.BASELINE_SCENARIO,
+                    prefix: str = k.PRICE_SCENARIO) -> DataFrame:
     """One row per country and scenario: sample size, lifetime over the horizon, cumulative lifetime per month."""
     name = F.coalesce(F.concat(F.lit(prefix), F.col("price").cast("string")), F.lit(baseline_name))
     rows = lt_cumulative(curves.withColumn("scenario", name), ["ip_country", "scenario"])

@@ -25,9 +25,9 @@ def maturity_days(cycle: int, rule: str) -> int:
     ``second``: 8 days of grace throughout.
     """
     if rule == "first":
-        return 8 if cycle == 1 else 7 + 28 * (cycle - 1) + 2
+        return k.FIRST_RENEWAL_DAYS if cycle == 1 else k.TRIAL_DAYS + k.CYCLE_DAYS * (cycle - 1) + k.FIRST_RULE_GRACE
     if rule == "second":
-        return 7 + 28 * (cycle - 1) + 8
+        return k.TRIAL_DAYS + k.CYCLE_DAYS * (cycle - 1) + k.SECOND_RULE_GRACE
     raise ValueError(f"unknown maturity rule {rule!r}")
 
 
@@ -110,7 +110,7 @@ def top_countries(prepared: DataFrame, top: int = 5) -> DataFrame:
         F.desc("users"), "ip_country").limit(top)
 
 
-def cr_by_price(prepared: DataFrame, *, first_days: int = 8, second_days: int = 37) -> DataFrame:
+def cr_by_price(prepared: DataFrame, *, first_days: int = k.FIRST_RENEWAL_DAYS, second_days: int = k.SECOND_RENEWAL_DAYS) -> DataFrame:
     """Price -> users, and the percentage of old enough ones that reached the first and second renewal."""
     age, tenure = F.col("account_age_days"), F.col("tenure")
 

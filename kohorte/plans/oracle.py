@@ -29,7 +29,7 @@ def texts(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-FX = "case price_currency when 'EUR' then 1.0 when 'AUD' then 0.61124 when 'USD' then 0.85614 when 'CAD' then 0.628425 when 'GBP' then 1.157 else 1.0 end"
+FX = f"""case price_currency {' '.join(f"when '{c}' then {r}" for c, r in k.STATIC_FX.items())} else {k.STATIC_FX_DEFAULT} end"""
 FREE = "case when utm_term ilike '%free%' or utm_term ilike '%gratis%' or utm_term ilike '%gratuit%' then 'free' else 'other' end"
 NET = "sum(case transaction_type when 0 then amount when 1 then -amount else 0 end)"
 SPAN = """strftime(date_trunc('week', date), '%d') || '-' || strftime(date_trunc('week', date) + interval 6 days, '%d %b %Y')

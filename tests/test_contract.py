@@ -41,6 +41,12 @@ def test_matches_oracle(spark, duckdb_tables, name):
     assert not problems
 
 
+def test_reports_are_sorted_where_they_are_written(spark, tmp_path):
+    registry.write("renewal_windows", spark, FOLDER, str(tmp_path / "report"))
+    rows = [(r["date"], r["ip_country"] or "") for r in spark.read.parquet(str(tmp_path / "report")).collect()]
+    assert rows and rows == sorted(sorted(rows, key=lambda r: r[1]), key=lambda r: r[0], reverse=True)
+
+
 @pytest.mark.parametrize("name", ["cohort_renewals", "renewal_windows", "payback_by_method", "dashboard_multisite", "subscription_fact"])
 def test_plans_stay_in_the_jvm_without_products(spark, name):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
