@@ -212,7 +212,7 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def _encoded(vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def encoded_batches(vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = encoder(vocabulary)
     for batch in batches:
         for first, texts in slices(text_batch(batch), POOL):
@@ -221,7 +221,7 @@ def _encoded(vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
                 [batch.column(0).slice(first, len(texts)), pa.array(ids, pa.binary())], names=["key", "ids"])
 
 
-def _decoded(vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def decoded_batches(vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = encoder(vocabulary).vocabulary.bytes
     spelled = np.array([table.get(i, b"") for i in range(max(table) + 1)], dtype=object)
     for batch in batches:
@@ -238,14 +238,14 @@ def encode(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id", text_
     """
     rows = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(partial(_encoded, vocabulary), f"key {kind}, ids binary").withColumnRenamed("key", id_column)
+    return rows.mapInArrow(partial(encoded_batches, vocabulary), f"key {kind}, ids binary").withColumnRenamed("key", id_column)
 
 
 def decode(encoded: DataFrame, vocabulary: str, *, id_column: str = "doc_id") -> DataFrame:
     """``id_column``, ``ids`` (null: none) and ``text``, what the ids spell; bytes that are not UTF-8 become U+FFFD."""
     rows = encoded.select(F.col(id_column).alias("key"), "ids")
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(partial(_decoded, vocabulary), f"key {kind}, ids binary, text string").withColumnRenamed("key", id_column)
+    return rows.mapInArrow(partial(decoded_batches, vocabulary), f"key {kind}, ids binary, text string").withColumnRenamed("key", id_column)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -254,6 +254,6 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id"
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _decoded(vocabulary, _encoded(vocabulary, batches))
+        return decoded_batches(vocabulary, encoded_batches(vocabulary, batches))
 
     return rows.mapInArrow(run, f"key {kind}, ids binary, text string").withColumnRenamed("key", id_column)

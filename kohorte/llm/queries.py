@@ -60,9 +60,10 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = bpe.encode(_table(spark, folder, "documents"), VOCABULARY)
-    files = Scratch(spark, "flat-tokens").keep(separators.flat_files(encoded, end_id=END_ID), "files")
-    return separators.counts(files, END_ID)
+    scratch = Scratch(spark, "flat-tokens")
+    files = scratch.keep(separators.tokenized_files(_table(spark, folder, "documents"), VOCABULARY, end_id=END_ID), "files")
+    scanned = scratch.keep(separators.scan_files(files, END_ID), "scanned")
+    return separators.named(files, separators.documents(scanned))
 
 
 def op8_url_rules(spark: SparkSession, folder: str) -> DataFrame:

@@ -100,7 +100,7 @@ def test_separator_scan(spark, block_bytes):
     data = [(f"f{i}", bytearray(np.array([x for d in docs[a:b] for x in [*d, 1]] + tail, ">u2").tobytes()))
             for i, (a, b, tail) in enumerate([(0, 25, []), (25, 60, [9, 9, 9]), (60, 60, []), (60, 60, [5])])]
     files = spark.createDataFrame(data, "file string, payload binary")
-    got = separators.documents(separators.scan(separators.blocks_of(files, block_bytes=block_bytes), 1))
+    got = separators.documents(separators.scan_files(files, 1, block_bytes=block_bytes))
     want = []
     for name, part, tail in (("f0", docs[:25], 0), ("f1", docs[25:], 3), ("f3", [], 1)):
         start = 0
@@ -115,11 +115,11 @@ def test_separator_scan(spark, block_bytes):
 def test_counts_of_flat_files(spark, documents, library, tmp_path):
     encoded = bpe.encode(documents(rows()), PATH)
     files = Scratch(spark, "t").keep(separators.flat_files(encoded, end_id=queries.END_ID, file_bytes=3000), "files")
-    got = sorted((r["doc_id"], r["n_tokens"]) for r in separators.counts(files, queries.END_ID).collect())
+    got = sorted((r["doc_id"], r["n_tokens"]) for r in separators.named(files, separators.documents(separators.scan_files(files, queries.END_ID))).collect())
     sizes = sorted((k, len(library.encode(t or "", add_special_tokens=False).ids)) for k, t in rows())
     assert got == sizes
     separators.write_flat(encoded, str(tmp_path / "flat"), end_id=queries.END_ID)
     read = separators.documents(separators.scan(separators.read_blocks(spark, str(tmp_path / "flat"), block_bytes=512), queries.END_ID))
     assert sorted(r["n_tokens"] for r in read.collect()) == sorted(n for _, n in sizes)
     none = separators.flat_files(encoded.limit(0), end_id=queries.END_ID)
-    assert separators.counts(none, queries.END_ID).count() == 0
+    assert separators.named(none, separators.documents(separators.scan_files(none, queries.END_ID))).count() == 0
