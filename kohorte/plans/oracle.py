@@ -205,11 +205,12 @@ VIEW["opened"] = f"""
     left join utm on utm.id = b.utms_id
     where b.transaction_type = 0 and b.date >= date '1995-01-01'"""
 VIEW["opened_txn"] = """
-    select o.*, t.transaction_type as kind, t.amount, t.date as day,
-           row_number() over (partition by o.subscription_id, t.transaction_type order by t.created_at, t.id) as n,
-           count(*) filter (where t.transaction_type = 0) over (partition by o.subscription_id) as c,
-           count(*) filter (where t.transaction_type = 1) over (partition by o.subscription_id) as r
-    from opened o left join good t on t.subscription_id = o.subscription_id"""
+    select o.*, t.transaction_type as kind, t.amount, t.date as day, n, c, r
+    from opened o left join (
+        select *, row_number() over (partition by subscription_id, transaction_type order by created_at, id) as n,
+               count(*) filter (where transaction_type = 0) over (partition by subscription_id) as c,
+               count(*) filter (where transaction_type = 1) over (partition by subscription_id) as r
+        from good) t on t.subscription_id = o.subscription_id"""
 SIGNED = "case kind when 0 then amount when 1 then -amount else 0 end / nullif(rate, 0)"
 EARLY = "case when kind = 0 and n <= 3 then amount when kind = 1 and day <= cohort_date + 37 then -amount else 0 end / nullif(rate, 0)"
 PAID = f"""count(*) filter (where kind = 0) as charges, count(*) filter (where kind = 1) as refunds,
@@ -326,11 +327,12 @@ Q["ltv_by_window"] = f"select date, ip_country, {dated_ltv()} as ltv from (selec
 
 VIEW["site_opened"] = "select subscription_id, date as cohort_date, ip_country, site from led where event_subtype = 'initial_purchase'"
 VIEW["site_txn"] = """
-    select o.*, l.event_type, l.gross_amount,
-           row_number() over (partition by o.subscription_id, l.event_type order by l.date, l.charge_id) as n,
-           count(*) filter (where l.event_type = 'charge') over (partition by o.subscription_id) as c,
-           count(*) filter (where l.event_type = 'refund') over (partition by o.subscription_id) as r
-    from site_opened o left join led l on l.subscription_id = o.subscription_id"""
+    select o.*, l.event_type, l.gross_amount, n, c, r
+    from site_opened o left join (
+        select *, row_number() over (partition by subscription_id, event_type order by date, charge_id) as n,
+               count(*) filter (where event_type = 'charge') over (partition by subscription_id) as c,
+               count(*) filter (where event_type = 'refund') over (partition by subscription_id) as r
+        from led) l on l.subscription_id = o.subscription_id"""
 
 
 def site_paid(repeat: bool) -> str:

@@ -19,10 +19,10 @@ VIEWS = {
         select l_orderkey as k, max(l_shipdate) as back from lineitem
         where l_returnflag = 'R' and l_linenumber = 1 group by l_orderkey""",
     "pay": """
-        select k, cust, sub, ok, done_at, 0 as kind, ok = 1 and seq = 1 as opening,
+        select k, cust, sub, ok, done_at, 0 as kind, ok = 1 and (seq = 1 or (seq = 2 and sub % 13 = 4)) as opening,
                ok = 1 and exists (select 1 from ret where ret.k = ord.k) as returned from ord
         union all
-        select k, cust, sub, ok, greatest(done_at, back), 1, ok = 1 and seq = 1, true from ord join ret using (k) where ok = 1""",
+        select k, cust, sub, ok, greatest(done_at, back), 1, ok = 1 and (seq = 1 or (seq = 2 and sub % 13 = 4)), true from ord join ret using (k) where ok = 1""",
     "txn": """
         select k * 2 + kind as id, case kind when 0 then 'ch_' else 're_' end || k as id_transaction, cust as customer_id,
                sub as subscription_id, cust as user_agent_id, k % 4 as utms_id, k % 3 as mid_id, kind as transaction_type,

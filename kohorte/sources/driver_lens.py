@@ -71,8 +71,9 @@ def lens(spark: SparkSession, folder: str) -> Tables:
         """One row per charge and per refund, with the order's keys."""
         base = orders()
         first = base.selectExpr(
-            "o_orderkey", "row_number() over (partition by subscription_id, status order by o_orderdate, o_orderkey) as seq",
-        ).where("seq = 1").selectExpr("o_orderkey", "true as first")
+            "o_orderkey", "subscription_id",
+            "row_number() over (partition by subscription_id, status order by o_orderdate, o_orderkey) as seq",
+        ).where("seq <= 2").where("seq = 1 or subscription_id % 13 = 4").selectExpr("o_orderkey", "true as first")
         returned = raw("lineitem").where("l_returnflag = 'R' and l_linenumber = 1").selectExpr(
             "l_orderkey as o_orderkey", "l_shipdate").groupBy("o_orderkey").agg({"l_shipdate": "max"})
         return base.join(first, "o_orderkey", "left").join(returned, "o_orderkey", "left").selectExpr(
