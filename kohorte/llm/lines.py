@@ -269,13 +269,13 @@ def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
                 min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs`` with the text cut (and ``length_column`` set to its code points where it was), and n_lines
     (of the old text), n_removed and removed_words. Columns of ``docs`` with these names are replaced."""
-    scratch = Scratch(docs.sparkSession, "lines")
+    scratch, work = Scratch(docs.sparkSession, "lines"), Scratch(docs.sparkSession, "lines-work")
     added = ["n_lines", "n_removed", "removed_words"]
     docs = docs.drop(*added)
-    lines = scratch.keep(line_ids(docs, id_column, text_column), "lines")
-    suffixes = suffix_ranks(lines, scratch)
-    runs = earlier_runs(suffix_array(suffixes, scratch))
+    lines = work.keep(line_ids(docs, id_column, text_column), "lines")
+    runs = earlier_runs(suffix_array(suffix_ranks(lines, work), work))
     grouped = scratch.keep(runs.groupBy("doc").agg(F.collect_list(F.struct("pos", "run")).alias("__runs")), "runs")
+    work.drop()
     joined = docs.join(grouped.withColumnRenamed("doc", "__doc"), F.col(id_column) == F.col("__doc"), "left").drop("__doc")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return joined.mapInArrow(_cut(min_words, docs.columns, text_column, length_column),

@@ -185,10 +185,9 @@ def _compatible(percent: int):
 
 def classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
     """``id_column``, n_shingles and component_id: the smallest id that links reach, the document's own included."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "partenum")
+    result, scratch = Scratch(docs.sparkSession, "partenum"), Scratch(docs.sparkSession, "partenum-work")
     rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
-    sets = scratch.keep(rows.mapInArrow(_fingerprints, "doc long, n long, fp long"), "sets")
+    sets = result.keep(rows.mapInArrow(_fingerprints, "doc long, n long, fp long"), "sets")
     signed = rows.select("text").mapInArrow(_signatures(percent), "fp long, n int, spare int, odd int, sigs array<long>")
     live = signed.select(F.explode("sigs").alias("sig")).groupBy("sig").count().where("count > 1").select("sig")
     members = signed.select("fp", "n", "spare", "odd", F.explode("sigs").alias("sig")).join(live, "sig", "left_semi").distinct()
@@ -203,6 +202,8 @@ def classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "t
     shared = members.join(asked, "fp", "left_semi").groupBy("fp").agg(
         (F.min("spare") + 1).alias("need"), F.collect_list(F.col("sig").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("sigs"))     # a set's own signatures
     found = _closed(groups, scratch.keep(shared, "sigs"), _texts(rows, sets, groups, scratch), scratch, percent)
+    found = result.keep(found, "roots")
+    scratch.drop()
     return _labelled(sets, found).withColumnRenamed("doc", id_column)
 
 
