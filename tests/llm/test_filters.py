@@ -185,8 +185,10 @@ def test_class_factors_add_up_to_one():
     rng = np.random.default_rng(0)
     weights = rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
     rows = rng.integers(0, maxent.ROWS, (4, 50))
-    p = np.exp(maxent.log_softmax(weights, np.zeros(maxent.CLASSES, np.float32), rows))
+    p = maxent.probabilities(weights, np.zeros(maxent.CLASSES, np.float32), rows)
     assert p.shape == (50, maxent.CLASSES) and np.allclose(p.sum(axis=1), 1, atol=1e-4)
+    own = rng.integers(0, maxent.CLASSES, 50)
+    assert np.allclose(maxent.log_factor(weights, np.zeros(maxent.CLASSES, np.float32), rows, own), np.log(p[np.arange(50), own]), atol=1e-4)
 
 
 @settings(max_examples=100, deadline=None)
