@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kohorte.llm.scratch import Scratch
@@ -23,14 +23,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def connected(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """(a, b): each node of ``edges`` that isn't the smallest of its component, and that smallest node."""
-    mark = F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("mark")
     now = scratch.keep(edges.where("a <> b").select("a", "b"), f"{label}-0")
     before, k = None, 0
     while True:
         k += 1
-        now = scratch.keep(_small_star(_large_star(now)), f"{label}-{k}")
+        seen = Observation()     # filled while the round is written
+        now = scratch.keep(_small_star(_large_star(now)).observe(
+            seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("mark")), f"{label}-{k}")
         scratch.drop(f"{label}-{k - 1}")
-        state = now.agg(F.count(F.lit(1)).alias("n"), mark).first()
+        state = seen.get
         if state == before:
             return now
         before = state

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from kohorte.llm.scratch import Scratch, partitions
@@ -67,8 +67,10 @@ def suffix_ranks(lines: DataFrame, scratch: Scratch) -> DataFrame:
             "rank2", F.coalesce("rank2", F.when(there >= F.col("n_lines"), F.lit(-1)).otherwise(alone))).withColumnRenamed("rank", "rank1")
         k += 1
         both = scratch.keep(both, f"pairs-{k}")
-        ranked = scratch.keep(_ranked(both.select("rank1", "rank2").distinct(), n, "rank1", "rank2"), f"rank-{k}")
-        found = ranked.count()
+        seen = Observation()     # filled while the ranks are written
+        ranked = scratch.keep(_ranked(both.select("rank1", "rank2").distinct(), n, "rank1", "rank2").observe(
+            seen, F.count(F.lit(1)).alias("n")), f"rank-{k}")
+        found = seen.get["n"]
         if found == classes:    # no class was split: all that is equal now is equal to its end
             return now
         after = both.join(ranked, ["rank1", "rank2"]).select(

@@ -216,43 +216,26 @@ def _texts(rows: DataFrame, sets: DataFrame, groups: DataFrame, scratch: Scratch
 def _closed(groups: DataFrame, sigs: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(a, b): each linked set and the smallest set of its component.
 
-    Two rounds with centres. The last round is for what signatures join and is in different
-    components still: of these sets all that share a rare shingle are compared, so that many texts with the same long
-    passage, and thus the same signatures, don't all meet each other.
+    Sets first meet the most connected member of each of their groups. A second round is for what signatures join
+    and is in different components still: of these sets all that share a rare shingle are compared, so that many texts
+    with the same long passage, and thus the same signatures, don't all meet each other.
     """
     member = F.struct("score", "fp", "n")
     center = groups.groupBy("sig").agg(F.max(member).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    to_center = groups.join(center, "sig").select(F.col("c.fp").alias("a"), F.col("fp").alias("b"), F.col("c.n").alias("n_a"),
-                                                  F.col("n").alias("n_b"), F.col("c.score").alias("rank")).where("a <> b")
-    # Of each set's centres the most connected one: one comparison a set.
-    pairs = to_center.where(_compatible(percent)).groupBy("b").agg(F.max(F.struct("rank", "a")).alias("best")).select(
-        F.col("best.a").alias("a"), "b")
-    tested = scratch.keep(pairs, "pairs-0")
+    to_center = groups.join(center, "sig").select(
+        F.col("c.fp").alias("a"), F.col("fp").alias("b"), F.col("c.n").alias("n_a"), F.col("n").alias("n_b")).where("a <> b")
+    tested = scratch.keep(to_center.where(_compatible(percent)).select("a", "b").distinct(), "pairs-0")
     edges = scratch.keep(_linked(tested, sigs, texts, percent), "edges-0")
     roots = connected(edges, scratch, "roots-0")
-    for k, rarest in ((1, False), (2, True)):
-        placed = groups.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left") \
-            .withColumn("root", F.coalesce("root", "fp"))
-        open_sigs = placed.groupBy("sig").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("sig")
-        open_rows = scratch.keep(placed.join(open_sigs, "sig", "left_semi"), f"open-{k}")
-        if rarest:
-            new = _rarest(open_rows, texts, percent)
-        else:
-            lead = open_rows.groupBy("sig").agg(F.max(F.struct("score", "fp", "n", "root")).alias("c"))
-            new = open_rows.join(lead, "sig").where("root <> c.root").select(
-                F.col("c.fp").alias("a"), F.col("fp").alias("b"), F.col("c.n").alias("n_a"), F.col("n").alias("n_b"))
-        ordered = new.where(_compatible(percent)).select("a", "b").distinct()
-        done = tested.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-        fresh = ordered.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")) \
-            .join(done, ["lo", "hi"], "left_anti").dropDuplicates(["lo", "hi"]).select("a", "b")
-        fresh = scratch.keep(fresh, f"pairs-{k}")
-        tested = tested.unionByName(fresh)
-        linked = scratch.keep(_linked(fresh, sigs, texts, percent), f"edges-{k}")
-        if linked.isEmpty():
-            continue
-        edges = edges.unionByName(linked)
-        roots = connected(edges, scratch, f"roots-{k}")
-    return roots
+    placed = groups.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left") \
+        .withColumn("root", F.coalesce("root", "fp"))
+    open_sigs = placed.groupBy("sig").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("sig")
+    asked = scratch.keep(placed.join(open_sigs, "sig", "left_semi").select("fp", "n", "root").distinct(), "open")
+    ordered = _rarest(asked, texts, percent).where(_compatible(percent)).select("a", "b").distinct()
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    fresh = scratch.keep(ordered.join(done, ["a", "b"], "left_anti"), "pairs-1")
+    linked = scratch.keep(_linked(fresh, sigs, texts, percent), "edges-1")
+    return roots if linked.isEmpty() else connected(edges.unionByName(linked), scratch, "roots-1")
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,13 +246,12 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column(0).slice(first, len(texts)), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
 
 
-def _rarest(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _rarest(asked: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets of open groups that aren't in one component and share one of their rarest shingles.
 
     Similar sets of sizes m and n share at least o = p / (1 + p) (m + n) shingles. So of each, in one order from rare to
     frequent, one of the first n - p n + 1 is shared; and the first that they share leaves enough behind it to get to o.
     """
-    asked = rows.select("fp", "n", "root").distinct()
     cut = texts.join(asked, "fp").select("fp", "text").mapInArrow(_shingles, "fp long, shingles array<long>")
     each = cut.select("fp", F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").count().where("count > 1")
