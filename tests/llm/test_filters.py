@@ -191,6 +191,29 @@ def test_class_factors_add_up_to_one():
     assert np.allclose(maxent.log_factor(weights, np.zeros(maxent.CLASSES, np.float32), rows, own), np.log(p[np.arange(50), own]), atol=1e-4)
 
 
+def test_language_model_is_whole():
+    import numpy as np
+    h, at = np.arange(10, 16, dtype=np.uint64), np.array([0, 6])
+    rows = maxent.histories(h, at)
+    for k in (1, 2, 3):      # each of the three words before the last one counts
+        other = h.copy()
+        other[5 - k] += np.uint64(100)
+        assert (maxent.histories(other, at)[:, 5] != rows[:, 5]).any()
+    assert len(rows) == 4 and maxent.CLASSES == 64 and maxent.MARKS == 30
+    sizes = [maxent.table_rows(n) for n in (0, 1_000_000, 2_000_000, 4_000_000)]
+    assert sizes == [1 << 16, 1 << 16, 1 << 17, 1 << 18]
+    assert maxent.histories(np.arange(5000, dtype=np.uint64), np.array([0, 5000]), 1 << 18).max() >= 1 << 17
+
+
+def test_gradients_of_a_minibatch_are_summed_by_row():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    r, error = rng.integers(0, 50, 400), rng.normal(size=(400, maxent.CLASSES)).astype(np.float32)
+    one, step, n = maxent.summed(r, error)
+    assert one.tolist() == np.unique(r).tolist() and n.sum() == 400
+    assert all(np.allclose(s, error[r == k].sum(axis=0), atol=1e-4) for k, s in zip(one, step))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n\té#", max_size=12), max_size=8))
 def test_word_hashes_follow_words(texts):
