@@ -13,7 +13,8 @@ are swept apart; what crosses their borders is a stack of at most one entry for
 Result: a line is deleted if it lies in a run of at least ``min_words`` words that occurs, line for line, also
 earlier (at a smaller id, or higher up in the same document; the two may overlap). The first copy of every line stays.
 Lines are equal if their characters are. Null texts are kept as they are and have no lines; an empty text is one
-empty line. Ids are expected to be unique; other columns are carried along.
+empty line. Rows with the same id or without one are documents of their own: null ids come last, equal ids in the order of
+their texts' hashes (``scratch.keyed``). Other columns are carried along.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from kohorte.llm.scratch import Scratch, partitions
+from kohorte.llm.scratch import Scratch, keyed, partitions
 from kohorte.llm.textops import text_batch
 
 MIN_WORDS = 50
@@ -273,12 +274,13 @@ def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     (of the old text), n_removed and removed_words. Columns of ``docs`` with these names are replaced."""
     scratch, work = Scratch(docs.sparkSession, "lines"), Scratch(docs.sparkSession, "lines-work")
     added = ["n_lines", "n_removed", "removed_words"]
-    docs = docs.drop(*added)
-    lines = work.keep(line_ids(docs, id_column, text_column), "lines")
+    plain = docs.drop(*added)
+    docs, key = keyed(plain, scratch, id_column, text_column)
+    lines = work.keep(line_ids(docs, key, text_column), "lines")
     runs = earlier_runs(suffix_array(suffix_ranks(lines, work), work))
     grouped = scratch.keep(runs.groupBy("doc").agg(F.collect_list(F.struct("pos", "run")).alias("__runs")), "runs")
     work.drop()
-    joined = docs.join(grouped.withColumnRenamed("doc", "__doc"), F.col(id_column) == F.col("__doc"), "left").drop("__doc")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(_cut(min_words, docs.columns, text_column, length_column),
+    joined = docs.join(grouped.withColumnRenamed("doc", "__doc"), F.col(key).cast("long") == F.col("__doc"), "left").drop("__doc")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
+    return joined.mapInArrow(_cut(min_words, plain.columns, text_column, length_column),
                              schema + ", n_lines long, n_removed long, removed_words long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kohorte.session import shared_folder
 
@@ -33,3 +34,23 @@ class Scratch:
         for path in [self.path(n) for n in names] or [self.folder]:
             target = context._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+ROW = "__row"
+
+
+def keyed(docs: DataFrame, scratch: Scratch, id_column: str, text_column: str) -> tuple[DataFrame, str]:
+    """``docs`` and the name of its column of unique numbers that ascend with the id, nulls last.
+
+    Ids without nulls and repeats are such numbers. Else the rows are sorted, of equal ids by text hash, and stored once with
+    their numbers in the column ``ROW``.
+    """
+    own = F.col(id_column).cast("long")
+    if docs.select(own.alias("own")).groupBy("own").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or own is null").isEmpty():
+        return docs, id_column
+    # The place in the input deals out a large group of equal rows.
+    names = [f"{ROW}_{x}" for x in ("id", "text", "at")]
+    order = [F.asc_nulls_last(names[0]), *names[1:]]
+    added = dict(zip(names, (own, F.xxhash64(text_column), F.monotonically_increasing_id())))
+    ranged = docs.withColumns(added).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return scratch.keep(ranged.withColumn(ROW, F.monotonically_increasing_id()).drop(*names), "keyed"), ROW

@@ -150,3 +150,16 @@ def test_sweep_in_parts_equals_sweep_at_once(entries, parts):
         for length, (doc, pos) in local.entries():
             lines._merge(carried, {"length": length, "doc": doc, "pos": pos})
     assert got == want
+
+
+def test_line_dedup_of_repeated_rows_and_null_ids(spark, documents):
+    rng = random.Random(9)
+    run = [f"line {i} " + " ".join(f"v{rng.randrange(30)}" for _ in range(6)) for i in range(24)]
+    long, other = "\n".join(run), "\n".join(["own", *run[4:], "end"])
+    docs = [(5, long), (5, long), (5, long), (1, other), (None, other), (None, "alone\n" + long), (None, None), (7, None), (7, "x\nx")]
+    got = lines.dedup_lines(documents(docs), length_column="n_chars", min_words=25).collect()
+    assert len(got) == len(docs) and all(r["n_chars"] == len(r["text"]) for r in got if r["text"] is not None)
+    found = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", r["n_removed"]) for r in got)
+    # Ids ascend, nulls last: the first copy of each run stays, in document 1 and then in one of the documents 5.
+    assert found == sorted([(False, 1, other, 0), (False, 5, "\n".join(run[:4]), 20), (False, 5, "", 24), (False, 5, "", 24),
+                            (False, 7, "", 0), (False, 7, "x\nx", 0), (True, 0, "", 0), (True, 0, "", 22), (True, 0, "alone", 24)])
