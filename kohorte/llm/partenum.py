@@ -19,7 +19,9 @@ with those that have one of their rarest shingles. Sets with equal content are o
 the texts; signatures only propose.
 
 Null and empty texts, and texts without a word, have an empty set and link with nothing; fewer than five words
-make one shingle. Repeated ids count as documents of their own with that id. Other columns are left behind.
+make one shingle. Rows with the same id or without one are documents of their own; a component has the smallest id that
+isn't null, and its first document is the one with that id (of equal ids the one whose text has the smallest hash). Other
+columns are left behind.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kohorte.llm.components import connected
-from kohorte.llm.scratch import Scratch
+from kohorte.llm.scratch import Scratch, keyed
 from kohorte.llm.textops import flat, hashed, mix, slices, text_batch, windows
 
 PERCENT = 75
@@ -112,8 +114,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for first, texts in slices(text_batch(batch)):
             sets = [(len(s), fingerprint(s)) for s in shingle_sets(texts)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, len(texts)), pa.array([n for n, _ in sets], pa.int64()),
-                 pa.array([f for _, f in sets], pa.int64())], names=["doc", "n", "fp"])
+                [*[batch.column(i).slice(first, len(texts)) for i in range(2)], pa.array([n for n, _ in sets], pa.int64()),
+                 pa.array([f for _, f in sets], pa.int64())], names=["row", "doc", "n", "fp"])
 
 
 def _signatures(percent: int):
@@ -186,8 +188,9 @@ def _compatible(percent: int):
 def classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
     """``id_column``, n_shingles and component_id: the smallest id that links reach, the document's own included."""
     result, scratch = Scratch(docs.sparkSession, "partenum"), Scratch(docs.sparkSession, "partenum-work")
-    rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
-    sets = result.keep(rows.mapInArrow(_fingerprints, "doc long, n long, fp long"), "sets")
+    docs, key = keyed(docs.select(id_column, text_column), scratch, id_column, text_column)
+    rows = docs.select(F.col(key).cast("long").alias("row"), F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
+    sets = result.keep(rows.mapInArrow(_fingerprints, "row long, doc long, n long, fp long"), "sets")
     signed = rows.select("text").mapInArrow(_signatures(percent), "fp long, n int, spare int, odd int, sigs array<long>")
     live = signed.select(F.explode("sigs").alias("sig")).groupBy("sig").count().where("count > 1").select("sig")
     members = signed.select("fp", "n", "spare", "odd", F.explode("sigs").alias("sig")).join(live, "sig", "left_semi").distinct()
@@ -209,8 +212,8 @@ def classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "t
 
 def _texts(rows: DataFrame, sets: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """One text for each set that has a candidate."""
-    of_set = sets.join(groups.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc").alias("doc"))
-    return scratch.keep(rows.join(of_set, "doc").select("fp", "text").dropDuplicates(["fp"]), "texts")
+    of_set = sets.join(groups.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("row").alias("row"))
+    return scratch.keep(rows.join(of_set, "row").select("fp", "text"), "texts")
 
 
 def _closed(groups: DataFrame, sigs: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -274,8 +277,8 @@ def _labelled(sets: DataFrame, roots: DataFrame) -> DataFrame:
     return linked.unionByName(sets.where("n = 0").select("doc", F.col("n").alias("n_shingles"), F.col("doc").alias("component_id")))
 
 
-def first_of_class(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without those whose component has a document with a smaller id."""
-    name = options.get("id_column", "doc_id")
-    own = classes(docs, **options).where(F.col(name) == F.col("component_id")).select(name)
-    return docs.join(own, name, "left_semi")
+def first_of_class(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``docs`` without those whose component has an earlier document: of each component one row stays."""
+    rows, key = keyed(docs, Scratch(docs.sparkSession, "partenum-rows"), id_column, text_column)
+    own = classes(rows, id_column=key, text_column=text_column, percent=percent).where(F.col(key) == F.col("component_id")).select(key)
+    return rows.join(own, key, "left_semi").select(docs.columns)

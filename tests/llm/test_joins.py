@@ -163,3 +163,21 @@ def test_line_dedup_of_repeated_rows_and_null_ids(spark, documents):
     # Ids ascend, nulls last: the first copy of each run stays, in document 1 and then in one of the documents 5.
     assert found == sorted([(False, 1, other, 0), (False, 5, "\n".join(run[:4]), 20), (False, 5, "", 24), (False, 5, "", 24),
                             (False, 7, "", 0), (False, 7, "x\nx", 0), (True, 0, "", 0), (True, 0, "", 22), (True, 0, "alone", 24)])
+
+
+def test_first_of_class_of_repeated_rows_and_null_ids(spark, documents):
+    words = [f"w{i}" for i in range(60)]
+    a, near, b, c = " ".join(words), " ".join([*words, "more"]), " ".join(words[::-1]), " ".join(words[::3] * 2)
+    docs = [(None, a), (None, near), (4, b), (4, b), (None, b), (6, c), (6, a + " 6 6"), (None, None), (None, ""), (9, None), (9, None)]
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in partenum.first_of_class(documents(docs)).collect())
+    assert kept == sorted([(4, b), (6, c), (6, a + " 6 6"), (0, ""), (0, ""), (9, ""), (9, "")])
+    only_null = partenum.first_of_class(documents([(None, a), (None, near), (None, c), (None, c)])).collect()
+    assert len(only_null) == 2 and {r["text"] == c for r in only_null} == {True, False}
+
+
+def test_join_of_repeated_and_null_ids(spark, documents):
+    words = [f"w{i}" for i in range(60)]
+    a, near, b = " ".join(words), " ".join([*words, "more"]), " ".join(words[::-1])
+    docs = [(None, a), (None, near), (3, b), (3, near + " x"), (2, b + " y"), (None, None)]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in partenum.classes(documents(docs)).collect()), key=str)
+    assert got == sorted([(None, 56, 3), (None, 57, 3), (3, 56, 2), (3, 58, 3), (2, 57, 2), (None, 0, None)], key=str)
