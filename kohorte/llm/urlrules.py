@@ -35,7 +35,7 @@ def path_of(url: Column) -> Column:
 
 def reversed_key(host: Column) -> Column:
     """``a.example.net`` -> net, example, a joined by a character below all others of a key."""
-    plain = F.translate(host, "\x01\x02", "\x03\x04")
+    plain = F.translate(host, "\x00\x01\x02", "\x03\x04\x05")
     return F.array_join(F.reverse(F.split(plain, "[.]", -1)), "\x01")
 
 

@@ -90,6 +90,14 @@ def test_urls_against_all_rules(spark):
     assert {r["verdict"] for r in urlrules.judge(pages, table.limit(0)).collect()} == {"allow"}
 
 
+def test_hosts_with_control_characters_leave_other_verdicts(spark):
+    urls = ["http://net\x00/x", "http://a.net/x", "http://net\x01/x", "http://b.net/y", "http://a\x00.net/x", "http://net\x02.net/", "http://z.net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").coalesce(1)
+    table = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"] or "~", r["verdict"]) for r in urlrules.judge(pages, table).collect())
+    assert got == [(i, *[x if x is not None else "~" for x in judged(u, queries.URL_RULES)]) for i, u in enumerate(urls)]
+
+
 TEXTS = [None, "", " \n\t", "one", "a b c a b c", "a a a a a a", "line one\nline one\n\n\nline one", "x # $ % & | < > *", "é ü ß\x0bö\x0cä",
          "w " * 40 + "x y z " * 30, "p q r s\n" * 3 + "t"]
 
