@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from kohorte.llm.scratch import Scratch
-from kohorte.llm import bpe, decisions, decontaminate, ebayes, lines, maxent, mixcoder, partenum, separators, urlrules
+from kohorte.llm import bpe, decisions, decontaminate, ebayes, lines, maxent, mixcoder, negatives, partenum, separators, stripes, toxicity, urlrules
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0xC480     # above all ids of the vocabulary
@@ -83,6 +83,19 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.held_out_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return stripes.divergences(_table(spark, folder, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    name, label = F.col("vec_id"), F.col("label")
+    return negatives.mine(_table(spark, folder, "embeddings"), label=F.when(name % 7 == 0, (label + 1) % 10).otherwise(label), anchor=name % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_partenum_join": op2_partenum_join,
@@ -94,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": op8_url_rules,
     "op9_site_quality": op9_site_quality,
     "op10_decontaminate": op10_decontaminate,
+    "op11_toxicity": op11_toxicity,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -115,4 +131,64 @@ ORACLE_SQL: dict[str, str] = {
             group by h.host, h.path)
         select p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') as verdict
         from parts p left join best b on p.host = b.host and p.path = b.path""",
+    "op12_source_divergence": r"""
+        with docs as (
+            select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as doc,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+            from documents),
+        words as (
+            select lang, source, doc, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+        counts as (
+            select lang, source, term, count(*) as n from words group by all),
+        kept as (
+            select lang, term from words group by all having count(distinct doc) >= 30),
+        sizes as (
+            select lang, count(*) as v from kept group by all),
+        groups as (
+            select g.lang, g.source, coalesce(sum(c.n) filter (k.term is not null), 0) as total
+            from (select distinct lang, source from docs) g
+            left join counts c on c.lang = g.lang and c.source = g.source
+            left join kept k on k.lang = c.lang and k.term = c.term
+            group by all),
+        shares as (
+            select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+                   1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.total + 5 * s.v) as p
+            from groups g join sizes s on s.lang = g.lang join kept k on k.lang = g.lang
+            left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+        usual as (
+            select h.lang, h.term, 1 + (1000000000::hugeint * (sum(h.n) + 5)) // (any_value(t.total) + 5 * any_value(s.v)) as q
+            from shares h join sizes s on s.lang = h.lang join (select lang, sum(total) as total from groups group by all) t on t.lang = h.lang
+            group by all),
+        found as (
+            select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0) as value
+            from groups a join groups b on a.lang = b.lang and a.source <> b.source
+            left join (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value
+                       from shares x join shares y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all) f
+              on f.lang = a.lang and f.source = a.source and f.item = b.source
+            union all
+            select h.lang, h.source, 'term', h.term, h.p - u.q
+            from shares h join usual u on u.lang = h.lang and u.term = h.term where h.n > 0 and h.p > u.q),
+        ranked as (
+            select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from found)
+        select lang, source, part, item, value::bigint as value, rank::integer as rank
+        from ranked where part = 'pair' or rank <= 50""",
+    "op13_hard_negatives": r"""
+        with vectors as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   list_transform(embedding, lambda x: floor(256 * x::double)) as v
+            from embeddings
+            where label is not null and embedding is not null
+              and coalesce(list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))), true)),
+        scores as (
+            select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+            from vectors a, vectors b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+        positives as (
+            select anchor_id, vec_id as positive_id, score as positive_score from scores where same
+            qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+        found as (
+            select p.*, s.vec_id as negative_id, s.score as negative_score,
+                   row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as rank
+            from positives p join scores s on s.anchor_id = p.anchor_id
+            where not s.same and 80 * p.positive_score <= 100 * s.score and s.score <= p.positive_score)
+        select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score from found where rank <= 5""",
 }
