@@ -13,6 +13,7 @@ from kohorte.functions.columns import (
     calendar_week_label, count_if, day, file_group, iso_week_label, lookup, money, one_line, size_in_mb, sum_if,
     whole_units,
 )
+from kohorte.operators.activity import paid_sales
 from kohorte.operators.shared import (
     is_charge, is_refund, customer_keys, first_rows, invoiced_activity, on_or_after, per_subscription,
     subscription_prices, trial_charges,
@@ -68,15 +69,23 @@ def active_subs_no_refund(t: Tables, p: Params) -> DataFrame:
         F.sum("n").alias("total"))
 
 
-def sales_revenue_daily(t: Tables, p: Params, *, iso_year: bool = False) -> DataFrame:
-    """(date, country) -> sales, whole net revenue and refunds, with week label and the country's lifetime value."""
+def sales_revenue_daily(t: Tables, p: Params, *, iso_year: bool = False, activity: DataFrame | None = None) -> DataFrame:
+    """(date, country) -> sales, whole net revenue and refunds, with week label and the country's lifetime value.
+
+    ``activity``: stored subscription days (``activity.store_transactions``) in place of the transactions.
+    """
+    if activity is not None:
+        return _priced_sales(paid_sales(activity, p), iso_year=iso_year)
     rows = on_or_after(gates.successful(t["transactions"]), "created_at", p.start)
     # Folded before it meets prices and customers: equal charges of a subscription and day are one row.
     rows = gates.invoiced(rows, t["invoices_sii"]).groupBy(
         "customer_id", "subscription_id", "transaction_type", "amount", F.col("created_at").cast("date").alias("date")).agg(
         F.count(F.lit(1)).alias("times"))
     rows = rows.join(subscription_prices(t).select("subscription_id", "price_trial"), "subscription_id", "left")
-    rows = rows.join(customer_keys(t, p), "customer_id")
+    return _priced_sales(rows.join(customer_keys(t, p), "customer_id"), iso_year=iso_year)
+
+
+def _priced_sales(rows: DataFrame, *, iso_year: bool) -> DataFrame:
     times, amount = F.col("times"), F.col("amount") * F.col("times").cast("decimal(18,0)")
     label = iso_week_label if iso_year else calendar_week_label
     return rows.groupBy("date", "ip_country").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kohorte.functions import constants as k
 from kohorte.functions.columns import day
+from kohorte.operators import activity as stored
 from kohorte.operators import counters, funnel, ledger, payback
 from kohorte.params import Params
 from kohorte.sources.catalog import Tables
@@ -40,14 +41,21 @@ def zero_filled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 PAYBACK = ["real_revenue", "real_revenue_37d", "charges", "refunds", "first_renewals"]
 
 
-def dashboard_daily(t: Tables, p: Params, *, legacy_repeat: bool = False) -> DataFrame:
-    """(day, country) -> spend, sales, funnel and payback, zero where absent, and totals per day."""
+def dashboard_daily(t: Tables, p: Params, *, legacy_repeat: bool = False, activity: DataFrame | None = None) -> DataFrame:
+    """(day, country) -> spend, sales, funnel and payback, zero where absent, and totals per day.
+
+    With ``activity`` (``activity.store_transactions``) sales and payback read the stored days, not the transactions.
+    """
     sales = ["sales", "ltv", "user_revenue", "amount_refunds"]
     steps = list(funnel.STEPS)
-    paid = payback.payback_by_country(t, p, legacy_repeat=legacy_repeat).withColumnRenamed("cohort_date", "date")
+    if activity is None:
+        paid = payback.payback_by_country(t, p, legacy_repeat=legacy_repeat)
+    else:
+        paid = stored.payback_by_country(activity, t, p, legacy_repeat=legacy_repeat)
+    paid = paid.withColumnRenamed("cohort_date", "date")
     rows = on_spine([
         (funnel.spend_daily(t, p), ["spend"], True),
-        (counters.sales_revenue_daily(t, p).drop("refunds", "week"), sales, True),
+        (counters.sales_revenue_daily(t, p, activity=activity).drop("refunds", "week"), sales, True),
         (funnel.funnel_daily(t, p), steps, True),
         (paid.select("date", "ip_country", *PAYBACK), PAYBACK, False),
     ], ["date", "ip_country"])
@@ -59,10 +67,17 @@ def dashboard_daily(t: Tables, p: Params, *, legacy_repeat: bool = False) -> Dat
 
 
 def dashboard_multisite(t: Tables, p: Params, *, spend: DataFrame, viewers: DataFrame, ltv_windows: Sequence[tuple],
-                        legacy_repeat: bool = False) -> DataFrame:
-    """(day, country, site) up to yesterday, reported sites only -> spend, sales, dated LTV, viewers, payback."""
-    sold = ledger.with_dated_ltv(ledger.sales_by_site(t, p), ltv_windows, k.DATED_LTV_DEFAULT)
-    paid = ledger.payback_by_site(t, p, legacy_repeat=legacy_repeat).withColumnRenamed("cohort_date", "date")
+                        legacy_repeat: bool = False, activity: DataFrame | None = None) -> DataFrame:
+    """(day, country, site) up to yesterday, reported sites only -> spend, sales, dated LTV, viewers, payback.
+
+    With ``activity`` (``activity.store_ledger``) sales and payback read the stored days, not the movements.
+    """
+    sold = ledger.with_dated_ltv(ledger.sales_by_site(t, p, activity=activity), ltv_windows, k.DATED_LTV_DEFAULT)
+    if activity is None:
+        paid = ledger.payback_by_site(t, p, legacy_repeat=legacy_repeat)
+    else:
+        paid = stored.payback_by_site(activity, legacy_repeat=legacy_repeat)
+    paid = paid.withColumnRenamed("cohort_date", "date")
     sales = ["sales", "ltv", "user_revenue", "amount_refunds"]
     measures = ["spend", *sales, "landing_page_viewers", *PAYBACK]
     wanted = F.col("site").isin(list(p.report_sites)) & (F.col("date") <= day(p.yesterday))

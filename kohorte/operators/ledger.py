@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kohorte.functions import constants as k
@@ -142,33 +142,60 @@ def recurrence_pyramid(t: Tables, p: Params, spend: DataFrame, *, depth: int = 1
           for i in range(ltv_depth + 1)])
 
 
-def sales_by_site(t: Tables, p: Params) -> DataFrame:
-    """(local day, country, site) -> sales, net revenue, number and amount of refunds."""
+def sales_by_site(t: Tables, p: Params, *, activity: DataFrame | None = None) -> DataFrame:
+    """(local day, country, site) -> sales, net revenue, number and amount of refunds.
+
+    ``activity``: stored ledger days (``activity.store_ledger``) in place of the movements.
+    """
     amount = F.col("gross_amount")
-    rows = ledger_enriched(t, p)
+    if activity is None:
+        rows = ledger_enriched(t, p).withColumns({"opening": is_opening(), "times": F.lit(1)})
+    else:
+        rows = activity.where(F.col("part") == "day")
     return rows.groupBy(
         local_date(F.col("date").cast("timestamp"), p.local_zone).alias("date"),
         country_or_unknown(F.col("ip_country")).alias("ip_country"), "site",
     ).agg(
-        count_if(is_opening()).alias("sales"), F.sum(amount).cast("decimal(18,2)").alias("user_revenue"),
-        count_if(is_refund()).alias("refunds"), (-sum_if(is_refund(), amount)).cast("decimal(18,2)").alias("amount_refunds"))
+        sum_if(F.col("opening"), F.col("times")).alias("sales"), F.sum(amount).cast("decimal(18,2)").alias("user_revenue"),
+        sum_if(is_refund(), F.col("times")).alias("refunds"), (-sum_if(is_refund(), amount)).cast("decimal(18,2)").alias("amount_refunds"))
 
 
-def with_dated_ltv(rows: DataFrame, windows: Sequence[tuple] = tuple(k.DATED_LTV), default=k.DATED_LTV_DEFAULT) -> DataFrame:
+def dated_values(keys: DataFrame, windows: DataFrame) -> DataFrame:
+    """(country, date) rows -> value of the window that covers them; no row where none does.
+
+    ``windows``: (country, valid_from, valid_to, value), both ends included, NULL is open. They may be as many as they like: days
+    and windows of a country are swept in order of their dates, the last window that has begun being the only one that can
+    cover a day. Windows of one country must not overlap, which is checked on the way, so a country has at most as many of them as the
+    calendar has days, and so do its distinct keys: a sweep is no longer than the calendar, however many rows a country has.
+    """
+    opened = windows.select(
+        "country", F.coalesce(F.col("valid_from").cast("date"), day("0001-01-01")).alias("date"),
+        F.coalesce(F.col("valid_to").cast("date"), day("9999-12-31")).alias("until"), "value").where(F.col("country").isNotNull())
+    in_order = Window.partitionBy("country").orderBy("date", "until")
+    clash = F.raise_error(F.concat(F.lit("validity windows of "), "country", F.lit(" overlap at "), F.col("date").cast("string")))
+    opened = opened.withColumn("until", F.when(F.lag("until").over(in_order) >= F.col("date"), clash.cast("date")).otherwise(F.col("until")))
+    events = opened.select("country", "date", F.struct("until", "value").alias("window")).unionByName(
+        keys.select("country", F.col("date").cast("date").alias("date")).distinct().withColumn("asked", F.lit(True)), allowMissingColumns=True)
+    # A window that begins on a day covers it: windows come before keys.
+    so_far = Window.partitionBy("country").orderBy("date", F.asc_nulls_first("asked")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = events.withColumn("last", F.last("window", ignorenulls=True).over(so_far))
+    return swept.where(F.col("asked") & (F.col("last.until") >= F.col("date"))).select("country", "date", F.col("last.value").alias("value"))
+
+
+def with_dated_ltv(rows: DataFrame, windows: DataFrame | Sequence[tuple] = tuple(k.DATED_LTV), default=k.DATED_LTV_DEFAULT) -> DataFrame:
     """Adds ``ltv`` by country and date from closed validity windows (None is open); gaps take the default.
 
-    The windows are a constant parameter list, so the dimension is as small as the list; windows of one
-    country must not overlap.
+    ``windows`` is a table (country, valid_from, valid_to, value) of any size or a list of such rows.
     """
-    check_windows(windows)
-    dim = rows.sparkSession.createDataFrame(
-        [(c, a, b, v) for c, a, b, v in windows], "ltv_country string, valid_from string, valid_to string, ltv decimal(10,2)")
-    inside = (
-        (F.col("ip_country") == F.col("ltv_country"))
-        & (F.col("date") >= F.coalesce(F.col("valid_from").cast("date"), day("0001-01-01")))
-        & (F.col("date") <= F.coalesce(F.col("valid_to").cast("date"), day("9999-12-31"))))
-    return rows.join(F.broadcast(dim), inside, "left").withColumn(
-        "ltv", F.coalesce("ltv", F.lit(default).cast("decimal(10,2)"))).drop("ltv_country", "valid_from", "valid_to")
+    if not isinstance(windows, DataFrame):
+        check_windows(windows)
+        windows = rows.sparkSession.createDataFrame(
+            [tuple(w) for w in windows], "country string, valid_from string, valid_to string, value decimal(10,2)")
+    found = dated_values(rows.select(F.col("ip_country").alias("country"), "date"), windows).select(
+        F.col("country").alias("ltv_country"), F.col("date").alias("ltv_date"), F.col("value").cast("decimal(10,2)").alias("ltv"))
+    same = (F.col("ip_country") == F.col("ltv_country")) & (F.col("date").cast("date") == F.col("ltv_date"))
+    return rows.join(found, same, "left").withColumn(
+        "ltv", F.coalesce("ltv", F.lit(default).cast("decimal(10,2)"))).drop("ltv_country", "ltv_date")
 
 
 def check_windows(windows: Sequence[tuple]) -> None:
@@ -195,11 +222,14 @@ def payback_by_site(t: Tables, p: Params, *, legacy_repeat: bool = False) -> Dat
     early = first_rows(rows.select("subscription_id", "event_type", "event_date", "charge_id", "gross_amount"),
                        ["subscription_id", "event_type"], ["event_date", "charge_id"], p.payback_charges)
     early = early.groupBy("subscription_id").agg(F.sum("gross_amount").cast("decimal(18,2)").alias("early_revenue"))
+    return site_payback(cohort.join(totals, "subscription_id", "left").join(early, "subscription_id", "left"), legacy_repeat=legacy_repeat)
+
+
+def site_payback(rows: DataFrame, *, legacy_repeat: bool) -> DataFrame:
+    """Cohort rows with their subscription's totals and early revenue, folded to (cohort day, country, site)."""
     n = F.col("n_trials")
     times = n * (F.col("n_charges") + F.col("n_refunds")) if legacy_repeat else n
-    return cohort.join(totals, "subscription_id", "left").join(early, "subscription_id", "left").groupBy(
-        "cohort_date", "ip_country", "site",
-    ).agg(
+    return rows.groupBy("cohort_date", "ip_country", "site").agg(
         F.sum(times * F.col("n_charges")).alias("charges"), F.sum(times * F.col("n_refunds")).alias("refunds"),
         F.sum(n * F.col("revenue")).cast("decimal(18,2)").alias("real_revenue"),
         F.sum(n * F.col("early_revenue")).cast("decimal(18,2)").alias("real_revenue_37d"),

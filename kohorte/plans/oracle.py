@@ -324,6 +324,11 @@ def lens_ltv_windows() -> list[tuple]:
 
 Q["sales_by_site"] = "select * from site_sales"
 Q["ltv_by_window"] = f"select date, ip_country, {dated_ltv()} as ltv from (select distinct date, ip_country from led)"
+Q["ltv_by_window_table"] = f"""
+    select d.date, d.ip_country, cast(coalesce(w.value, {k.DATED_LTV_DEFAULT}) as double) as ltv
+    from (select distinct date, ip_country from led) d
+    left join value_window w on w.country = d.ip_country and d.date between coalesce(w.valid_from, date '0001-01-01')
+                                                                    and coalesce(w.valid_to, date '9999-12-31')"""
 
 VIEW["site_opened"] = "select subscription_id, date as cohort_date, ip_country, site from led where event_subtype = 'initial_purchase'"
 VIEW["site_txn"] = """

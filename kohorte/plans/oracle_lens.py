@@ -9,6 +9,12 @@ CODE = """case {0} when 0 then 'US' when 1 then 'AU' when 2 then 'CA' when 3 the
 CARD = f"case when {{0}} % 17 = 0 then null when {{0}} % 25 = 4 then 'UK' else {CODE.format('({0} % 25)')} end"
 
 VIEWS = {
+    "value_window": f"""
+        select {CODE.format('n')} as country, case when q > date '1995-03-31' then q end as valid_from,
+               case when q < date '2001-07-01' then cast(q + interval 3 months as date) - cast(1 + n % 5 as integer) end as valid_to,
+               40 + n + (year(q) - 1995) * 4 + quarter(q) as value
+        from (select distinct cast(date_trunc('quarter', o_orderdate) as date) as q from orders), range(25) r(n)
+        where (n + quarter(q)) % 4 <> 0""",
     "ord": """
         select o_orderkey as k, o_custkey as cust, o_custkey * 5 + cast(left(o_orderpriority, 1) as int) - 1 as sub,
                case when o_orderstatus = 'P' then 0 else 1 end as ok, o_orderdate as done_at,

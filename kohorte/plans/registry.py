@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kohorte.operators import (
-    cohorts, counters, dashboards, facts, funnel, hazard, ledger, payback, projection, retention,
+    activity, cohorts, counters, dashboards, facts, funnel, hazard, ledger, payback, projection, retention,
 )
 from kohorte.functions.gates import REFUND, successful
 from kohorte.params import Params
@@ -103,7 +103,12 @@ def _viewers(t: Tables, p: Params) -> DataFrame:
 
 def _multisite(t: Tables, p: Params, *, legacy_repeat: bool) -> DataFrame:
     return dashboards.dashboard_multisite(
-        t, p, spend=_site_spend_open(t, p), viewers=_viewers(t, p), ltv_windows=lens_ltv_windows(), legacy_repeat=legacy_repeat)
+        t, p, spend=_site_spend_open(t, p), viewers=_viewers(t, p), ltv_windows=lens_ltv_windows(), legacy_repeat=legacy_repeat,
+        activity=activity.store_ledger(t, p))
+
+
+def _daily(t: Tables, p: Params, *, legacy_repeat: bool) -> DataFrame:
+    return dashboards.dashboard_daily(t, p, legacy_repeat=legacy_repeat, activity=activity.store_transactions(t, p))
 
 
 def _ltv_by_window(t: Tables, p: Params) -> DataFrame:
@@ -111,6 +116,12 @@ def _ltv_by_window(t: Tables, p: Params) -> DataFrame:
     return ledger.with_dated_ltv(keys, lens_ltv_windows())
 
 
+def _ltv_by_window_table(t: Tables, p: Params) -> DataFrame:
+    """The same days and countries, valued from a table of windows."""
+    keys = ledger.ledger_enriched(t, p).select("date", "ip_country").distinct()
+    return ledger.with_dated_ltv(keys, t["ltv_windows"])
+
+
 def _points(t: Tables, p: Params) -> DataFrame:
     return projection.curve_points(_prepared(t, p), p)
 
@@ -238,11 +249,12 @@ BUILDERS: dict[str, tuple[Builder, Mapping]] = {
     "recurrence_pyramid": (lambda t, p: ledger.recurrence_pyramid(t, p, _site_spend(t, p)), {}),
     "sales_by_site": (ledger.sales_by_site, {}),
     "ltv_by_window": (_ltv_by_window, {}),
+    "ltv_by_window_table": (_ltv_by_window_table, {}),
     "payback_by_site": (ledger.payback_by_site, {}),
     "processor_cohort": (ledger.processor_cohort, {}),
     # dashboards
-    "dashboard_daily": (dashboards.dashboard_daily, {}),
-    "dashboard_daily_repeat": (lambda t, p: dashboards.dashboard_daily(t, p, legacy_repeat=True), {}),
+    "dashboard_daily": (lambda t, p: _daily(t, p, legacy_repeat=False), {}),
+    "dashboard_daily_repeat": (lambda t, p: _daily(t, p, legacy_repeat=True), {}),
     "dashboard_multisite": (lambda t, p: _multisite(t, p, legacy_repeat=False), {}),
     "dashboard_multisite_repeat": (lambda t, p: _multisite(t, p, legacy_repeat=True), {}),
     # model input

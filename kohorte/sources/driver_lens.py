@@ -239,6 +239,14 @@ def lens(spark: SparkSession, folder: str) -> Tables:
             "doc_id as id", "email", "cast(1 + doc_id % 5 as int) as rating", "text as comment",
             "timestamp_ntz'1998-01-01' + make_dt_interval(cast(doc_id % 900 as int)) as created_at")
 
+    def ltv_windows() -> DataFrame:
+        """A value for three quarters of a year out of four and each country, with gaps, open at both ends."""
+        quarters = raw("orders").selectExpr("cast(date_trunc('quarter', o_orderdate) as date) as q").distinct()
+        return quarters.selectExpr("q", "explode(sequence(0, 24)) as n").where("(n + quarter(q)) % 4 <> 0").selectExpr(
+            f"{nation_code('n')} as country", "case when q > date'1995-03-31' then q end as valid_from",
+            "case when q < date'2001-07-01' then date_sub(add_months(q, 3), 1 + n % 5) end as valid_to",
+            "cast(40 + n + (year(q) - 1995) * 4 + quarter(q) as decimal(10,2)) as value")
+
     return Tables({
         "customers": customers,
         "transactions": transactions,
@@ -258,6 +266,7 @@ def lens(spark: SparkSession, folder: str) -> Tables:
         "marketing_spends_pdf": lambda: spends_of("pdf"),
         "marketing_spends_web": lambda: spends_of("web"),
         "eur_exchange_rates": exchange_rates,
+        "ltv_windows": ltv_windows,
         "events": events,
         "money_movements": money_movements,
         "processor_charges": processor_charges,

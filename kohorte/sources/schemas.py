@@ -41,6 +41,7 @@ SCHEMAS = {
     "processor_refunds": "id string, charge_id string, amount bigint, merchant_id string, status string",
     "processor_invoices": "charge_id string, subscription_id string",
     "processor_customers": "id string, email string",
+    "ltv_windows": "country string, valid_from date, valid_to date, value decimal(10,2)",
     "subscription_fact": (
         "subscription_id bigint, tenure bigint, user_revenue decimal(18,2), initial_payment_date timestamp, cohort date, "
         "latest_payment_date timestamp, status string, amount decimal(10,2), amount_trial decimal(10,2), ip_country string"
