@@ -168,6 +168,10 @@ def _modelled(segments: DataFrame) -> DataFrame:
     return hazard.segment_hazard(retention.life_table(segments))
 
 
+def _posterior(segments: DataFrame) -> DataFrame:
+    return hazard.segment_posterior(retention.life_table(segments))
+
+
 def _horizons(t: Tables, p: Params, hazard_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     segments = _segments(t, p)
     return projection.lt_horizons(hazard_of(segments), _users(segments))
@@ -288,8 +292,10 @@ BUILDERS: dict[str, tuple[Builder, Mapping]] = {
     "curve_detail": (lambda t, p: projection.curve_detail(projection.price_curves(_increase(t, p), p), p), {}),
     # lifetime from hazards
     "segment_hazard": (lambda t, p: _modelled(_segments(t, p)), {"rounded": ("hazard",)}),
+    "segment_posterior": (lambda t, p: _posterior(_segments(t, p)), {"rounded": ("hazard", "low", "high")}),
     "lt_horizons": (lambda t, p: _horizons(t, p, _empirical), {}),
     "lt_horizons_modelled": (lambda t, p: _horizons(t, p, _modelled), {}),
+    "lt_horizons_posterior": (lambda t, p: _horizons(t, p, lambda s: _posterior(s).select("user_segment", "month", "hazard")), {}),
     "ltv_cumulative": (lambda t, p: projection.ltv_cumulative(_empirical(_segments(t, p)), p), {"rounded": ("ltv",)}),
     "ltv_cumulative_modelled": (lambda t, p: projection.ltv_cumulative(_modelled(_segments(t, p)), p), {"rounded": ("ltv",)}),
     # sources and semantics

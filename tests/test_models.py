@@ -201,3 +201,70 @@ def test_published_lifetimes(spark):
     dim = projection.published_lifetimes(spark)
     assert dim.count() == dim.select("country", "price").distinct().count() == 15
     assert dim.where("country = 'GB' and price = 49.95").first()["lt_36m"] == Decimal("2.05")
+
+
+def sampled(table, segments, months, sd=1.5, step=0.2, rounds=60_000, seed=3):
+    """Logits of (segment, month) from a long Metropolis walk, one coordinate after the other."""
+    rng = np.random.default_rng(seed)
+    n, y = np.zeros((len(segments), months + 1)), np.zeros((len(segments), months + 1))
+    for s, m, risk, events in table:
+        n[segments.index(s), m], y[segments.index(s), m] = risk, events
+    a, b = np.zeros(len(segments)), np.full(months + 1, -1.0)
+    log = lambda a, b: ((y * (a[:, None] + b) - n * np.logaddexp(0, a[:, None] + b)).sum()
+                        - (a**2).sum() / (2 * sd**2) - (np.diff(b)**2).sum() / (2 * step**2))
+    now, kept = log(a, b), []
+    for k in range(rounds):
+        for which in (0, 1, 2):
+            a2, b2 = a.copy(), b.copy()
+            if which == 0:
+                a2[rng.integers(len(a))] += rng.normal(0, 0.4)
+            elif which == 1:
+                b2[rng.integers(len(b))] += rng.normal(0, 0.25)
+            else:
+                shift = rng.normal(0, 0.5)
+                a2, b2 = a2 + shift, b2 - shift * rng.choice([1.0, 0.8])
+            new = log(a2, b2)
+            if np.log(rng.random()) < new - now:
+                a, b, now = a2, b2, new
+        if k > 5000:
+            kept.append(a[:, None] + b)
+    return np.array(kept)
+
+
+def test_posterior_means_and_intervals_against_a_sampler(spark):
+    """Few subscriptions, so that means and modes differ."""
+    table = [("a", 0, 40, 12), ("a", 1, 28, 3), ("a", 2, 25, 2), ("a", 3, 9, 0), ("b", 0, 12, 1), ("b", 1, 11, 0), ("b", 3, 4, 1), ("c", 0, 5, 5)]
+    life = curve(spark, table, "user_segment string, month bigint, n_risk bigint, n_event bigint").repartition(3)
+    draws = sampled(table, ["a", "b", "c"], 3)
+    got = {(r["user_segment"], r["month"]): r for r in hazard.segment_posterior(life, draws=6000).collect()}
+    logit = lambda p: np.log(p / (1 - p))
+    assert got.keys() == {(s, m) for s in "abc" for m in range(4)}
+    for i, s in enumerate("abc"):
+        for m in range(4):
+            own, r = draws[:, i, m], got[s, m]
+            spread = own.std()
+            assert abs(logit(r["hazard"]) - own.mean()) < 0.12 * spread, (s, m)
+            for bound, q in ((r["low"], 0.025), (r["high"], 0.975)):
+                assert abs(logit(bound) - np.quantile(own, q)) < 0.3 * spread, (s, m, q)
+
+
+def test_hazard_in_factored_form(spark, monkeypatch):
+    """Fewer columns than segments give the same mode; many months stay a few columns wide."""
+    rng = np.random.default_rng(6)
+    table = [(f"s{i}", m, int(r), int(rng.binomial(r, 0.2))) for i in range(14) for m in range(6) if (r := rng.integers(1, 300)) and m <= i % 6]
+    life = curve(spark, table, "user_segment string, month bigint, n_risk bigint, n_event bigint")
+    want = exact_mode(table, sorted({r[0] for r in table}), 5)
+    monkeypatch.setattr(hazard, "RANK", 2)
+    got = {(r["user_segment"], r["month"]): r["hazard"] for r in hazard.segment_hazard(life).collect()}
+    assert got.keys() == want.keys() and max(abs(got[c] - want[c]) for c in want) < 1e-6
+
+
+def test_hazard_with_an_absurd_tenure(spark):
+    """20,000 months: nothing months x months is held anywhere."""
+    table = [("a", m, 500, 20) for m in range(30)] + [("b", m, 300, 30) for m in range(12)] + [("b", 19_999, 3, 1)]
+    life = curve(spark, table, "user_segment string, month bigint, n_risk bigint, n_event bigint")
+    fit = hazard.fit_segment_hazard(life)
+    assert len(fit.months) == 20_000 and fit.matrix.turn.shape[1] <= hazard.RANK
+    # Without data between them the walk is a straight line.
+    between = fit.months[30:19_999]
+    assert np.abs(np.diff(between, 2)).max() < 1e-6
