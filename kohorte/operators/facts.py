@@ -77,17 +77,32 @@ def subscription_fact(t: Tables, p: Params, *, after=None, feed: str = "transact
     return rows.select(*_measures(), month_start(F.col("first_payment")).alias("cohort"))
 
 
+VISIT = ["subscription_id", "user_agent_id", "utms_id"]
+
+
+def visit_totals(txn: DataFrame) -> DataFrame:
+    """Totals per subscription, user agent and campaign: what :func:`merged_visits` adds up and :func:`segments_of` reads."""
+    return _totals(*VISIT, rows=txn)
+
+
+def merged_visits(totals: DataFrame) -> DataFrame:
+    return totals.groupBy(*VISIT).agg(*_merge())
+
+
 def subscription_segments(t: Tables, p: Params, *, after=None) -> DataFrame:
     """Segment form: all successful transactions, one row per subscription, country, device and keyword,
     with product, mail domain and B2C/B2B segment. ``cohort`` is a ``yyyy-MM`` label."""
-    txn = gates.successful(t["transactions"])
+    return segments_of(visit_totals(gates.successful(t["transactions"])), t, p, after=after)
+
+
+def segments_of(totals: DataFrame, t: Tables, p: Params, *, after=None) -> DataFrame:
+    """:func:`subscription_segments` from totals of visits."""
     agents = t["http_user_agents"].select(F.col("id").alias("user_agent_id"), "device", "ip_country_iso_code")
     terms = t["utms"].select(
         F.col("id").alias("utms_id"), keyword_class(F.col("utm_term"), ["free"], ignore_case=False).alias("keyword"))
     products = t["products"].select(F.col("id").alias("product_id"), "sub_product")
     visits = (
-        _totals("subscription_id", "user_agent_id", "utms_id", rows=txn)
-        .join(agents, "user_agent_id", "left").join(terms, "utms_id", "left")
+        totals.join(agents, "user_agent_id", "left").join(terms, "utms_id", "left")
         .withColumn("keyword", F.coalesce("keyword", F.lit("other"))))
     who = _subscribers(t, p, after or p.start).join(products, "product_id", "left")
     domain = email_domain(F.col("email"))

@@ -681,4 +681,7 @@ from own left join (values {PUBLISHED}) w(country, price, published) on w.countr
 def oracle_sql() -> dict[str, str]:
     from kohorte.plans.registry import EARLY_REPORTS
     whole = {name: with_views(sql, VIEW) for name, sql in Q.items()}
+    # The same reports, folded from feeds.
+    whole |= {name: whole[name.removesuffix("_incremental")] for name in ("dedup_incremental", "life_table_incremental", "km_survival_incremental")
+              if name.removesuffix("_incremental") in whole} | {"dedup_incremental": whole["dedup_latest_txn"]}
     return whole | {f"{name}_early": early(whole[name]) for name in EARLY_REPORTS}

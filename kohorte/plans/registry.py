@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kohorte.operators import (
-    activity, cohorts, counters, dashboards, facts, funnel, hazard, ledger, payback, projection, retention,
+    activity, cohorts, counters, dashboards, facts, funnel, hazard, incremental, ledger, payback, projection, retention,
 )
 from kohorte.functions.gates import REFUND, successful
 from kohorte.params import Params
@@ -215,6 +215,32 @@ def _dedup(t: Tables, p: Params) -> DataFrame:
     return counters.dedup_latest_txn(t["transactions_dup"])
 
 
+def _feeds(rows: DataFrame, stamp: str) -> list[DataFrame]:
+    """The history in feeds: the years of a timestamp, what lies outside them with the first or last."""
+    year = F.year(stamp)
+    bounds = [1996, 1998, 2000]
+    cuts = [year < bounds[0], *[(year >= a) & (year < b) for a, b in zip(bounds, bounds[1:])], year >= bounds[-1]]
+    return [rows.where(F.coalesce(cut, F.lit(i == 0))) for i, cut in enumerate(cuts)]
+
+
+def _dedup_incremental(t: Tables, p: Params) -> DataFrame:
+    """The deduplicated transactions from feeds that are folded in one after the other."""
+    rows, spark = t["transactions_dup"], t["customers"].sparkSession
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    latest = incremental.LatestRows(spark, f"{shared_folder(spark)}/latest-{uuid4().hex}", schema)
+    for feed in _feeds(rows, "payment_date"):
+        latest.fold(feed)
+    return latest.read()
+
+
+def _life_cells(t: Tables, p: Params) -> DataFrame:
+    spark = t["customers"].sparkSession
+    cells = incremental.LifeCells(spark, f"{shared_folder(spark)}/cells-{uuid4().hex}")
+    for number, feed in enumerate(_feeds(t["transactions"], "created_at")):
+        cells.fold(number, feed, t, p)
+    return cells.cells(p)
+
+
 Builder = Callable[[Tables, Params], DataFrame]
 
 BUILDERS: dict[str, tuple[Builder, Mapping]] = {
@@ -228,6 +254,7 @@ BUILDERS: dict[str, tuple[Builder, Mapping]] = {
     "reviews_export": (lambda t, p: counters.reviews_export(t, p, after=date(1998, 1, 2)), {}),
     "recurrence_per_sub": (counters.recurrence_per_sub, {}),
     "dedup_latest_txn": (_dedup, {"as_date": ("created_at", "payment_date")}),
+    "dedup_incremental": (_dedup_incremental, {"as_date": ("created_at", "payment_date")}),
     # cohorts
     "cohort_renewals": (cohorts.cohort_renewals, {}),
     "renewal_windows": (cohorts.renewal_windows, {}),
@@ -273,6 +300,8 @@ BUILDERS: dict[str, tuple[Builder, Mapping]] = {
     "cr_by_price_increase": (lambda t, p: retention.cr_by_price(_increase(t, p)), {}),
     "life_table": (lambda t, p: retention.life_table(_segments(t, p)), {}),
     "km_survival": (lambda t, p: retention.km_survival(_segments(t, p)), {"rounded": ("survival_rate",)}),
+    "life_table_incremental": (lambda t, p: retention.life_table(_life_cells(t, p)), {}),
+    "km_survival_incremental": (lambda t, p: retention.km_survival(_life_cells(t, p)), {"rounded": ("survival_rate",)}),
     "empirical_lifetime": (lambda t, p: retention.empirical_lifetime(retention.km_survival(_segments(t, p))),
                            {"rounded": ("lifetime_months",)}),
     "retention_table": (lambda t, p: retention.retention_table(_prepared(t, p), p), {}),
