@@ -7,7 +7,7 @@ number of terms. Pairs such as an insult with the mention of a group get weight
 
 Training takes at most ``MAX_LABELLED`` labelled rows (smallest hashes of ids); equal texts with equal labels count once.
 Terms in fewer than ``LEAST_SEEN`` of them have no weight. In each round tasks add up gradients and curvatures over their
-documents; the driver adds the tasks' sums, as many numbers as the sample has such terms, and takes a diagonal Newton step with a
+documents; the driver adds the tasks' sums, as many numbers as terms are beyond chance, and takes a diagonal Newton step with a
 threshold: what is within ``NOISE`` standard errors of chance stays at zero, for weights and factors alike. The weights
 come first, then factors grow from small values at the terms that have weights. A round that raises the penalised loss is taken
 back and the steps are halved. The last rounds fit the terms that are left without thresholds.
@@ -20,6 +20,7 @@ columns are not read. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -107,17 +108,36 @@ def _probability(logit: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every term the texts that have it, added up by slice."""
-    for batch in batches:
-        for _, texts in slices(text_batch(batch)):
-            h, row = terms(texts)
-            order = np.lexsort((row, h))
-            h, row = h[order], row[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            keys, n = np.unique(h[new], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+def _distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of the texts, ordered, and of each text that has one: the term's place and the text."""
+    h, row = terms(texts)
+    order = np.lexsort((row, h))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    keys, place = np.unique(h[new], return_inverse=True)
+    return keys, place, row[new]
+
+
+_TOTALS = ["n", "gradient", *[f"g{k}" for k in range(FACTORS)], *[f"s{k}" for k in range(FACTORS)]]
+
+
+def _totals(model: "Model"):
+    """Of every term the texts that have it, the gradient of its weight, and for each factor gradient and squared slope at zero."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = _heads(model.keys)
+        for batch in batches:
+            for first, texts in slices(text_batch(batch), 16 << 20):
+                logit, sums = model.logits(*_lookup(model.keys, heads, texts), len(texts))
+                residual = batch.column(0).slice(first, len(texts)).to_numpy(zero_copy_only=False) - _probability(logit)
+                keys, place, row = _distinct(texts)
+                if not sums.shape[1]:
+                    sums = np.zeros((len(texts), FACTORS))
+                values = [np.ones(len(texts)), residual, *(residual[:, None] * sums).T, *(sums**2).T]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), *[pa.array(np.bincount(place, v[row], minlength=len(keys))) for v in values]],
+                    names=["term", *_TOTALS])
+    return run
 
 
 def _known(keys: np.ndarray):
@@ -129,9 +149,7 @@ def _known(keys: np.ndarray):
                 row, term = _lookup(keys, heads, texts)
                 at = np.searchsorted(row, np.arange(len(texts) + 1))
                 data = [term[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array(data, pa.binary())],
-                    names=["shard", "toxic", "terms"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(data, pa.binary())], names=["toxic", "terms"])
     return run
 
 
@@ -142,11 +160,11 @@ def _gradient(model: Model, moving: np.ndarray, drifting: np.ndarray):
     """A task's sums: the loss, and for the intercept and every weight and factor the gradient and a bound of the curvature.
 
     Coordinates move at the same time, so a document's curvature counts once for each of its ``moving`` terms
-    (``drifting`` ones for factors). The factors' third sum is the squared slope, from which chance follows.
+    (``drifting`` ones for factors). The third sum is the squared slope, from which chance follows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, k = model.factors.shape
-        total, weights, factors = np.zeros(4), np.zeros((2, size)), np.zeros((3, k, size))
+        total, weights, factors = np.zeros(4), np.zeros((3, size)), np.zeros((3, k, size))
         for batch in batches:
             for first, held in slices(batch.column(1), 1 << 21):
                 raw, at = flat(held)
@@ -158,7 +176,7 @@ def _gradient(model: Model, moving: np.ndarray, drifting: np.ndarray):
                 r, c = y - p, p * (1 - p)
                 c_w = c * (1 + np.bincount(row, moving[term], minlength=n))
                 total += [n, -np.log(np.maximum(np.where(y == 1, p, 1 - p), 1e-12)).sum(), r.sum(), c_w.sum()]
-                weights += [np.bincount(term, r[row], minlength=size), np.bincount(term, c_w[row], minlength=size)]
+                weights += [np.bincount(term, x, minlength=size) for x in (r[row], c_w[row], np.ones(len(row)))]
                 if k:
                     linked = (sums != 0).any(1)[row]
                     row, term = row[linked], term[linked]
@@ -185,16 +203,17 @@ def _sums(shards: DataFrame, model: Model, moving: np.ndarray, drifting: np.ndar
     size, width = model.factors.shape
     rows = shards.select("toxic", "terms").mapInArrow(_gradient(model, moving, drifting), _SUMS).where("documents > 0").collect()   # a row a task
     return (sum(r["loss"] for r in rows), sum(r["residual"] for r in rows), sum(r["curvature"] for r in rows),
-            sum(np.frombuffer(r["weights"]).reshape(2, size) for r in rows),
+            sum(np.frombuffer(r["weights"]).reshape(3, size) for r in rows),
             sum(np.frombuffer(r["factors"]).reshape(3, width, size) for r in rows))
 
 
-def _descended(shards: DataFrame, model: Model, noise: np.ndarray, spread: float, rounds: int) -> Model:
-    """The model after some rounds; ``noise``: thresholds of the weights, ``spread``: of factors for a squared slope of one."""
+def _descended(shards: DataFrame, model: Model, spread: float, rounds: int) -> Model:
+    """The model after some rounds; ``spread``: the threshold for a squared slope of one."""
     moving, drifting = model.weights != 0, (model.factors != 0).any(1)
     pace, best = 1.0, None
     for _ in range(rounds):
         loss, *sums = _sums(shards, model, moving, drifting)
+        noise = spread * np.sqrt(sums[2][2])
         loss += RIDGE / 2 * ((model.weights**2).sum() + (model.factors**2).sum()) + noise @ np.abs(model.weights)
         if best is not None and loss > best[0]:
             pace /= 2
@@ -213,50 +232,37 @@ def _descended(shards: DataFrame, model: Model, noise: np.ndarray, spread: float
     return best[1]
 
 
-def _restricted(place: np.ndarray):
-    """Documents with the terms that have a place, renumbered."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, held in slices(batch.column(1), 1 << 21):
-                raw, at = flat(held)
-                term = place[raw.view("<i4")]
-                upto = np.concatenate([[0], np.cumsum(term >= 0)])[at // 4]
-                offsets = pa.py_buffer((4 * upto).astype(np.int32))
-                data = pa.py_buffer(term[term >= 0].astype("<i4"))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(held)), pa.Array.from_buffers(
-                    pa.binary(), len(held), [None, offsets, data])], names=["toxic", "terms"])
-    return run
-
+def fit(sample: DataFrame, scratch: Scratch, documents: int, toxic: int) -> Model:
+    """The machine from (toxic, text) rows.
 
-def fit(shards: DataFrame, scratch: Scratch, keys: np.ndarray, seen: np.ndarray, documents: int, toxic: int) -> Model:
-    """The machine from (toxic, terms) rows, terms as places in ``keys``; ``seen``: documents with each term.
-
-    Sums over all terms are taken twice, at the start and after the weights. They name the terms beyond chance, and the rounds go over those.
+    Sums over all terms are taken twice, at the start and after the weights; only terms that are beyond chance come out of them, and the
+    rounds go over those.
     """
     rate = (toxic + 0.5) / (documents + 1)
     spread = NOISE * math.sqrt(rate * (1 - rate))
-    noise = spread * np.sqrt(seen)
-
-    def among(model: Model, some: np.ndarray, rounds: int, name: str, held: float = 1.0) -> Model:
-        place = np.where(some, np.cumsum(some) - 1, -1)
-        few = scratch.keep(shards.select("toxic", "terms").mapInArrow(_restricted(place), "toxic int, terms binary"), name)
-        found = _descended(few, Model(keys[some], model.intercept, model.weights[some], model.factors[some]), held * noise[some], held * spread, rounds)
-        weights, factors = np.zeros(len(keys)), np.zeros(model.factors.shape)
-        weights[some], factors[some] = found.weights, found.factors
-        return Model(keys, found.intercept, weights, factors)
-
-    none = np.zeros(len(keys), bool)
-    model = Model(keys, math.log(rate / (1 - rate)), np.zeros(len(keys)), np.zeros((len(keys), 0)))
-    _, _, _, w, _ = _sums(shards, model, none, none)
-    model = among(model, np.abs(w[0]) > noise, LINEAR_ROUNDS, "weights")
+
+    def beyond(model: Model) -> Model:
+        """The model with all terms that are beyond chance where it stands."""
+        schema = ", ".join(["term long", *[f"{c} double" for c in _TOTALS]])
+        totals = sample.mapInArrow(_totals(model), schema).groupBy("term").agg(*[F.sum(c).alias(c) for c in _TOTALS])
+        odd = [F.abs("gradient") > spread * F.sqrt("n"), *[F.abs(f"g{k}") > spread * F.sqrt(f"s{k}") for k in range(FACTORS)]]
+        found = totals.where((F.col("n") >= LEAST_SEEN) & functools.reduce(Column.__or__, odd)).select("term").toArrow()
+        keys = np.union1d(found["term"].to_numpy().astype(np.int64).view(np.uint64), model.keys)
+        weights, factors, place = np.zeros(len(keys)), np.zeros((len(keys), model.factors.shape[1])), np.searchsorted(keys, model.keys)
+        weights[place], factors[place] = model.weights, model.factors
+        return Model(keys, model.intercept, weights, factors)
+
+    def descended(model: Model, rounds: int, name: str, held: float = 1.0) -> Model:
+        few = scratch.keep(sample.mapInArrow(_known(model.keys), "toxic int, terms binary"), name)
+        return _descended(few, model, held * spread, rounds)
+
+    model = beyond(Model(np.zeros(0, np.uint64), math.log(rate / (1 - rate)), np.zeros(0), np.zeros((0, 0))))
+    model = descended(model, LINEAR_ROUNDS, "weights").used()
     # Factors begin at the terms with weights, apart from each other by their hashes.
-    start = np.stack([mix(keys + np.uint64(j + 1)).astype(float) / 2**63 - 1 for j in range(FACTORS)], axis=1)
-    model = Model(keys, model.intercept, model.weights, SPREAD * start * (model.weights != 0)[:, None])
-    _, _, _, w, v = _sums(shards, model, none, none)
-    beyond = (model.weights != 0) | (np.abs(w[0]) > noise) | (np.abs(v[0]) > spread * np.sqrt(v[2])).any(0)
-    model = among(model, beyond, ROUNDS, "factors")
+    start = np.stack([mix(model.keys + np.uint64(j + 1)).astype(float) / 2**63 - 1 for j in range(FACTORS)], axis=1)
+    model = descended(beyond(Model(model.keys, model.intercept, model.weights, SPREAD * start)), ROUNDS, "factors").used()
     # What chance can't explain is known now: its size is fitted without thresholds.
-    return among(model, (model.weights != 0) | (model.factors != 0).any(1), RELAXED, "sizes", held=0.0).used()
+    return descended(model, RELAXED, "sizes", held=0.0).used()
 
 
 def _fold(name: Column, folds: int) -> Column:
@@ -270,18 +276,9 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, learn: Column
     picked = scratch.keep(allowed.groupBy(id_column).agg((F.max("toxic") == 1).cast("int").alias("toxic"))
                           .orderBy(F.xxhash64(id_column), id_column).limit(MAX_LABELLED), "picked")
     sample = docs.select(id_column, F.coalesce(text_column, F.lit("")).alias("text")).join(F.broadcast(picked), id_column)
-    sample = scratch.keep(sample.dropDuplicates(["toxic", "text"]).select(
-        F.pmod(F.xxhash64("text"), F.lit(SHARDS)).cast("int").alias("shard"), "toxic", "text"), "sample")
+    sample = scratch.keep(sample.dropDuplicates(["toxic", "text"]).select("toxic", "text").repartition(SHARDS, F.xxhash64("text")), "sample")
     size = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
-    if not size["n"]:
-        return None
-    counted = sample.select("text").mapInArrow(_counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    known = counted.where(F.col("n") >= LEAST_SEEN).toArrow()       # as many as the bounded sample has
-    keys, seen = known["term"].to_numpy().astype(np.int64).view(np.uint64), known["n"].to_numpy().astype(float)
-    order = np.argsort(keys)
-    shards = scratch.keep(sample.mapInArrow(_known(keys[order]), "shard int, toxic int, terms binary").repartition(SHARDS, "shard"), "shards")
-    scratch.drop("sample")
-    return fit(shards, scratch, keys[order], seen[order], size["n"], size["toxic"])
+    return fit(sample, scratch, size["n"], size["toxic"]) if size["n"] else None
 
 
 def _scored(model: Model | None, id_column: str):
