@@ -89,3 +89,47 @@ def statistics(text):
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in text or ""),
             "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": sum(hit)}
+
+
+TERM = re.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def divergences(docs, least=30, top=50):
+    """Rows (lang, source, part, item, value, rank) from (lang, source, text)."""
+    count, seen, groups = defaultdict(Counter), Counter(), set()
+    for lang, source, text in docs:
+        lang, source, found = lang or "", source or "", TERM.findall(lower(text))
+        groups.add((lang, source))
+        count[lang, source].update(found)
+        seen.update((lang, w) for w in set(found))
+    out = []
+    for lang in {g for g, _ in groups}:
+        kept = [w for g, w in seen if g == lang and seen[g, w] >= least]
+        sources = sorted({s for g, s in groups if g == lang})
+
+        def shares(counts):
+            total = sum(counts[w] for w in kept)
+            return {w: 1 + 10**9 * (counts[w] + 5) // (total + 5 * len(kept)) for w in kept}
+
+        p = {s: shares(count[lang, s]) for s in sources}
+        q = shares(sum((count[lang, s] for s in sources), Counter()))
+        for s in sources:
+            pairs = [(-sum(abs(p[s][w] - p[t][w]) for w in kept), t.encode(), "pair") for t in sources if t != s]
+            raised = [(q[w] - p[s][w], w.encode(), "term") for w in kept if count[lang, s][w] and p[s][w] > q[w]]
+            for part in (sorted(pairs), sorted(raised)[:top]):
+                out += [(lang, s, kind, item.decode(), -v, i) for i, (v, item, kind) in enumerate(part, 1)]
+    return sorted(out)
+
+
+def hard_negatives(rows, anchors, positives=5, negatives=5, low=80):
+    """Rows (anchor, positive, rank, negative, positive score, negative score) from (key, label, integers)."""
+    out = []
+    dot = lambda x, y: sum(a * b for a, b in zip(x, y))
+    for key, label, vector in rows:
+        if key not in anchors:
+            continue
+        scored = sorted((-dot(vector, v), k, own == label) for k, own, v in rows if k != key)
+        for p, k, _ in [x for x in scored if x[2]][:positives]:
+            fits = [x for x in scored if not x[2] and low * -p <= 100 * -x[0] <= 100 * -p]
+            out += [(key, k, i, n, -p, -s) for i, (s, n, _) in enumerate(fits[:negatives], 1)]
+    return sorted(out)
