@@ -7,24 +7,31 @@ the words of the window are hit. Only stretches in which every two neighbours ar
 streamed; elsewhere the length can't exceed one.
 
 The items are cut into shares of at most ``SHARE_WORDS`` words (an item is never cut); each share has an automaton
-of its own, which is what a task holds. Null or empty texts have no words; repeated items are items of their own;
-an empty benchmark hits nothing.
+of its own, which is what a task holds, and the driver holds one share at a time. With several shares a document's hits are
+added up over all of them, by row, before anything is judged or cut. Null or empty texts have no words; rows with repeated or
+null document ids are rows of their own; a null item id is read as an empty one; items of one id count as one; an empty
+benchmark hits nothing.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kohorte.llm.scratch import Scratch, free, keyed
 from kohorte.llm.textops import NON_ALNUM, flat, hashed, slices, text_batch
 
 WINDOW = 10
 SHARE_WORDS = 400_000
+WORD = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 FOUND = "key long, n_words long, n_hit long, items array<string>, spans array<struct<first:int,last:int>>"
 
 
@@ -193,18 +200,18 @@ def _search(shares: list[tuple[str, str]], window: int):
     return run
 
 
-def _shares(items: DataFrame, id_column: str, text_column: str) -> list[list[tuple[str, str]]]:
-    """The items, a bounded share at a time; the driver holds the shares of one benchmark, never documents."""
-    own = items.select(F.col(id_column).cast("string").alias("item"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    shares, held = [[]], 0
+def _shares(items: DataFrame, id_column: str, text_column: str) -> Iterator[list[tuple[str, str]]]:
+    """The items, a bounded share at a time; at least one share, which may be empty."""
+    own = items.select(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    share, held = [], 0
     for row in own.orderBy("item", "text").toLocalIterator():
-        n = row["text"].count(" ") + 1
-        if held and held + n > SHARE_WORDS:
-            shares.append([])
-            held = 0
-        shares[-1].append((row["item"], row["text"]))
+        n = len(WORD.findall(row["text"]))
+        if share and held + n > SHARE_WORDS:
+            yield share
+            share, held = [], 0
+        share.append((row["item"], row["text"]))
         held += n
-    return shares
+    yield share
 
 
 def _merged_spans(spans: list[list[dict]]) -> list[dict]:
@@ -221,35 +228,95 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_column: str
                        item_column: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """``id_column``, n_words, n_hit, items (sorted ids as strings) and spans (first and last hit word) of every document."""
     rows = docs.select(F.col(id_column).cast("long").alias("key"), F.col(text_column).alias("text"))
-    found = None
-    for share in _shares(benchmark, item_column, item_text):
-        part = rows.mapInArrow(_search(share, window), FOUND)
-        found = part if found is None else found.unionByName(part)
-        several = found is not part
-    if several:     # rows of one document from several automata; a row of a few numbers each
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                merged = [_merged_spans(s) for s in batch.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([sum(s["last"] - s["first"] + 1 for s in m) for m in merged], pa.int64()),
-                     batch.column(2), pa.array(merged, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))],
-                    names=["key", "n_words", "n_hit", "items", "spans"])
-        found = found.groupBy("key").agg(
-            F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.collect_list("spans").alias("spans")).mapInArrow(merge, FOUND)
-    return found.withColumnRenamed("key", id_column)
+    shares = _shares(benchmark, item_column, item_text)
+    first, second = next(shares), next(shares, None)
+    if second is None:
+        return rows.mapInArrow(_search(first, window), FOUND).withColumnRenamed("key", id_column)
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    numbered, key = keyed(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), scratch, "id", "text")
+    numbered = numbered.select(F.col(key).cast("long").alias("key"), F.col("id").cast("long").alias("id"), "text")
+    found = _in_shares(numbered.select("key", "text"), itertools.chain([first, second], shares), window, scratch)
+    if key == "id":
+        return found.withColumnRenamed("key", id_column)
+    return numbered.select("key", F.col("id").alias(id_column)).join(found, "key").drop("key")
+
+
+def _in_shares(rows: DataFrame, shares: Iterable[list[tuple[str, str]]], window: int, scratch: Scratch) -> DataFrame:
+    """The findings of all shares for rows with unique keys, added up by key; each share's are stored before the next one is read."""
+    parts = [scratch.keep(rows.mapInArrow(_search(share, window), FOUND), f"share-{k}") for k, share in enumerate(shares)]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged = [_merged_spans(s) for s in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([sum(s["last"] - s["first"] + 1 for s in m) for m in merged], pa.int64()),
+                 batch.column(2), pa.array(merged, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))],
+                names=["key", "n_words", "n_hit", "items", "spans"])
+
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("key").agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.collect_list("spans").alias("spans")).mapInArrow(merge, FOUND)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
                   length_column: str | None = "n_chars", window: int = WINDOW, max_coverage: float = 0.0) -> DataFrame:
     """``docs`` without documents of which more than ``max_coverage`` of the words are hit; in the others the
-    hit spans are cut out. With the default 0 every contaminated document goes, in one narrow pass. All columns
+    hit spans are cut out. With the default 0 every contaminated document goes; with one share of items in one narrow pass. All columns
     are kept; ``length_column``, if there is one, is the code points of the new text."""
     shares = _shares(benchmark, "item_id", "text")
-    out = docs
-    for share in shares:
-        out = out.mapInArrow(_filter(share, window, text_column, length_column, max_coverage), docs.schema)
-    return out
+    first, second = next(shares), next(shares, None)
+    if second is None:
+        return docs.mapInArrow(_filter(first, window, text_column, length_column, max_coverage), docs.schema)
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    numbered, key = keyed(docs, scratch, id_column, text_column)
+    of, spans = free("of_row", numbered.columns), free("hit_spans", numbered.columns)
+    rows = numbered.select(F.col(key).cast("long").alias("key"), F.col(text_column).alias("text"))
+    found = _in_shares(rows, itertools.chain([first, second], shares), window, scratch)
+    judged = found.where(F.col("n_hit") <= max_coverage * F.col("n_words")).select(F.col("key").alias(of), F.col("spans").alias(spans))
+    kept = numbered.join(judged, F.col(key).cast("long") == F.col(of)).select(*docs.columns, spans)
+    return kept.mapInArrow(_cut_spans(spans, docs.columns, text_column, length_column), docs.schema)
+
+
+def _cut_spans(spans_column: str, names: list[str], text_column: str, length_column: str | None):
+    """The texts without the words of their spans."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(batch.schema.get_field_index(spans_column))
+            part = batch.select(names)
+            for first, texts in slices(text_batch(batch, text_column)):
+                raw, at = flat(texts)
+                _, offsets, starts, stops = hashed(raw, at, NON_ALNUM, spans=True)
+                hit = np.zeros(len(starts), bool)
+                for row, own in enumerate(found.slice(first, len(texts)).to_pylist()):
+                    for span in own:
+                        hit[offsets[row] + span["first"]:offsets[row] + span["last"] + 1] = True
+                yield _without(part.slice(first, len(texts)), raw, at, offsets, starts, stops, hit, text_column, length_column)
+    return run
+
+
+def _without(part: pa.RecordBatch, raw: np.ndarray, at: np.ndarray, offsets: np.ndarray, starts: np.ndarray, stops: np.ndarray, hit: np.ndarray,
+             text_column: str, length_column: str | None) -> pa.RecordBatch:
+    """The rows with the hit words cut out of their texts."""
+    upto = np.concatenate([[0], np.cumsum(hit)])
+    edited = np.flatnonzero(upto[offsets[1:]] - upto[offsets[:-1]])
+    if not len(edited):
+        return part
+    values = part.column(part.schema.get_field_index(text_column)).to_pylist()
+    lengths = part.column(part.schema.get_field_index(length_column)).to_pylist() if length_column else None
+    for row in edited.tolist():
+        pieces, begin = [], int(at[row])
+        for k in np.flatnonzero(hit[offsets[row]:offsets[row + 1]]) + offsets[row]:
+            pieces.append(raw[begin:starts[k]].tobytes())
+            begin = int(stops[k])
+        pieces.append(raw[begin:at[row + 1]].tobytes())
+        values[row] = b"".join(pieces).decode("utf-8")
+        if lengths is not None:
+            lengths[row] = len(values[row])
+    columns = {f.name: part.column(i) for i, f in enumerate(part.schema)}
+    columns[text_column] = pa.array(values, part.schema.field(text_column).type)
+    if lengths is not None:
+        columns[length_column] = pa.array(lengths, part.schema.field(length_column).type)
+    return pa.RecordBatch.from_arrays(list(columns.values()), schema=part.schema)
 
 
 def _filter(items: list[tuple[str, str]], window: int, text_column: str, length_column: str | None, max_coverage: float):
@@ -273,24 +340,8 @@ def _filter(items: list[tuple[str, str]], window: int, text_column: str, length_
                 upto = np.concatenate([[0], np.cumsum(hit)])
                 n_hit, n = upto[offsets[1:]] - upto[offsets[:-1]], np.diff(offsets)
                 kept = n_hit <= max_coverage * n
-                part = batch.slice(first, len(texts))
-                edited = np.flatnonzero(kept & (n_hit > 0))
-                if len(edited):
-                    values = part.column(part.schema.get_field_index(text_column)).to_pylist()
-                    lengths = part.column(part.schema.get_field_index(length_column)).to_pylist() if length_column else None
-                    for row in edited.tolist():
-                        pieces, begin = [], int(at[row])
-                        for k in np.flatnonzero(hit[offsets[row]:offsets[row + 1]]) + offsets[row]:
-                            pieces.append(raw[begin:starts[k]].tobytes())
-                            begin = int(stops[k])
-                        pieces.append(raw[begin:at[row + 1]].tobytes())
-                        values[row] = b"".join(pieces).decode("utf-8")
-                        if lengths is not None:
-                            lengths[row] = len(values[row])
-                    columns = {f.name: part.column(i) for i, f in enumerate(part.schema)}
-                    columns[text_column] = pa.array(values, part.schema.field(text_column).type)
-                    if lengths is not None:
-                        columns[length_column] = pa.array(lengths, part.schema.field(length_column).type)
-                    part = pa.RecordBatch.from_arrays(list(columns.values()), schema=part.schema)
+                # What goes needs no cutting.
+                hit &= np.repeat(kept, n)
+                part = _without(batch.slice(first, len(texts)), raw, at, offsets, starts, stops, hit, text_column, length_column)
                 yield part.filter(pa.array(kept))
     return run

@@ -1,7 +1,7 @@
 """Quality classifier: document evidence combined with site priors by hierarchical empirical Bayes.
 
 Evidence. For each label (low quality, toxic) every feature of a document has a log-odds weight, shrunk toward zero
-by up to ``SHRINK`` imagined documents of the average rate (fewer in small samples). Features are the document's distinct words and a few binned
+by ``SHRINK`` imagined documents of the average rate. Features are the document's distinct words and a few binned
 statistics. A document's evidence is the sum of its positive weights from ``WEAKEST`` on, and a logistic curve, fitted
 on documents that the weights weren't counted on, turns it into a probability.
 
@@ -11,8 +11,8 @@ parent's rate. A document's posterior log odds are its own plus what its path's
 
 Training uses at most ``MAX_LABELLED`` labelled documents (smallest hashes of ids) and keeps at most ``MAX_FEATURES``
 weights; sites are counted over all documents. Null or empty texts have no features; a null host or path is a site
-of its own. Without labels nothing is rejected. Columns of the input are carried along, except that columns with the
-names of the results are replaced.
+of its own. Without labels nothing is rejected. Columns of the input are carried along, whatever their names, except that
+columns with the names of the results are replaced. Repeated and null ids are rows of their own.
 """
 
 from __future__ import annotations
@@ -107,8 +107,8 @@ def _counts(fold: int | None):
     return run
 
 
-def _weights(sample: DataFrame, size: int, fold: int | None, rates: dict[str, float]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    shrink, least = min(SHRINK, max(1.0, size / 1000)), min(LEAST_SEEN, max(4, size // 700))
+def _weights(sample: DataFrame, fold: int | None, rates: dict[str, float]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    shrink, least = SHRINK, LEAST_SEEN
     counted = sample.select("text", "low", "toxic", "part").mapInArrow(_counts(fold), "feature long, n long, low long, toxic long")
     totals = counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "low", "toxic")]).where(F.col("n") >= least)
 
@@ -161,13 +161,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
         return None
     rates = {h: (total[h] + 0.5) / (total["n"] + 1) for h in HEADS}
     # The curve: weights from one half, evidence on the other.
-    half = Model(*_weights(sample, total["n"] // 2, 1, rates), curve={})
+    half = Model(*_weights(sample, 1, rates), curve={})
     scored = sample.where("part = 1").select("text", "low", "toxic").mapInArrow(_scores(half), "low int, toxic int, e_low double, e_toxic double")
     curve = {}
     for head in HEADS:
         bins = scored.groupBy(F.round(F.col(f"e_{head}") * 4).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(head).alias("bad")).collect()
         curve[head] = _logistic(*(np.array([float(r[c]) for r in bins]) / (4 if c == "x" else 1) for c in ("x", "n", "bad")), rates[head])
-    return Model(*_weights(sample, total["n"], None, rates), curve)
+    return Model(*_weights(sample, None, rates), curve)
 
 
 def _logits(model: Model, names: list[str], text_column: str):
@@ -236,11 +236,15 @@ def judged(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: st
     model = train(docs, labels, id_column=id_column, text_column=text_column)
     if model is None:
         return docs.select(*keep, *[F.lit(None).cast("double").alias(c) for c in results[:-1]], F.lit(True).alias("kept"))
-    sites = site_rates(with_logits(docs, model, keep=[host, path], text_column=text_column), host, path) \
-        .withColumnsRenamed({"host": "__host", "path": "__path"})
-    scored = with_logits(docs, model, keep=list(dict.fromkeys([*keep, host, path])), text_column=text_column)
-    both = scored.join(sites, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left")
+    # Numbered names inside, so that no column of the input clashes with one of the working columns.
+    inner = {f"keep{i}": c for i, c in enumerate(keep)}
+    own = docs.select(*[F.col(c).alias(n) for n, c in inner.items()], F.col(host).alias("own_host"), F.col(path).alias("own_path"),
+                      F.col(text_column).alias("own_text"))
+    sites = site_rates(with_logits(own, model, keep=["own_host", "own_path"], text_column="own_text"), "own_host", "own_path")
+    scored = with_logits(own, model, keep=[*inner, "own_host", "own_path"], text_column="own_text")
+    both = scored.join(sites, F.col("own_host").eqNullSafe(F.col("host")) & F.col("own_path").eqNullSafe(F.col("path")), "left")
     clamp = lambda c: F.least(F.greatest(F.col(c), F.lit(1e-6)), F.lit(1 - 1e-6))
-    out = both.select(*keep, *[_probability(F.col(f"logit_{h}") + _logit(clamp(f"path_{h}")) - _logit(clamp(f"global_{h}"))).alias(f"p_{h}")
-                               for h in HEADS], *[F.col(f"path_{h}").alias(f"site_{h}") for h in HEADS])
+    out = both.select(*[F.col(n).alias(c) for n, c in inner.items()],
+                      *[_probability(F.col(f"logit_{h}") + _logit(clamp(f"path_{h}")) - _logit(clamp(f"global_{h}"))).alias(f"p_{h}") for h in HEADS],
+                      *[F.col(f"path_{h}").alias(f"site_{h}") for h in HEADS])
     return out.withColumn("kept", (F.col("p_low") <= 0.5) & (F.col("p_toxic") <= 0.5))

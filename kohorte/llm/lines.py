@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from kohorte.llm.scratch import Scratch, keyed, partitions
+from kohorte.llm.scratch import Scratch, free, keyed, partitions
 from kohorte.llm.textops import text_batch
 
 MIN_WORDS = 50
@@ -229,10 +229,10 @@ def _merge(stack: Stack, entry) -> None:
     stack.__init__(keep)
 
 
-def _cut(min_words: int, names: list[str], text_column: str, length_column: str | None):
+def _cut(min_words: int, names: list[str], text_column: str, length_column: str | None, runs_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(batch.schema.get_field_index("__runs")).to_pylist()
+            found = batch.column(batch.schema.get_field_index(runs_column)).to_pylist()
             texts = text_batch(batch, text_column).to_pylist()
             n_lines, n_removed, removed_words = [], [], []
             for row, (text, runs) in enumerate(zip(texts, found)):
@@ -278,9 +278,10 @@ def dedup_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     docs, key = keyed(plain, scratch, id_column, text_column)
     lines = work.keep(line_ids(docs, key, text_column), "lines")
     runs = earlier_runs(suffix_array(suffix_ranks(lines, work), work))
-    grouped = scratch.keep(runs.groupBy("doc").agg(F.collect_list(F.struct("pos", "run")).alias("__runs")), "runs")
+    found, of = free("__runs", docs.columns), free("__doc", docs.columns)
+    grouped = scratch.keep(runs.groupBy(F.col("doc").alias(of)).agg(F.collect_list(F.struct("pos", "run")).alias(found)), "runs")
     work.drop()
-    joined = docs.join(grouped.withColumnRenamed("doc", "__doc"), F.col(key).cast("long") == F.col("__doc"), "left").drop("__doc")
+    joined = docs.join(grouped, F.col(key).cast("long") == F.col(of), "left").drop(of)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    return joined.mapInArrow(_cut(min_words, plain.columns, text_column, length_column),
+    return joined.mapInArrow(_cut(min_words, plain.columns, text_column, length_column, found),
                              schema + ", n_lines long, n_removed long, removed_words long")

@@ -34,7 +34,7 @@ LANES, LANE_IDS = 2048, 256         # at most so many lanes, of at least so many
 HASH_BITS = 18
 JOINED = 4000       # parts given to the library at a time
 TRUST = 8                           # confidences 0 to 7
-MAGIC = b"KMX1"
+MAGIC = b"KMX2"
 HEADER = struct.Struct("<4sIQIIIII")    # magic, CRC, ids, largest id + 1, lanes, documents, bytes of documents, words
 
 ONE = np.uint64(1)
@@ -184,28 +184,29 @@ def uncode(words: np.ndarray, filled: np.ndarray, n: int, size: int) -> np.ndarr
     return grid.T.reshape(-1)[:n]
 
 
-def pack(docs: list[tuple[int, np.ndarray]]) -> bytes:
-    """A block of documents (id, ids)."""
+def pack(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
+    """A block of documents (id or None, ids)."""
     ids = np.concatenate([d for _, d in docs]) if docs else np.zeros(0, np.uint32)
     size = int(ids.max()) + 1 if len(ids) else 1
-    table = zlib.compress(np.array([k for k, _ in docs], "<i8").tobytes() + np.array([len(d) for _, d in docs], "<u4").tobytes())
+    table = zlib.compress(np.array([k or 0 for k, _ in docs], "<i8").tobytes() + np.array([len(d) for _, d in docs], "<u4").tobytes()
+                          + bytes(k is None for k, _ in docs))
     words, filled = code(ids, size) if len(ids) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
     body = table + filled.astype("<u4").tobytes() + words.astype("<u4").tobytes()
     rest = HEADER.pack(MAGIC, 0, len(ids), size, len(filled), len(docs), len(table), len(words))[8:]
     return MAGIC + struct.pack("<I", zlib.crc32(rest + body)) + rest + body
 
 
-def unpack(data: bytes) -> list[tuple[int, np.ndarray]]:
+def unpack(data: bytes) -> list[tuple[int | None, np.ndarray]]:
     magic, crc, n, size, lanes, n_docs, table, n_words = HEADER.unpack_from(data)
     if magic != MAGIC or zlib.crc32(data[8:]) != crc:
         raise ValueError("damaged block of token ids")
     at = HEADER.size
     listed = zlib.decompress(data[at:at + table])
-    keys, sizes = np.frombuffer(listed, "<i8", n_docs), np.frombuffer(listed, "<u4", n_docs, 8 * n_docs)
+    keys, sizes, none = (np.frombuffer(listed, kind, n_docs, at * n_docs) for kind, at in (("<i8", 0), ("<u4", 8), ("?", 12)))
     filled = np.frombuffer(data, "<u4", lanes, at + table).astype(np.int64)
     words = np.frombuffer(data, "<u4", n_words, at + table + 4 * lanes)
     ids = uncode(words, filled, n, size).astype(np.uint32) if n else np.zeros(0, np.uint32)
-    return [(int(k), part) for k, part in zip(keys, np.split(ids, np.cumsum(sizes.astype(np.int64))[:-1]))] if n_docs else []
+    return [(None if no else int(k), part) for k, no, part in zip(keys, none, np.split(ids, np.cumsum(sizes.astype(np.int64))[:-1]))] if n_docs else []
 
 
 class LibraryEncoder(Encoder):
@@ -249,9 +250,13 @@ def library(path: str) -> LibraryEncoder:
 
 def blocks(docs: DataFrame, vocabulary: str, *, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text",
            block_ids: int = BLOCK_IDS) -> DataFrame:
-    """The blocks of a file of all documents in ascending id order, each followed by ``end_id``."""
+    """The blocks of a file of all documents in ascending id order, each followed by ``end_id``. Null ids come last; rows with
+    null or equal ids are documents of their own, in the order of their texts' hashes."""
     rows = docs.select(F.col(id_column).cast("long").alias("key"), F.col(text_column).alias("text"))
-    ranged = rows.repartitionByRange(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "text")
+    # A large group of one id is dealt out by its texts.
+    order = [F.asc_nulls_last("key"), "mark"]
+    ranged = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(
+        *order, "text").select("key", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -187,6 +187,8 @@ def _compatible(percent: int):
 
 def classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
     """``id_column``, n_shingles and component_id: the smallest id that links reach, the document's own included."""
+    if percent < PERCENT:
+        raise ValueError(f"the number of shared signatures asked for holds from {PERCENT} percent on")
     result, scratch = Scratch(docs.sparkSession, "partenum"), Scratch(docs.sparkSession, "partenum-work")
     docs, key = keyed(docs.select(id_column, text_column), scratch, id_column, text_column)
     rows = docs.select(F.col(key).cast("long").alias("row"), F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))

@@ -39,18 +39,26 @@ class Scratch:
 ROW = "__row"
 
 
+def free(name: str, taken: list[str]) -> str:
+    """``name``, or a longer one that none of the columns has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def keyed(docs: DataFrame, scratch: Scratch, id_column: str, text_column: str) -> tuple[DataFrame, str]:
     """``docs`` and the name of its column of unique numbers that ascend with the id, nulls last.
 
     Ids without nulls and repeats are such numbers. Else the rows are sorted, of equal ids by text hash, and stored once with
-    their numbers in the column ``ROW``.
+    their numbers in a column ``ROW`` (or a longer name, if ``docs`` has one of that name).
     """
     own = F.col(id_column).cast("long")
     if docs.select(own.alias("own")).groupBy("own").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or own is null").isEmpty():
         return docs, id_column
     # The place in the input deals out a large group of equal rows.
-    names = [f"{ROW}_{x}" for x in ("id", "text", "at")]
+    row = free(ROW, docs.columns)
+    names = [free(f"{ROW}_{x}", docs.columns) for x in ("id", "text", "at")]
     order = [F.asc_nulls_last(names[0]), *names[1:]]
     added = dict(zip(names, (own, F.xxhash64(text_column), F.monotonically_increasing_id())))
     ranged = docs.withColumns(added).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    return scratch.keep(ranged.withColumn(ROW, F.monotonically_increasing_id()).drop(*names), "keyed"), ROW
+    return scratch.keep(ranged.withColumn(row, F.monotonically_increasing_id()).drop(*names), "keyed"), row
