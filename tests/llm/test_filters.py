@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -41,10 +42,34 @@ def test_contamination_against_all_windows(spark, documents, monkeypatch, share)
     assert got == brute.contaminated(docs, ITEMS)
     assert all(r["n_hit"] == sum(s["last"] - s["first"] + 1 for s in r["spans"]) for r in found.collect())
     clean = {k for k, (_, n, _) in got.items() if not n}
+    # Repeated and null ids are rows of their own, and a null item id is an empty one.
+    odd = docs[:12] + [(9, docs[9][1]), (9, "nothing"), (None, docs[9][1]), (None, None), (None, "x")]
+    unnamed = spark.createDataFrame([*ITEMS, (None, "other"), (None, "q1")], "item_id long, text string")
+    rows = decontaminate.find_contamination(documents(odd), unnamed).collect()
+    want = brute.contaminated(list(enumerate(t for _, t in odd)), [("" if k is None else k, t) for k, t in ITEMS + [(None, "other"), (None, "q1")]])
+    assert sorted(repr((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"]))) for r in rows) == sorted(
+        repr((odd[i][0], *v)) for i, v in want.items())
     kept = decontaminate.decontaminate(documents(docs), items)
     assert {r["doc_id"] for r in kept.collect()} == clean and kept.columns == documents(docs).columns
 
 
+@pytest.mark.parametrize("share", [400_000, 3])
+def test_coverage_is_judged_over_all_shares(spark, documents, monkeypatch, share):
+    """Two items hit a quarter of a document each: with 40 % allowed it goes, with 60 % it is cut, whatever the shares."""
+    monkeypatch.setattr(decontaminate, "SHARE_WORDS", share)
+    items = spark.createDataFrame([(1, "a1\ta2\ta3"), (None, "b1,b2,b3")], "item_id long, text string")
+    text = "a1 a2 a3 c1 c2 c3 c4 c5 c6 b1 b2 b3"
+    docs = documents([(1, text), (1, text), (None, text), (None, "plain"), (2, None), (3, "a1 a2 a3 d d d d d d")]).withColumn("of_row", F.lit("own"))
+    strict = decontaminate.decontaminate(docs, items, max_coverage=0.4)
+    assert strict.columns == docs.columns
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in strict.collect()))) == sorted(map(repr, [
+        (None, "plain"), (2, None), (3, "   d d d d d d")]))
+    loose = [(r["doc_id"], r["text"], r["of_row"]) for r in decontaminate.decontaminate(docs, items, max_coverage=0.6).collect()]
+    cut = "   c1 c2 c3 c4 c5 c6   "
+    assert sorted(map(repr, loose)) == sorted(map(repr, [(k, t, "own") for k, t in [
+        (1, cut), (1, cut), (None, cut), (None, "plain"), (2, None), (3, "   d d d d d d")]]))
+
+
 def test_cutting_spans(spark, documents):
     items = spark.createDataFrame([(7, ITEMS[6][1])], "item_id long, text string")
     text = "Héllo, q1 q2 q3 q4 q5 q6 q7 q8 q9 q10; then " + "more " * 20
@@ -143,12 +168,16 @@ def test_decision_list_on_held_out_labels(spark, documents):
     assert all(r["kept"] != r["base_failed"] and r["rule"] is None for r in unlabelled)
 
 
-def test_classifier_on_held_out_labels(spark, documents):
+def test_classifier_on_held_out_labels(spark, documents, monkeypatch):
     docs, labels = corpus(900, seed=1)
     table = spark.createDataFrame([*labels, (4, 1, 0), (None, 1, 0), (8, None, 0)], "doc_id long, quality int, toxic int")
     strange = [(2000, None, None, None, None), (2001, "", "en", None, 0), (2002, "", None, "src1", 0)]
-    result = ebayes.judged(documents([*docs, *strange]).withColumn("kept", F.lit("own")).withColumn("logit_low", F.lit(1)),
-                           table.where("doc_id % 2 = 0 or doc_id is null"), keep=["doc_id", "source"])
+    monkeypatch.setattr(ebayes, "SHRINK", 1.0)
+    monkeypatch.setattr(ebayes, "LEAST_SEEN", 4)
+    names = ["logit_low", "n_site", "global_low", "path_low", "host", "path", "own_text", "keep0"]
+    given = documents([*docs, *strange]).withColumn("kept", F.lit("own")).withColumns({n: F.lit(n) for n in names})
+    result = ebayes.judged(given, table.where("doc_id % 2 = 0 or doc_id is null"), keep=["doc_id", "source", *names])
+    assert all(r[n] == n for r in result.limit(5).collect() for n in names)
     kept = {r["doc_id"]: r["kept"] for r in result.collect()}
     assert len(kept) == len(docs) + 3
     odd = [r for r in labels if r[0] % 2]
@@ -176,7 +205,6 @@ def test_scores(spark, documents):
     tokens = {d[0]: [*brute.words(d[1]), None] for d in docs}
     held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in tokens}
     counts = brute.Counter(w for k, t in tokens.items() if not held[k] for w in t)
-    import math
     n, v = sum(counts.values()), len(counts)
     assert got.keys() == tokens.keys()
     for k, t in tokens.items():
@@ -188,6 +216,21 @@ def test_scores(spark, documents):
     assert maxent.score(documents([(6, "a b")])).count() == 1
 
 
+def test_scores_of_repeated_and_null_ids(spark, documents, monkeypatch):
+    """Every row by itself, rare words among them; a null id is learned from."""
+    monkeypatch.setattr(maxent, "FREQUENT", 20)
+    docs, _ = corpus(60, seed=4)
+    rows = [(d[0], d[1]) for d in docs] + [(3, docs[3][1]), (3, "a word"), (None, "some words of no id"), (None, None), (None, "some words of no id")]
+    got = maxent.score(documents(rows)).collect()
+    held = [k is not None and zlib.crc32(str(k).encode()) % 5 == 1 for k, _ in rows]
+    tokens = [[*brute.words(t), None] for _, t in rows]
+    counts = brute.Counter(w for t, h in zip(tokens, held) if not h for w in t)
+    n, v = sum(counts.values()), len(counts)
+    base = [sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t) for t in tokens]
+    want = [(k, h, len(t), sum(counts[w] > 0 for w in t), round(b, 6)) for (k, _), h, t, b in zip(rows, held, tokens, base)]
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6))) for r in got)
+
+
 def test_class_factors_add_up_to_one():
     import numpy as np
     rng = np.random.default_rng(0)

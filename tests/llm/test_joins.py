@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import brute
 from kohorte.llm import components, lines, partenum
@@ -181,3 +182,20 @@ def test_join_of_repeated_and_null_ids(spark, documents):
     docs = [(None, a), (None, near), (3, b), (3, near + " x"), (2, b + " y"), (None, None)]
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in partenum.classes(documents(docs)).collect()), key=str)
     assert got == sorted([(None, 56, 3), (None, 57, 3), (3, 56, 2), (3, 58, 3), (2, 57, 2), (None, 0, None)], key=str)
+
+
+def test_columns_with_the_names_of_working_columns(spark, documents):
+    names = ["__row", "__runs", "__doc", "__row_id", "n_lines"]
+    line = " ".join(f"w{i}" for i in range(60))
+    docs = documents([(1, f"{line}\nx"), (1, f"y\n{line}"), (None, "z"), (2, line)]).withColumns({n: F.lit(n) for n in names})
+    cut = lines.dedup_lines(docs)
+    assert {c for c in cut.columns} == {*docs.columns, "n_removed", "removed_words"}
+    rows = cut.collect()
+    assert all(r[n] == n for r in rows for n in names[:4]) and sum(r["n_removed"] for r in rows) == 2
+    kept = partenum.first_of_class(docs).collect()
+    assert all(r[n] == n for r in kept for n in names) and len(kept) == 3
+
+
+def test_similarities_below_the_bound_are_an_error(spark, documents):
+    with pytest.raises(ValueError):
+        partenum.classes(documents([(1, "a")]), percent=50)

@@ -2,11 +2,13 @@ import random
 
 import brute
 import corpus_pipeline
-from kohorte.llm import queries
+from kohorte.llm import ebayes, queries
 
 
-def test_stages(spark, documents, tmp_path):
+def test_stages(spark, documents, tmp_path, monkeypatch):
     """Planted cases go at their stage and clean documents stay to the end."""
+    monkeypatch.setattr(ebayes, "SHRINK", 1.0)     # some hundred labels here
+    monkeypatch.setattr(ebayes, "LEAST_SEEN", 4)
     rng = random.Random(7)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(900)]
 

@@ -123,3 +123,17 @@ def test_counts_of_flat_files(spark, documents, library, tmp_path):
     assert sorted(r["n_tokens"] for r in read.collect()) == sorted(n for _, n in sizes)
     none = separators.flat_files(encoded.limit(0), end_id=queries.END_ID)
     assert separators.named(none, separators.documents(separators.scan_files(none, queries.END_ID))).count() == 0
+
+
+def test_token_files_of_null_and_repeated_ids(spark, documents):
+    """Null ids come last; every row is a document of its own, also where one id has most of them."""
+    docs = [(None, "no id"), (5, "five"), (None, None), (2, "two"), (None, "no id"), *[(5, f"five {i}") for i in range(40)]]
+    file = Scratch(spark, "t").keep(mixcoder.blocks(documents(docs), PATH, block_ids=50), "blocks")
+    found = mixcoder.read(file).join(mixcoder.block_starts(file), ["part", "block"]).withColumn("start", F.col("begin") + F.col("offset"))
+    got = found.orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [2, *[5] * 41, *[None] * 3]
+    own = mixcoder.library(PATH)
+    want = sorted((repr(k), ids + b"\0\0\0\0") for (k, t), ids in zip(docs, own.encode([t or "" for _, t in docs])))
+    assert sorted((repr(r["doc_id"]), bytes(r["ids"])) for r in got) == want
+    assert [r["start"] for r in got] == [sum(len(x["ids"]) // 4 for x in got[:i]) for i in range(len(got))]
+    assert mixcoder.unpack(mixcoder.pack([(None, mixcoder.np.zeros(1, "u4")), (0, mixcoder.np.zeros(2, "u4"))]))[0][0] is None
