@@ -55,6 +55,34 @@ def funnel_daily(t: Tables, p: Params, *, unknown: bool = False) -> DataFrame:
     return distinct_users(events, {n: F.col("event_type") == e for n, e in STEPS.items()}, "date", "ip_country")
 
 
+LG_K = 14      # 16,384 registers: a standard error of 0.8 %
+
+
+def funnel_sketches(t: Tables, p: Params, *, lg_k: int = LG_K) -> DataFrame:
+    """(day, country) -> a sketch of the distinct users of each step.
+
+    Users of a week or a month are not the sum of its days' users; sketches can be merged over any span and are at most some kilobytes
+    a cell. Stored by day (``sinks.write_days``), a day is written once and never read again from events.
+    """
+    events = located_events(t, p, p.funnel_projects).select(
+        F.col("event_time").cast("date").alias("date"), F.coalesce("iso", "country").alias("ip_country"), "event_type", "amplitude_id")
+    return events.groupBy("date", "ip_country").agg(*[
+        F.hll_sketch_agg(F.when(F.col("event_type") == event, F.col("amplitude_id")), F.lit(lg_k)).alias(name) for name, event in STEPS.items()])
+
+
+def sketched_users(sketches: DataFrame, *keys: Column | str) -> DataFrame:
+    """``keys`` of the sketches' rows -> distinct users per step, within about three standard errors of the exact number."""
+    merged = sketches.groupBy(*keys).agg(*[F.hll_union_agg(name).alias(name) for name in STEPS])
+    return merged.withColumns({name: F.coalesce(F.hll_sketch_estimate(name), F.lit(0)).cast("bigint") for name in STEPS})
+
+
+def funnel_by_span(t: Tables, p: Params, span: Column) -> DataFrame:
+    """(span, country) -> exact distinct users per funnel step from the events; ``span`` is of ``event_time``."""
+    events = located_events(t, p, p.funnel_projects).select(
+        span.alias("span"), F.coalesce("iso", "country").alias("ip_country"), "event_type", "amplitude_id")
+    return distinct_users(events, {n: F.col("event_type") == e for n, e in STEPS.items()}, "span", "ip_country")
+
+
 def page_funnel_daily(t: Tables, p: Params, *, projects: Sequence[str], event: str = "view_page",
                       page: str = "tool_page", page_key: str = "page_name") -> DataFrame:
     """(day, country) -> distinct users that saw one page, read from the event's JSON properties."""

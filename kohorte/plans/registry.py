@@ -6,7 +6,8 @@ plain types (decimals as doubles), under the column names its oracle statement u
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import functools
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 from datetime import date
 from decimal import Decimal
@@ -25,6 +26,8 @@ from kohorte.session import configure, cut_lineage, shared_folder
 from kohorte.sources.catalog import Tables, read_csv
 from kohorte.sources.driver_lens import lens
 from kohorte.sources import sinks
+from kohorte.sources.schemas import SCHEMAS
+from kohorte.streaming import funnel as streamed
 
 PARAMS = Params(
     as_of=date(2001, 8, 1),
@@ -149,8 +152,11 @@ def _scenarios(t: Tables, p: Params) -> DataFrame:
 
 
 def _projection_check(t: Tables, p: Params) -> DataFrame:
-    """The lifetime projection beside the published one."""
-    own = projection.ltv_projection_dim(_projection_curves(t, p), p)
+    """The lifetime projection, written as a dimension and read back as of today, beside the published one."""
+    spark = t["customers"].sparkSession
+    path = f"{shared_folder(spark)}/lifetimes-{uuid4().hex}"
+    sinks.write_dimension(projection.ltv_projection_dim(_projection_curves(t, p), p), path, ["country", "price"], p.as_of)
+    own = sinks.read_dimension(spark, path, on=p.as_of)
     published = projection.published_lifetimes(t["customers"].sparkSession).withColumnRenamed("lt_36m", "published_lt_36m")
     return own.join(published, ["country", "price"], "left").select(
         "country", "price", "lt_36m", "published_lt_36m", (F.col("lt_36m") - F.col("published_lt_36m")).alias("difference"))
@@ -215,10 +221,53 @@ def _dedup(t: Tables, p: Params) -> DataFrame:
     return counters.dedup_latest_txn(t["transactions_dup"])
 
 
-def _feeds(rows: DataFrame, stamp: str) -> list[DataFrame]:
+def _monthly_users(t: Tables, p: Params) -> DataFrame:
+    """(month, country) -> exact distinct users of the first step, and whether each step's merged daily sketches come within four standard errors
+    (and one user) of the exact number."""
+    spark = t["customers"].sparkSession
+    path = f"{shared_folder(spark)}/sketches-{uuid4().hex}"
+    sinks.write_days(funnel.funnel_sketches(t, p), path)
+    month = F.trunc("date", "month").alias("span")
+    merged = funnel.sketched_users(spark.read.parquet(path), month, "ip_country").withColumnsRenamed({s: f"{s}_merged" for s in funnel.STEPS})
+    exact = funnel.funnel_by_span(t, p, F.trunc(F.col("event_time").cast("date"), "month"))
+    both = exact.withColumnRenamed("ip_country", "place").join(
+        merged.withColumnRenamed("span", "month"), (F.col("span") == F.col("month")) & F.col("place").eqNullSafe(F.col("ip_country")), "left")
+    near = functools.reduce(lambda a, b: a & b, [
+        F.abs(F.col(s) - F.col(f"{s}_merged")) <= 1 + 4 * 0.0082 * F.col(s) for s in funnel.STEPS])
+    return both.select(F.col("span").alias("date"), F.col("place").alias("ip_country"), *funnel.STEPS, F.coalesce(near, F.lit(False)).alias("merged_agrees"))
+
+
+STREAM_FEEDS = 4
+
+
+def _streamed(t: Tables, p: Params) -> DataFrame:
+    """The funnel from a stream of the events, in ``STREAM_FEEDS`` feeds of as many days each."""
+    spark = t["customers"].sparkSession
+    path = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    stamp = F.col("event_time").cast("date")
+    first, last = t["events"].agg(F.min(stamp), F.max(stamp)).first()
+    days = (last - first).days // STREAM_FEEDS + 1 if first else 1
+    for number in range(STREAM_FEEDS):
+        own = F.floor(F.datediff(stamp, F.lit(first)) / days) == number
+        t["events"].where(F.coalesce(own, F.lit(number == 0))).repartition(2).write.parquet(f"{path}/events/feed={number}")
+    stream = spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 2).parquet(f"{path}/events/*")
+    tables = Tables({"events": lambda: stream, "countries": lambda: t["countries"]})
+    streamed.write_funnel(streamed.first_sights(tables, p), f"{path}/funnel", f"{path}/checkpoint").awaitTermination()
+    return streamed.read_funnel(spark, f"{path}/funnel")
+
+
+STREAM_YEARS)):
+        feed.repartition(2).write.parquet(f"{path}/events/feed={number}")
+    stream = spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 2).option("pathGlobFilter", "*.parquet").parquet(f"{path}/events/*")
+    tables = Tables({"events": lambda: stream, "countries": lambda: t["countries"]})
+    sights = streamed.first_sights(tables, p, delay="4000 days")     # the driver's events are in no order
+    streamed.write_funnel(sights, f"{path}/funnel", f"{path}/checkpoint").awaitTermination()
+    return streamed.read_funnel(spark, f"{path}/funnel")
+
+
+def _feeds(rows: DataFrame, stamp: str, bounds: Sequence[int] = (1996, 1998, 2000)) -> list[DataFrame]:
     """The history in feeds: the years of a timestamp, what lies outside them with the first or last."""
     year = F.year(stamp)
-    bounds = [1996, 1998, 2000]
     cuts = [year < bounds[0], *[(year >= a) & (year < b) for a, b in zip(bounds, bounds[1:])], year >= bounds[-1]]
     return [rows.where(F.coalesce(cut, F.lit(i == 0))) for i, cut in enumerate(cuts)]
 
@@ -269,6 +318,8 @@ BUILDERS: dict[str, tuple[Builder, Mapping]] = {
     # funnel and spend
     "funnel_daily": (funnel.funnel_daily, {}),
     "funnel_by_site": (_viewers, {}),
+    "funnel_monthly": (_monthly_users, {}),
+    "funnel_streamed": (_streamed, {}),
     "country_mapping": (lambda t, p: funnel.country_mapping(t), {}),
     "spend_daily": (funnel.spend_daily, {}),
     "spend_by_site": (_site_spend, {}),
