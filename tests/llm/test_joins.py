@@ -193,7 +193,7 @@ def test_columns_with_the_names_of_working_columns(spark, documents):
     rows = cut.collect()
     assert all(r[n] == n for r in rows for n in names[:4]) and sum(r["n_removed"] for r in rows) == 2
     kept = partenum.first_of_class(docs).collect()
-    assert all(r[n] == n for r in kept for n in names) and len(kept) == 3
+    assert all(r[n] == n for r in kept for n in names) and len(kept) == 2
 
 
 def test_similarities_below_the_bound_are_an_error(spark, documents):
