@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHARGE = 0
@@ -38,9 +38,14 @@ def external_customers(customers: DataFrame, pattern: str, *, keep_missing: bool
     return customers.where(outside | F.col("email").isNull() if keep_missing else outside)
 
 
-def not_all_like(df: DataFrame, column: str, patterns: list[str]) -> DataFrame:
-    """The weak exclusion: a row goes only if it matches **every** pattern (or is NULL)."""
+def outside_all(column: str, patterns: list[str]) -> Column:
+    """The weak exclusion as a condition: false only where **every** pattern matches, NULL for NULL."""
     keep = ~F.col(column).like(patterns[0])
     for pattern in patterns[1:]:
         keep = keep | ~F.col(column).like(pattern)
-    return df.where(keep)
+    return keep
+
+
+def not_all_like(df: DataFrame, column: str, patterns: list[str]) -> DataFrame:
+    """The weak exclusion: a row goes only if it matches **every** pattern (or is NULL)."""
+    return df.where(outside_all(column, patterns))

@@ -13,6 +13,7 @@ from kohorte.functions.columns import (
     calendar_week_label, count_if, day, file_group, iso_week_label, lookup, money, one_line, size_in_mb, sum_if,
     whole_units,
 )
+from kohorte.operators.accounting import PLAIN, Plain
 from kohorte.operators.activity import paid_sales
 from kohorte.operators.shared import (
     is_charge, is_refund, customer_keys, first_rows, invoiced_activity, on_or_after, per_subscription,
@@ -115,19 +116,20 @@ def latest_subscription(t: Tables) -> DataFrame:
     return newest.drop("rank", "created_at")
 
 
-def reviews_export(t: Tables, p: Params, *, after: date) -> DataFrame:
+def reviews_export(t: Tables, p: Params, *, after: date, account: Plain = PLAIN) -> DataFrame:
     """Review rows on one line each, with the status and plan of the author's latest subscription.
 
-    Left joins by e-mail address: a review whose address belongs to several customers repeats.
+    Left joins by e-mail address: a review whose address belongs to several customers repeats. An ``accounting.Account`` tells how often.
     """
-    reviews = t["reviews"].where(F.col("created_at") > day(after).cast("timestamp"))
-    reviews = gates.not_all_like(reviews, "email", [p.internal_mail, p.second_mail_pattern])
+    reviews = account.gate(t["reviews"], F.col("created_at") > day(after).cast("timestamp"), "after the day")
+    reviews = account.gate(reviews, gates.outside_all("email", [p.internal_mail, p.second_mail_pattern]), "mail patterns")
     authors = t["customers"].where(F.col("email").isNotNull()).select("email", F.col("id").alias("customer_id_np"))
     plans = t["subscription_types"].select(F.col("id").alias("subscription_type_id"), "name")
     nothing = F.lit(None).cast("string")
+    rows = account.join(reviews, authors, "email", "authors")
+    rows = account.join(rows, latest_subscription(t).drop("id"), "customer_id_np", "latest subscription")
     return (
-        reviews.join(authors, "email", "left").join(latest_subscription(t).drop("id"), "customer_id_np", "left")
-        .join(plans, "subscription_type_id", "left")
+        account.join(rows, plans, "subscription_type_id", "plan")
         .select(F.col("created_at").cast("date").alias("created_at"), nothing.alias("a"), nothing.alias("a2"), "email",
                 F.col("rating").cast("bigint").alias("rating"), one_line(F.col("comment")).alias("comment"),
                 "subscription_status", "name"))

@@ -12,6 +12,7 @@ from kohorte.functions import gates
 from kohorte.functions.columns import (
     count_if, country_or_unknown, day, local_date, lookup, money, month_start, normal_country, ratio, safe_div, sum_if,
 )
+from kohorte.operators.accounting import PLAIN, Plain
 from kohorte.operators.funnel import located_events
 from kohorte.operators.shared import first_rows
 from kohorte.params import Params
@@ -30,19 +31,19 @@ def is_refund() -> Column:
     return F.col("event_type") == "refund"
 
 
-def movements(t: Tables, p: Params, *, known_customers: bool = True, with_email: bool = False) -> DataFrame:
+def movements(t: Tables, p: Params, *, known_customers: bool = True, with_email: bool = False, account: Plain = PLAIN) -> DataFrame:
     """Successful movements of the reported merchants with their site, internal customers left out.
 
     ``known_customers=False`` skips the customer gate; ``with_email`` adds the customer's address.
     """
-    rows = t["money_movements"].where(
-        F.col("merchant_id").isin(list(p.merchant_sites)) & (F.col("status") == "succeeded")
-        & (F.col("event_date") >= day(p.start)))
+    rows = account.gate(t["money_movements"], F.col("merchant_id").isin(list(p.merchant_sites)), "reported merchants")
+    rows = account.gate(rows, (F.col("status") == "succeeded") & (F.col("event_date") >= day(p.start)), "succeeded since the start")
     rows = rows.withColumn("site", lookup(F.col("merchant_id"), p.merchant_sites, p.no_site))
     if known_customers:
         owners = gates.external_customers(t["processor_customers"], p.internal_mail).select(
             F.col("id").alias("customer_id"), "email")
-        rows = rows.join(owners, "customer_id") if with_email else rows.join(owners, "customer_id", "left_semi")
+        rows = account.join(rows, owners if with_email else owners.select("customer_id"), "customer_id", "external customers",
+                            "inner" if with_email else "left_semi")
     return rows
 
 
@@ -56,9 +57,9 @@ def acquisition_country(t: Tables, p: Params) -> DataFrame:
         F.min("event_country").alias("event_country"))
 
 
-def with_country(rows: DataFrame, t: Tables, p: Params) -> DataFrame:
+def with_country(rows: DataFrame, t: Tables, p: Params, *, account: Plain = PLAIN) -> DataFrame:
     """Country of the purchase event, else of the card, else UNKNOWN."""
-    return rows.join(acquisition_country(t, p), "charge_id", "left").withColumn(
+    return account.join(rows, acquisition_country(t, p), "charge_id", "purchase events").withColumn(
         "ip_country", normal_country(F.coalesce("event_country", "card_address_country", F.lit("UNKNOWN")))
     ).drop("event_country")
 
@@ -71,15 +72,17 @@ def ledger_enriched(t: Tables, p: Params, *, known_customers: bool = True) -> Da
         "payment_method_type", "site", "charge_id", "customer_id")
 
 
-def ledger_reconcile(t: Tables, p: Params) -> DataFrame:
-    """Movement rows beside the internal transaction with the same external id, and its invoice."""
+def ledger_reconcile(t: Tables, p: Params, *, account: Plain = PLAIN) -> DataFrame:
+    """Movement rows beside the internal transaction with the same external id, and its invoice. An ``accounting.Account`` tells what
+    each gate and join did to the rows."""
     internal = t["transactions"].where(F.col("id_transaction").isNotNull()).select(
         F.col("id_transaction").alias("charge_id"), F.col("id").alias("transaction_id"), "id_transaction",
         F.col("customer_id").alias("customer_id_internal"), F.col("amount").alias("amount_internal"),
         F.col("currency").alias("currency_internal"))
-    rows = with_country(movements(t, p, with_email=True), t, p)
+    rows = with_country(movements(t, p, with_email=True, account=account), t, p, account=account)
+    rows = account.join(rows, internal, "charge_id", "internal transactions")
     return (
-        rows.join(internal, "charge_id", "left").join(t["invoices_sii"], "transaction_id", "left")
+        account.join(rows, t["invoices_sii"], "transaction_id", "invoices")
         .select(F.col("event_date").alias("date"), "event_type", "charge_id",
                 F.col("customer_id").alias("processor_customer_id"),
                 F.col("subscription_id").alias("processor_subscription_id"), "event_subtype",

@@ -683,6 +683,43 @@ select own.country, own.price, lt_36m, cast(published as double) as published_lt
 from own left join (values {PUBLISHED}) w(country, price, published) on w.country = own.country and w.price = own.price"""
 
 
+def _gate(rows: str, keep: str) -> str:
+    return f"select count(*) as rows, count(*) filter (where not coalesce({keep}, false)) as lost, 0 as gained from ({rows})"
+
+
+def _join(rows: str, key: str, partners: str, partner: str) -> str:
+    return f"""select count(*) as rows, count(*) filter (where n is null) as lost, coalesce(sum(n - 1) filter (where n > 1), 0) as gained
+        from ({rows}) x left join (select {partner} as partner, count(*) as n from ({partners}) group by 1) y on y.partner = x.{key}"""
+
+
+def _account(*steps: tuple[str, str, str]) -> str:
+    return " union all ".join(
+        f"select cast({i} as bigint) as number, '{step}' as step, '{kind}' as kind, rows, lost, cast(gained as bigint) as gained from ({sql})"
+        for i, (step, kind, sql) in enumerate(steps, 1))
+
+
+_SINCE = "select * from mov where status = 'succeeded' and date >= date '1995-01-01'"
+_REVIEWS = "select * from rev where created_at > timestamp '1998-01-02'"
+_MAILED = f"{_REVIEWS} and (email not like '%internal%' or email not like '%test%')"
+_AUTHORED = f"select r.*, c.id as customer from ({_MAILED}) r left join cust c on c.email = r.email"
+_LATEST = "select * from subs qualify row_number() over (partition by customer_id_np order by created_at desc, id desc) = 1"
+Q["ledger_reconcile_account"] = _account(
+    ("reported merchants", "gate", _gate("select * from mov", "merchant_id in ('m0', 'm1', 'm2', 'm3', 'm4', 'm5', 'm6')")),
+    ("succeeded since the start", "gate", _gate("select * from mov", "status = 'succeeded' and date >= date '1995-01-01'")),
+    ("external customers", "inner join", _join(_SINCE, "customer_id", "select * from pcust where email not like '%internal%'", "id")),
+    ("purchase events", "left join", _join("select * from led", "charge_id", "select * from acq where charge_id is not null", "charge_id")),
+    ("internal transactions", "left join", _join("select * from led", "charge_id", "select * from txn", "id_transaction")),
+    ("invoices", "left join", _join("select l.*, t.id as own from led l left join txn t on t.id_transaction = l.charge_id", "own",
+                                    "select * from inv", "transaction_id")))
+Q["reviews_export_account"] = _account(
+    ("after the day", "gate", _gate("select * from rev", "created_at > timestamp '1998-01-02'")),
+    ("mail patterns", "gate", _gate(_REVIEWS, "email not like '%internal%' or email not like '%test%'")),
+    ("authors", "left join", _join(_MAILED, "email", "select * from cust where email is not null", "email")),
+    ("latest subscription", "left join", _join(_AUTHORED, "customer", _LATEST, "customer_id_np")),
+    ("plan", "left join", _join(f"select a.*, s.subscription_type_id from ({_AUTHORED}) a left join ({_LATEST}) s on s.customer_id_np = a.customer",
+                                "subscription_type_id", "select * from plan", "id")))
+
+
 def oracle_sql() -> dict[str, str]:
     from kohorte.plans.registry import EARLY_REPORTS
     whole = {name: with_views(sql, VIEW) for name, sql in Q.items()}
