@@ -13,6 +13,7 @@ To know how often a row will be repeated, a join's right side is counted by key
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,14 @@ class Plain:
 PLAIN = Plain()
 
 
+def _numbers(seen: Observation) -> tuple[int, ...]:
+    try:
+        found = seen.get
+    except Py4JJavaError:       # no rows got here, and the optimizer left the step out
+        found = {}
+    return tuple(int(found.get(c) or 0) for c in ("rows", "lost", "gained"))
+
+
 class Account(Plain):
     """Counts of the steps of one report; :meth:`rows` after the report has run."""
 
@@ -60,5 +69,5 @@ class Account(Plain):
 
     def rows(self, spark: SparkSession) -> DataFrame:
         """(step number, step, kind, rows, lost, gained), once the report has run."""
-        found = [(i, step, kind, *[int(seen.get[c] or 0) for c in ("rows", "lost", "gained")]) for i, (step, kind, seen) in enumerate(self._steps, 1)]
+        found = [(i, step, kind, *_numbers(seen)) for i, (step, kind, seen) in enumerate(self._steps, 1)]
         return spark.createDataFrame(found, "number int, step string, kind string, rows bigint, lost bigint, gained bigint")

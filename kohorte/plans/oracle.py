@@ -661,6 +661,12 @@ from flat where month < 35"""
 Q["src_csv_roundtrip"] = """
 select ip_country, status, count(*) as subscriptions, cast(sum(tenure) as bigint) as tenure, cast(sum(user_revenue) as double) as user_revenue
 from fact group by 1, 2"""
+Q["src_csv_quarantine"] = """
+select 'good' as kind, status as what, count(*) as n_rows, cast(sum(tenure) as bigint) as tenure
+from fact where subscription_id % 10 <> 0 group by 2
+union all
+select 'bad', case subscription_id % 20 when 0 then 'user_revenue: lots is no decimal(18,2)' else 'tenure: many is no bigint' end, count(*), null
+from fact where subscription_id % 10 = 0 group by 2"""
 Q["trap_on_vs_where"] = """
 select 'on' as placement, count(*) as n_rows, count(t.id) as n_matched from cust c
 left join txn t on t.customer_id = c.id and t.transaction_status = 1 and t.transaction_type = 1

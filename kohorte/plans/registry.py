@@ -23,7 +23,7 @@ from kohorte.functions.gates import REFUND, successful
 from kohorte.params import Params
 from kohorte.plans.oracle import lens_ltv_windows
 from kohorte.session import configure, cut_lineage, shared_folder
-from kohorte.sources.catalog import Tables, read_csv
+from kohorte.sources.catalog import Tables, read_csv, read_csv_checked
 from kohorte.sources.driver_lens import lens
 from kohorte.sources import sinks
 from kohorte.sources.schemas import SCHEMAS
@@ -204,6 +204,23 @@ def _csv_roundtrip(t: Tables, p: Params) -> DataFrame:
         F.count(F.lit(1)).alias("subscriptions"), F.sum("tenure").alias("tenure"), F.sum("user_revenue").alias("user_revenue"))
 
 
+def _csv_quarantine(t: Tables, p: Params) -> DataFrame:
+    """The subscription fact through a CSV export in which every tenth subscription has a broken row: good rows by status, beside the
+    broken ones by reason."""
+    spark = t["customers"].sparkSession
+    path = f"{shared_folder(spark)}/broken-{uuid4().hex}"
+    fact, own = _fact(t, p), F.col("subscription_id")
+    texts = fact.select(*[F.col(c).cast("string").alias(c) for c in fact.columns]).withColumns({
+        "tenure": F.when(own % 20 == 10, F.lit("many")).otherwise(F.col("tenure")),
+        "user_revenue": F.when(own % 20 == 0, F.lit("lots")).otherwise(F.col("user_revenue"))})
+    sinks.write_csv(texts, f"{path}/csv")
+    good = read_csv_checked(spark, f"{path}/csv", "subscription_fact", f"{path}/quarantine")
+    kept = good.groupBy(F.lit("good").alias("kind"), F.col("status").alias("what")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("tenure").alias("tenure"))
+    bad = spark.read.parquet(f"{path}/quarantine").groupBy(F.lit("bad").alias("kind"), F.col("reason").alias("what")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.lit(None).cast("bigint").alias("tenure"))
+    return kept.unionByName(bad)
+
+
 def _on_vs_where(t: Tables, p: Params) -> DataFrame:
     """The same condition in ON keeps unmatched customers, in WHERE it does not."""
     txn = t["transactions"].select("id", F.col("customer_id").alias("c"), "transaction_status", "transaction_type")
@@ -381,6 +398,7 @@ BUILDERS: dict[str, tuple[Builder, Mapping]] = {
     "ltv_cumulative_modelled": (lambda t, p: projection.ltv_cumulative(_modelled(_segments(t, p)), p), {"rounded": ("ltv",)}),
     # sources and semantics
     "src_csv_roundtrip": (_csv_roundtrip, {}),
+    "src_csv_quarantine": (_csv_quarantine, {}),
     "trap_on_vs_where": (_on_vs_where, {}),
 }
 
