@@ -14,7 +14,7 @@ from kohorte.functions.columns import (
 )
 from kohorte.operators.accounting import PLAIN, Plain
 from kohorte.operators.funnel import located_events
-from kohorte.operators.shared import first_rows
+from kohorte.operators.shared import first_rows, with_repeated_ranks
 from kohorte.params import Params
 from kohorte.sources.catalog import Tables
 
@@ -212,31 +212,48 @@ def check_windows(windows: Sequence[tuple]) -> None:
                 raise ValueError(f"validity windows of {country} overlap at {first}")
 
 
-def payback_by_site(t: Tables, p: Params, *, legacy_repeat: bool = False) -> DataFrame:
+def payback_by_site(t: Tables, p: Params, *, legacy_repeat: bool = False, legacy_rank: bool = False) -> DataFrame:
     """(cohort day, country, site) -> charges, refunds, revenue, revenue of the first three rows per event type
-    (refunds included), subscriptions with a net renewal."""
+    (refunds included), subscriptions with a net renewal.
+
+    ``legacy_rank=True`` ranks rows after each is repeated for each opening of its subscription (``shared.with_repeated_ranks``).
+    """
     rows = movements(t, p).where(F.col("subscription_id").isNotNull())
-    cohort = with_country(rows.where(is_opening()), t, p).groupBy(
-        "subscription_id", F.col("event_date").alias("cohort_date"), "ip_country", "site").agg(
-        F.count(F.lit(1)).alias("n_trials"))
+    opened = with_country(rows.where(is_opening()), t, p)
+    if legacy_rank:
+        opened = with_repeated_ranks(opened, "charge_id", p.payback_charges)
+    cohort = opened.groupBy("subscription_id", F.col("event_date").alias("cohort_date"), "ip_country", "site",
+                            *(["n_own", "n_early"] if legacy_rank else [])).agg(F.count(F.lit(1)).alias("n_trials"))
     totals = rows.groupBy("subscription_id").agg(
         count_if(is_charge()).alias("n_charges"), count_if(is_refund()).alias("n_refunds"),
         F.sum("gross_amount").cast("decimal(18,2)").alias("revenue"))
     early = first_rows(rows.select("subscription_id", "event_type", "event_date", "charge_id", "gross_amount"),
                        ["subscription_id", "event_type"], ["event_date", "charge_id"], p.payback_charges)
-    early = early.groupBy("subscription_id").agg(F.sum("gross_amount").cast("decimal(18,2)").alias("early_revenue"))
-    return site_payback(cohort.join(totals, "subscription_id", "left").join(early, "subscription_id", "left"), legacy_repeat=legacy_repeat)
+    early = early.groupBy("subscription_id").agg(F.sum("gross_amount").cast("decimal(18,2)").alias("early_revenue"),
+                                                 F.collect_list(F.struct("rank", "gross_amount")).alias("early_rows"))
+    joined = cohort.join(totals, "subscription_id", "left").join(early, "subscription_id", "left")
+    if legacy_rank:
+        zero = F.lit(0).cast("decimal(18,2)")
+        joined = joined.withColumn("early_revenue", F.aggregate(
+            F.filter("early_rows", lambda r: r["rank"] <= F.col("n_early")), zero, lambda acc, r: (acc + r["gross_amount"]).cast("decimal(18,2)")))
+    return site_payback(joined, legacy_repeat=legacy_repeat, repeats=F.col("n_own") if legacy_rank else None)
 
 
-def site_payback(rows: DataFrame, *, legacy_repeat: bool) -> DataFrame:
+def site_payback(rows: DataFrame, *, legacy_repeat: bool, repeats: Column | None = None) -> DataFrame:
     """Cohort rows with their subscription's totals and early revenue, folded to (cohort day, country, site)."""
     n = F.col("n_trials")
     times = n * (F.col("n_charges") + F.col("n_refunds")) if legacy_repeat else n
+    net = F.col("n_charges") - F.col("n_refunds")
+    if repeats is None:
+        first_renewals = count_if(net > 1)
+    else:       # a subscription may have several rows in a cohort: one for each number of early rows
+        rows, times = rows.withColumn("renewed", repeats * net > 1), times * repeats if legacy_repeat else times
+        first_renewals = F.count_distinct(F.when(F.col("renewed"), F.col("subscription_id")))
     return rows.groupBy("cohort_date", "ip_country", "site").agg(
         F.sum(times * F.col("n_charges")).alias("charges"), F.sum(times * F.col("n_refunds")).alias("refunds"),
         F.sum(n * F.col("revenue")).cast("decimal(18,2)").alias("real_revenue"),
         F.sum(n * F.col("early_revenue")).cast("decimal(18,2)").alias("real_revenue_37d"),
-        count_if(F.col("n_charges") - F.col("n_refunds") > 1).alias("first_renewals"))
+        first_renewals.alias("first_renewals"))
 
 
 def processor_cohort(t: Tables, p: Params, *, subscription: str | None = None, legacy: bool = False) -> DataFrame:

@@ -16,7 +16,7 @@ from kohorte.functions import gates
 from kohorte.functions.columns import count_if, day, keyword_class, money, ratio, safe_div, static_eur, sum_if, week_start
 from kohorte.operators.shared import (
     all_activity, customer_keys, first_rows, invoiced_activity, is_charge, is_refund, on_or_after, per_subscription, subscription_prices,
-    trial_charges,
+    trial_charges, with_repeated_ranks,
 )
 from kohorte.params import Params
 from kohorte.sources.catalog import Tables
@@ -207,13 +207,15 @@ def daily_activity(txn: DataFrame) -> DataFrame:
         F.collect_list(F.when(is_refund(), F.struct("day", "amount"))).alias("refund_days"))
 
 
-def trial_payback(t: Tables, p: Params, cohort: DataFrame, *dims: str, legacy_repeat: bool = False) -> DataFrame:
+def trial_payback(t: Tables, p: Params, cohort: DataFrame, *dims: str, legacy_repeat: bool = False, legacy_rank: bool = False) -> DataFrame:
     """Sales, charges, refunds, net and 37-day revenue and first renewals by ``cohort_date`` and ``dims``.
 
     ``cohort`` has one row per subscription, cohort date, dims and rate. The 37-day revenue is the first
     charges of a subscription less its refunds up to 37 days after the cohort date. Charges and refunds count
     each transaction once; ``legacy_repeat=True`` counts a subscription's totals once per transaction row
-    instead, for comparison with reports built that way.
+    instead, for comparison with reports built that way. So does ``legacy_rank=True`` with ranks: a subscription's first charges are the first rows after
+    each charge is repeated for each of its trials, and its net charges are counted as often (``cohort`` has ``n_own`` and ``n_early``,
+    see ``shared.with_repeated_ranks``).
 
     All four inputs have one row per subscription (the cohort: per trial), so the joins share one partitioning.
     """
@@ -221,7 +223,8 @@ def trial_payback(t: Tables, p: Params, cohort: DataFrame, *dims: str, legacy_re
     charges = txn.where(F.col("transaction_type") == gates.CHARGE)
     early = first_rows(charges.select("subscription_id", "created_at", "id", "amount"),
                        ["subscription_id"], ["created_at", "id"], p.payback_charges)
-    early = early.groupBy("subscription_id").agg(F.sum("amount").cast("decimal(18,2)").alias("early_charged"))
+    early = early.groupBy("subscription_id").agg(
+        F.sum("amount").cast("decimal(18,2)").alias("early_charged"), F.collect_list(F.struct("rank", "amount")).alias("early_rows"))
     activity = daily_activity(txn)
     zero = F.lit(0).cast("decimal(18,2)")
     in_time = F.filter("refund_days", lambda r: r["day"] <= F.date_add("cohort_date", p.payback_days))
@@ -230,6 +233,11 @@ def trial_payback(t: Tables, p: Params, cohort: DataFrame, *dims: str, legacy_re
     rows = (
         cohort.join(activity, "subscription_id", "left").join(early, "subscription_id", "left")
         .withColumn("early_refunded", early_refunded))
+    net = F.col("n_charges") - F.col("n_refunds")
+    if legacy_rank:
+        net = F.col("n_own") * net
+        rows = rows.withColumn("early_charged", F.when(F.col("early_charged").isNotNull(), F.aggregate(
+            F.filter("early_rows", lambda r: r["rank"] <= F.col("n_early")), zero, lambda acc, r: (acc + r["amount"]).cast("decimal(18,2)"))))
     n = F.col("n_trials")
     times = n * (F.col("n_charges") + F.col("n_refunds")) if legacy_repeat else n
 
@@ -239,22 +247,24 @@ def trial_payback(t: Tables, p: Params, cohort: DataFrame, *dims: str, legacy_re
     per_sub = rows.groupBy("subscription_id", "cohort_date", *dims).agg(
         F.sum(times * F.col("n_charges")).alias("charges"), F.sum(times * F.col("n_refunds")).alias("refunds"),
         in_eur("charged", "refunded").alias("revenue"), in_eur("early_charged", "early_refunded").alias("early_revenue"),
-        F.max(F.col("n_charges") - F.col("n_refunds")).alias("net"))
+        F.max(net).alias("net"))
     return per_sub.groupBy("cohort_date", *dims).agg(
         F.count(F.lit(1)).alias("sales"), F.sum("charges").alias("charges"), F.sum("refunds").alias("refunds"),
         money(F.sum("revenue")).alias("real_revenue"), money(F.sum("early_revenue")).alias("real_revenue_37d"),
         count_if(F.col("net") > 1).alias("first_renewals"))
 
 
-def payback_by_method(t: Tables, p: Params, *, legacy_repeat: bool = False) -> DataFrame:
+def payback_by_method(t: Tables, p: Params, *, legacy_repeat: bool = False, legacy_rank: bool = False) -> DataFrame:
     """(day, country, merchant account, payment method, device, keyword) -> sales, charges, refunds, revenue in EUR."""
     dims = ("ip_country", "internal_mid_name", "apm_type", "device", "keyword")
     accounts = t["mids"].select(F.col("id").alias("mid_id"), "internal_mid_name")
     trials = (
         priced_trials(t, p).join(_terms(t), "utms_id", "left").join(accounts, "mid_id", "left")
         .withColumns({"keyword": F.coalesce("keyword", F.lit("other")), "apm_type": F.coalesce("apm_type", F.lit("Null"))}))
-    cohort = per_subscription(trials, F.col("date").alias("cohort_date"), *dims, "rate")
-    return trial_payback(t, p, cohort, *dims, legacy_repeat=legacy_repeat).withColumnRenamed("cohort_date", "date")
+    if legacy_rank:
+        trials = with_repeated_ranks(trials, "id", p.payback_charges)
+    cohort = per_subscription(trials, F.col("date").alias("cohort_date"), *dims, "rate", *(["n_own", "n_early"] if legacy_rank else []))
+    return trial_payback(t, p, cohort, *dims, legacy_repeat=legacy_repeat, legacy_rank=legacy_rank).withColumnRenamed("cohort_date", "date")
 
 
 def payback_by_country(t: Tables, p: Params, *, legacy_repeat: bool = False) -> DataFrame:

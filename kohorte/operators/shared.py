@@ -87,6 +87,22 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
 
 
+def with_repeated_ranks(trials: DataFrame, trial_id: str, most: int) -> DataFrame:
+    """Adds to trials what ranks over repeated rows come to: ``n_own``, the trials of the subscription, and ``n_early``, how many of its first
+    payments of a type a trial has among the first ``most`` rows.
+
+    Where each payment is repeated for each of m trials and the rows are ranked by time (ties: by trial), the i-th payment of the j-th trial
+    has the rank (i - 1) m + j. So the repeated rows need not be made. Only the first ``most`` trials can have any.
+    """
+    known = trials.where(F.col("subscription_id").isNotNull())
+    ranked = first_rows(known.select("subscription_id", F.col(trial_id).alias("of_trial")), ["subscription_id"], ["of_trial"], most, "nth_trial")
+    own = known.groupBy("subscription_id").agg(F.count(F.lit(1)).alias("n_own"))
+    placed = ranked.join(own, "subscription_id").select(
+        "of_trial", (F.floor((F.lit(most) - F.col("nth_trial")) / F.col("n_own")) + 1).cast("int").alias("n_early"))
+    return known.join(own, "subscription_id").join(placed, F.col(trial_id) == F.col("of_trial"), "left").withColumn(
+        "n_early", F.coalesce("n_early", F.lit(0))).drop("of_trial")
+
+
 def with_plan_price(subs: DataFrame, t: Tables, *, required: bool = False) -> DataFrame:
     """Adds the prices of the plan to rows with a ``subscription_type_id``; where there is no plan, NULL or, if one is
     ``required``, no row."""

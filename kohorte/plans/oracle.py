@@ -227,6 +227,16 @@ Q["payback_by_method"] = f"""
 select cohort_date as date, ip_country, internal_mid_name, apm_type, device, keyword,
        count(distinct subscription_id) as sales, {PAID} from opened_txn group by 1, 2, 3, 4, 5, 6"""
 
+# Ranks and counts over transactions repeated for each trial of their subscription.
+VIEW["opened_each"] = VIEW["opened"].replace("select b.subscription_id,", "select b.id as trial, b.subscription_id,", 1)
+VIEW["repeated_txn"] = """
+    select o.*, t.transaction_type as kind, t.amount, t.date as day,
+           row_number() over (partition by o.subscription_id, t.transaction_type order by t.created_at, t.id, o.trial) as n,
+           count(*) filter (where t.transaction_type = 0) over (partition by o.subscription_id) as c,
+           count(*) filter (where t.transaction_type = 1) over (partition by o.subscription_id) as r
+    from opened_each o left join good t on t.subscription_id = o.subscription_id"""
+Q["payback_by_method_ranked"] = Q["payback_by_method"].replace("opened_txn", "repeated_txn")
+
 # ------------------------------------------------------------- funnel, spend
 STEPS = """count(distinct amplitude_id) filter (where event_type = 'landing_page_viewed') as landing_page_viewers,
        count(distinct amplitude_id) filter (where event_type = 'upload_document') as upload_document_users,
@@ -356,6 +366,14 @@ def site_paid(repeat: bool) -> str:
 
 
 Q["payback_by_site"] = site_paid(False)
+VIEW["repeated_site_txn"] = """
+    select o.*, l.event_type, l.gross_amount,
+           row_number() over (partition by o.subscription_id, l.event_type order by l.date, l.charge_id, o.trial) as n,
+           count(*) filter (where l.event_type = 'charge') over (partition by o.subscription_id) as c,
+           count(*) filter (where l.event_type = 'refund') over (partition by o.subscription_id) as r
+    from (select subscription_id, charge_id as trial, date as cohort_date, ip_country, site from led where event_subtype = 'initial_purchase') o
+    left join led l on l.subscription_id = o.subscription_id"""
+Q["payback_by_site_ranked"] = site_paid(True).replace("site_txn", "repeated_site_txn")
 
 Q["processor_cohort"] = f"""
 with ch as (

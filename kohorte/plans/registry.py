@@ -332,6 +332,7 @@ BUILDERS: dict[str, tuple[Builder, Mapping]] = {
     "payback_by_keyword": (payback.payback_by_keyword, {}),
     "cohort_revenue_eur": (payback.cohort_revenue_eur, {}),
     "payback_by_method": (payback.payback_by_method, {}),
+    "payback_by_method_ranked": (lambda t, p: payback.payback_by_method(t, p, legacy_rank=True), {}),
     # funnel and spend
     "funnel_daily": (funnel.funnel_daily, {}),
     "funnel_by_site": (_viewers, {}),
@@ -351,6 +352,7 @@ BUILDERS: dict[str, tuple[Builder, Mapping]] = {
     "ltv_by_window": (_ltv_by_window, {}),
     "ltv_by_window_table": (_ltv_by_window_table, {}),
     "payback_by_site": (ledger.payback_by_site, {}),
+    "payback_by_site_ranked": (lambda t, p: ledger.payback_by_site(t, p, legacy_repeat=True, legacy_rank=True), {}),
     "processor_cohort": (ledger.processor_cohort, {}),
     # dashboards
     "dashboard_daily": (lambda t, p: _daily(t, p, legacy_repeat=False), {}),

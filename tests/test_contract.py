@@ -17,7 +17,9 @@ MODELLED = {"segment_hazard", "lt_horizons_modelled", "ltv_cumulative_modelled",
 # One or two per family; check.py compares all of them.
 COMPARED = ["sales_daily", "cohort_renewals", "renewal_windows", "payback_daily", "payback_by_method", "funnel_daily",
             "recurrence_pyramid", "dashboard_daily", "subscription_fact", "km_survival", "src_csv_roundtrip", "lt_cumulative",
-            "scenario_report", "spend_by_site_open", "dashboard_multisite", "retention_curve_increase", "processor_cohort"]
+            "scenario_report", "spend_by_site_open", "dashboard_multisite", "retention_curve_increase", "processor_cohort",
+            "ltv_by_window_table", "dedup_incremental", "life_table_incremental", "funnel_monthly", "funnel_streamed", "projection_check",
+            "ledger_reconcile_account", "reviews_export_account", "src_csv_quarantine", "payback_by_method_ranked", "payback_by_site_ranked"]
 
 
 @pytest.fixture(scope="module")
