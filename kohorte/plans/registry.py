@@ -27,6 +27,7 @@ from kohorte.sources.catalog import Tables, read_csv, read_csv_checked
 from kohorte.sources.driver_lens import lens
 from kohorte.sources import sinks
 from kohorte.sources.schemas import SCHEMAS
+from kohorte.sources.stored import NamedInputs
 from kohorte.streaming import funnel as streamed
 
 PARAMS = Params(
@@ -63,18 +64,28 @@ def publish(df: DataFrame, *, rounded: tuple[str, ...] = (), as_date: tuple[str,
 DATES = ("initial_payment_date", "latest_payment_date")
 
 
+def _kept(t: Tables, p: Params, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A model input under its name, if the tables have a place for it; else stored for this report alone."""
+    return t.inputs.get(name, p, build) if t.inputs is not None else cut_lineage(build())
+
+
 def _fact(t: Tables, p: Params) -> DataFrame:
-    return facts.subscription_fact(t, p, feed="transactions_dup")
+    def build() -> DataFrame:
+        return facts.subscription_fact(t, p, feed="transactions_dup")
+    return t.inputs.get("subscription_fact", p, build) if t.inputs is not None else build()
 
 
 def _model_prep(t: Tables, p: Params) -> DataFrame:
-    return retention.model_prep(cut_lineage(_fact(t, p)), p).drop("started")
+    """Of the fact only subscriptions that a model can take are stored: they are read for the volumes, too."""
+    rows = _kept(t, p, "model_rows", lambda: retention.model_rows(_fact(t, p), p).drop("started"))
+    return retention.volume_gate(rows, p)
 
 
 def _prepared(t: Tables, p: Params, tenure_offset: int = 0) -> DataFrame:
     """The invoiced fact folded to cells and stored: one pass over the data, whatever reads the cells."""
-    cells = retention.fold(retention.model_rows(_fact(t, p), p, tenure_offset=tenure_offset), "ip_country", "tier", "amount")
-    return retention.volume_gate(cut_lineage(cells), p)
+    cells = _kept(t, p, f"model_cells_{tenure_offset}", lambda: retention.fold(
+        retention.model_rows(_fact(t, p), p, tenure_offset=tenure_offset), "ip_country", "tier", "amount"))
+    return retention.volume_gate(cells, p)
 
 
 def _increase(t: Tables, p: Params) -> DataFrame:
@@ -83,8 +94,8 @@ def _increase(t: Tables, p: Params) -> DataFrame:
 
 
 def _segments(t: Tables, p: Params) -> DataFrame:
-    rows = retention.model_rows(facts.subscription_segments(t, p), p, tenure_offset=1, markets=False, annual=True)
-    return cut_lineage(retention.fold(rows, "user_segment"))
+    return _kept(t, p, "segment_cells", lambda: retention.fold(
+        retention.model_rows(facts.subscription_segments(t, p), p, tenure_offset=1, markets=False, annual=True), "user_segment"))
 
 
 def _users(segments: DataFrame) -> DataFrame:
@@ -415,10 +426,13 @@ SORTS = {    # order of the reports' rows where they are written (``sinks.write_
 }
 
 
-def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
+def run(name: str, spark: SparkSession, folder: str, *, inputs: NamedInputs | None = None) -> DataFrame:
+    """A query's result. ``inputs`` keeps the model inputs of all queries that share it (and the data)."""
     early = name.endswith("_early") and name not in BUILDERS
     build, publishing = BUILDERS[name.removesuffix("_early") if early else name]
-    return publish(build(lens(configure(spark), folder), EARLY if early else PARAMS), **publishing)
+    tables = lens(configure(spark), folder)
+    tables.inputs = inputs
+    return publish(build(tables, EARLY if early else PARAMS), **publishing)
 
 
 def names() -> list[str]:

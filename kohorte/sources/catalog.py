@@ -12,9 +12,13 @@ from kohorte.sources.schemas import SCHEMAS, schema_of
 
 
 class Tables(Mapping[str, DataFrame]):
-    """Logical tables, each resolved when an operator first asks for it."""
+    """Logical tables, each resolved when an operator first asks for it.
 
-    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+    ``inputs`` (``stored.NamedInputs``), if given, is where model inputs that are derived from the tables are kept for other reports.
+    """
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]], inputs=None):
+        self.inputs = inputs
         self._makers = dict(makers)
         self._made: dict[str, DataFrame] = {}
 

@@ -9,8 +9,10 @@ import pytest
 from fixtures import P, charge, tables
 from kohorte.functions import constants as k
 from kohorte.operators import activity, counters, dashboards, ledger, payback
+from kohorte.plans import registry
 from kohorte.plans.registry import PARAMS, _site_spend_open, _viewers
 from kohorte.sources.driver_lens import lens
+from kohorte.sources.stored import NamedInputs
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -114,3 +116,23 @@ def test_overlapping_windows_are_an_error(spark):
     keys = spark.createDataFrame([("ES", date(2000, 6, 1))], "country string, date date")
     with pytest.raises(Exception, match="validity windows of ES overlap"):
         ledger.dated_values(keys, table).collect()
+
+
+def test_model_inputs_are_written_once_for_all_models(spark, tmp_path):
+    """Reports that share them give the same rows as alone and don't read the payments again; other parameters have inputs of their own."""
+    inputs = NamedInputs(spark, str(tmp_path / "inputs"))
+    names = ["retention_curve", "cr_by_price", "model_prep", "ltv_projection_dim", "life_table", "km_survival", "retention_curve_early"]
+    own = {name: sorted(map(repr, registry.run(name, spark, FOLDER).collect())) for name in names}
+    written = {}
+    for name in names:
+        assert sorted(map(repr, registry.run(name, spark, FOLDER, inputs=inputs).collect())) == own[name]
+        files = {f: f.stat().st_mtime_ns for f in (tmp_path / "inputs").rglob("*.parquet")}
+        assert written.items() <= files.items()
+        written = files
+    tables = {f.parent.name.rpartition("-")[0] for f in written}
+    assert tables == {"subscription_fact", "model_rows", "model_cells_0", "segment_cells"}
+    assert len({f.parent.name for f in written}) == len(tables) + 2        # the early report's fact and cells
+    again = NamedInputs(spark, str(tmp_path / "inputs"))
+    assert "orders.parquet" not in plan(registry.run("cr_by_price", spark, FOLDER, inputs=again))
+    again.forget("segment_cells", PARAMS)
+    assert sorted(map(repr, registry.run("life_table", spark, FOLDER, inputs=again).collect())) == own["life_table"]
