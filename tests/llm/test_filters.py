@@ -198,6 +198,82 @@ def test_sites_shrink_toward_their_parents(spark):
     assert sparse["global_low"] < sparse["path_low"] < 0.95      # one document moves a site part of the way
 
 
+def plain_posteriors(rows):
+    """(doc, host, path, logits by head) -> p by head, by the formulas of the hierarchy written out."""
+    prob = lambda x: 1 / (1 + math.exp(-x))
+    logit = lambda p: math.log(p / (1 - p))
+    clamp = lambda p: min(max(p, 1e-6), 1 - 1e-6)
+
+    def strength(groups, parent):
+        n = {g: len(v) for g, v in groups.items()}
+        mean = {g: sum(v) / len(v) for g, v in groups.items()}
+        total = sum(n.values())
+        inner = sum(sum(x * x for x in v) - n[g] * mean[g] ** 2 for g, v in groups.items() if n[g] > 1) / max(sum(k - 1 for k in n.values()), 1)
+        outer = max(sum(n[g] * (mean[g] - parent[g]) ** 2 for g in groups) / total - inner * len(groups) / total, 1e-9)
+        k = min(max(inner / outer, 1.0), 1e9)
+        return {g: (sum(v) + k * parent[g]) / (n[g] + k) for g, v in groups.items()}
+
+    out = {}
+    for head in ebayes.HEADS:
+        hosts, paths = {}, {}
+        for _, host, path, own in rows:
+            hosts.setdefault(host, []).append(prob(own[head]))
+            paths.setdefault((host, path), []).append(prob(own[head]))
+        world = sum(prob(own[head]) for *_, own in rows) / len(rows)
+        host_rate = strength(hosts, {h: world for h in hosts})
+        path_rate = strength(paths, {g: host_rate[g[0]] for g in paths})
+        for key, host, path, own in rows:
+            out.setdefault(key, {})[head] = (prob(own[head] + logit(clamp(path_rate[host, path])) - logit(clamp(world))), path_rate[host, path])
+    return out
+
+
+def test_posteriors_against_the_formulas(spark, documents, monkeypatch):
+    """Sparse and full sites, null hosts and paths; evidence of a text is the sum of its known features' weights."""
+    monkeypatch.setattr(ebayes, "SHRINK", 1.0)
+    monkeypatch.setattr(ebayes, "LEAST_SEEN", 4)
+    docs, labels = corpus(300, seed=6)
+    rng = random.Random(6)
+    docs = [(k, t, rng.choice(["en", "de", None]), rng.choice(["big", "big", "big", "low" if i % 5 == 0 else "mid", None, f"s{i}"]), 0)
+            for i, (k, t, *_) in enumerate(docs)] + [(900, None, None, None, 0), (901, "", "en", "big", 0)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    given = documents(docs)
+    model = ebayes.train(given, table)
+    logits = {r["doc_id"]: {h: r[f"logit_{h}"] for h in ebayes.HEADS} for r in ebayes.with_logits(given, model, keep=["doc_id"]).collect()}
+    want = plain_posteriors([(k, source, lang, logits[k]) for k, _, lang, source, _ in docs])
+    for r in ebayes.judged(given, table).collect():
+        for head in ebayes.HEADS:
+            p, site = want[r["doc_id"]][head]
+            assert r[f"p_{head}"] == pytest.approx(p, abs=1e-9) and r[f"site_{head}"] == pytest.approx(site, abs=1e-9)
+        assert r["kept"] == all(want[r["doc_id"]][h][0] <= 0.5 for h in ebayes.HEADS)
+    import pyarrow as pa
+    texts = [t or "" for _, t, *_ in docs]
+    h, at = ebayes.features(pa.array(texts))
+    weight = {k: {head: model.weights[head][i] for head in ebayes.HEADS} for i, k in enumerate(model.keys.tolist())}
+    found = model.evidence(pa.array(texts))
+    for i in range(len(texts)):
+        known = {k for k in h[at[i]:at[i + 1]].tolist() if k in weight}
+        for head in ebayes.HEADS:
+            assert found[head][i] == pytest.approx(min(ebayes.MOST, sum(weight[k][head] for k in known)))
+
+
+def test_scores_learn_from_the_words_before(spark, documents):
+    """Texts keep to one of six vocabularies: held-out texts are likelier than by their words' counts, mixtures of texts are not."""
+    rng = random.Random(9)
+    kinds = [[f"{c}{i}" for i in range(40)] for c in "abcdef"]
+    texts = [[rng.choice(kind[:10] * 4 + kind) for _ in range(80)] for kind in kinds * 120]
+    docs = list(enumerate(" ".join(t) for t in texts))
+    held = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 5 == 1]
+    mixed = {}
+    for i in held:
+        other = next(k for k in range(10_000 + 50 * i, 10_050 + 50 * i) if zlib.crc32(str(k).encode()) % 5 == 1)
+        mixed[i] = other
+        docs.append((other, " ".join(rng.choice(texts[j])[:9] if (j := rng.choice(held)) >= 0 else "" for _ in range(80))))
+    got = {r["doc_id"]: r for r in maxent.score(documents(docs)).collect()}
+    gain = [(got[i]["score"] - got[i]["base_score"]) / got[i]["n_tokens"] for i in held]
+    loss = [(got[k]["score"] - got[k]["base_score"]) / got[k]["n_tokens"] for k in mixed.values()]
+    assert len(held) > 100 and sum(gain) / len(gain) > 0.04 and sum(loss) / len(loss) < -0.2
+
+
 def test_scores(spark, documents):
     docs, _ = corpus(250, seed=3)
     docs += [(400, None, "en", "s", 0), (401, "", "en", "s", 0), (402, "never seen words here", "en", "s", 0), (403, "Ä " * 300, "en", "s", 0)]
