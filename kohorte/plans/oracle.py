@@ -675,6 +675,52 @@ Q["ltv_cumulative"] = """
 select user_segment, month + 1 as month, round(39.95 * sum(s) over (partition by user_segment order by month), 6) as ltv
 from flat where month < 35"""
 
+# The hazard model's mode by coordinate Newton steps in one row of lists: segments, months of even and of odd number, and a shift of all
+# segments against all months, which leaves the likelihood as it is. 0.04 and 2.25 are the walk's and the segments' variances.
+def _churn(i: str, m: str) -> str:
+    return f"(1 / (1 + exp(-(a[{i}] + b[{m}]))))"
+
+
+_SEGMENT_STEP = f"""list_transform(range(1, s + 1), lambda i: a[i]
+    + (list_sum(list_transform(range(1, t + 1), lambda m: y[i][m] - n[i][m] * {_churn('i', 'm')})) - a[i] / 2.25)
+    / (list_sum(list_transform(range(1, t + 1), lambda m: n[i][m] * {_churn('i', 'm')} * (1 - {_churn('i', 'm')}))) + 1 / 2.25))"""
+
+
+def _month_step(odd: int) -> str:
+    return f"""list_transform(range(1, t + 1), lambda m: case when m % 2 = {odd} then b[m]
+    + (list_sum(list_transform(range(1, s + 1), lambda i: y[i][m] - n[i][m] * {_churn('i', 'm')}))
+       - coalesce((b[m] - b[m - 1]) / 0.04, 0) + coalesce((b[m + 1] - b[m]) / 0.04, 0))
+    / (list_sum(list_transform(range(1, s + 1), lambda i: n[i][m] * {_churn('i', 'm')} * (1 - {_churn('i', 'm')})))
+       + 25 * (case when m > 1 then 1 else 0 end) + 25 * (case when m < t then 1 else 0 end)) else b[m] end)"""
+
+
+MODE = f"""with recursive named as (select user_segment, row_number() over (order by user_segment) as i from life where n_risk > 0 group by 1),
+hazard_cells as (
+    select i, m, coalesce(cast(n_risk as double), 0) as n, coalesce(cast(n_event as double), 0) as y
+    from named cross join (select unnest(range(0, (select cast(max(month) as bigint) + 1 from life where n_risk > 0))) as m)
+    left join life on life.user_segment = named.user_segment and life.month = m),
+hazard_lists as (
+    select list(n order by i) as n, list(y order by i) as y, count(*) as s, max(len(n)) as t
+    from (select i, list(n order by m) as n, list(y order by m) as y from hazard_cells group by i)),
+steps as (
+    select 0 as k, list_transform(range(0, s), lambda i: 0.0::double) as a, list_transform(range(0, t), lambda m: -1.0::double) as b from hazard_lists
+    union all
+    select k + 1, list_transform(a, lambda x: x - list_avg(a)), list_transform(b, lambda x: x + list_avg(a))
+    from (select k, a, {_month_step(1)} as b
+          from (select k, a, {_month_step(0)} as b, n, y, s, t
+                from (select k, {_SEGMENT_STEP} as a, b, n, y, s, t from steps, hazard_lists where k < 400)
+          )
+    )
+),
+modelled as (
+    select user_segment, m as month, 1 / (1 + exp(-(a[i] + b[m + 1]))) as hazard
+    from named, (select * from steps where k = 400), (select unnest(range(0, (select t from hazard_lists))) as m))
+"""
+Q["segment_hazard"] = MODE + "select user_segment, month, round(hazard, 6) as hazard from modelled"
+_FLAT = ", modelled_flat as (" + VIEW["flat"].replace("1 - n_event / n_risk", "1 - hazard").replace("from life) c", "from modelled) c") + ")"
+Q["lt_horizons_modelled"] = MODE + _FLAT + Q["lt_horizons"].replace("from flat ", "from modelled_flat ")
+Q["ltv_cumulative_modelled"] = MODE + _FLAT + Q["ltv_cumulative"].replace("from flat ", "from modelled_flat ")
+
 # ------------------------------------------------------------------------ traps
 Q["src_csv_roundtrip"] = """
 select ip_country, status, count(*) as subscriptions, cast(sum(tenure) as bigint) as tenure, cast(sum(user_revenue) as double) as user_revenue
