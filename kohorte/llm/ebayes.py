@@ -238,10 +238,12 @@ def judged(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: st
         return docs.select(*keep, *[F.lit(None).cast("double").alias(c) for c in results[:-1]], F.lit(True).alias("kept"))
     # Numbered names inside, so that no column of the input clashes with one of the working columns.
     inner = {f"keep{i}": c for i, c in enumerate(keep)}
-    own = docs.select(*[F.col(c).alias(n) for n, c in inner.items()], F.col(host).alias("own_host"), F.col(path).alias("own_path"),
-                      F.col(text_column).alias("own_text"))
-    sites = site_rates(with_logits(own, model, keep=["own_host", "own_path"], text_column="own_text"), "own_host", "own_path")
-    scored = with_logits(own, model, keep=[*inner, "own_host", "own_path"], text_column="own_text")
+    # A text that is kept goes through the workers once.
+    text = next((n for n, c in inner.items() if c == text_column), "own_text")
+    alone = [F.col(text_column).alias(text)] if text not in inner else []
+    own = docs.select(*[F.col(c).alias(n) for n, c in inner.items()], F.col(host).alias("own_host"), F.col(path).alias("own_path"), *alone)
+    sites = site_rates(with_logits(own, model, keep=["own_host", "own_path"], text_column=text), "own_host", "own_path")
+    scored = with_logits(own, model, keep=[*inner, "own_host", "own_path"], text_column=text)
     both = scored.join(sites, F.col("own_host").eqNullSafe(F.col("host")) & F.col("own_path").eqNullSafe(F.col("path")), "left")
     clamp = lambda c: F.least(F.greatest(F.col(c), F.lit(1e-6)), F.lit(1 - 1e-6))
     out = both.select(*[F.col(n).alias(c) for n, c in inner.items()],
