@@ -32,12 +32,14 @@ class LatestRows:
         self.state, self.key, self.stamp = PartitionedState(spark, f"{folder.rstrip('/')}/latest", schema, key, parts=parts), key, stamp
 
     def fold(self, feed: DataFrame) -> None:
-        self.state.merge(latest_versions(feed, self.key, self.stamp), lambda rows: latest_versions(rows, self.key, self.stamp))
+        self.state.merge(feed, lambda rows: latest_versions(rows, self.key, self.stamp))
 
     def read(self) -> DataFrame:
         return self.state.read()
 
 
+# What a feed's payments are read for.
+PAYMENT = ["subscription_id", "user_agent_id", "utms_id", "transaction_type", "transaction_status", "amount", "payment_date"]
 VISITS = ("subscription_id bigint, user_agent_id bigint, utms_id bigint, charges bigint, refunds bigint, charged decimal(20,2), refunded decimal(20,2), "
           "first_payment timestamp, last_payment timestamp")
 PLACES = "subscription_id bigint, user_segment string, tenure bigint, churned bigint, started timestamp"
@@ -74,10 +76,13 @@ class LifeCells:
         if exists(self.spark, self._aside(feed, "visits")):
             self.visits.apply(self._aside(feed, "visits"))
             self.places.apply(self._aside(feed, "places"))
-            remove(self.spark, f"{self.folder}/aside/{feed}")
+        remove(self.spark, f"{self.folder}/aside/{feed}")
 
     def _prepare(self, feed: int, payments: DataFrame, t: Tables, p: Params, changed: DataFrame | None) -> None:
-        new = facts.visit_totals(gates.successful(payments))
+        # Stored, as four passes follow over what may be costly to build.
+        totals = facts.visit_totals(gates.successful(payments))
+        totals.write.mode("overwrite").parquet(self._aside(feed, "new"))
+        new = self.spark.read.schema(totals.schema).parquet(self._aside(feed, "new"))
         keys = new.select("subscription_id")
         keys = (keys if changed is None else keys.unionByName(changed.select(F.col("subscription_id").cast("bigint")))).distinct()
         parts = self.visits.touched(keys)

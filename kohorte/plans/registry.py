@@ -7,7 +7,7 @@ plain types (decimals as doubles), under the column names its oracle statement u
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import replace
 from datetime import date
 from decimal import Decimal
@@ -15,6 +15,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from kohorte.operators import (
     accounting, activity, cohorts, counters, dashboards, facts, funnel, hazard, incremental, ledger, payback, projection, retention,
@@ -27,6 +28,7 @@ from kohorte.sources.catalog import Tables, read_csv, read_csv_checked
 from kohorte.sources.driver_lens import lens
 from kohorte.sources import sinks
 from kohorte.sources.schemas import SCHEMAS
+from kohorte.sources.state import remove
 from kohorte.sources.stored import NamedInputs
 from kohorte.streaming import funnel as streamed
 
@@ -291,11 +293,20 @@ def _streamed(t: Tables, p: Params) -> DataFrame:
     return streamed.read_funnel(spark, f"{path}/funnel")
 
 
-def _feeds(rows: DataFrame, stamp: str, bounds: Sequence[int] = (1996, 1998, 2000)) -> list[DataFrame]:
-    """The history in feeds: the years of a timestamp, what lies outside them with the first or last."""
-    year = F.year(stamp)
-    cuts = [year < bounds[0], *[(year >= a) & (year < b) for a, b in zip(bounds, bounds[1:])], year >= bounds[-1]]
-    return [rows.where(F.coalesce(cut, F.lit(i == 0))) for i, cut in enumerate(cuts)]
+def _feeds(rows: DataFrame, stamp: str, bounds: Sequence[int] = (1996, 1998, 2000)) -> Iterator[DataFrame]:
+    """The history in feeds: the years of a timestamp, what lies outside them with the first or last.
+
+    It is read once and stored by feed, as feeds arrive: a filter over it would build the whole history again for every feed
+    and every pass over one. The files go when the last feed is folded in.
+    """
+    spark, year = rows.sparkSession, F.year(stamp)
+    number = functools.reduce(lambda cases, i: cases.when(year >= bounds[i], i + 1), reversed(range(len(bounds))), F.when(year.isNull(), 0))
+    folder = f"{shared_folder(spark).rstrip('/')}/feeds-{uuid4().hex}"
+    rows.withColumn("feed_number", number.otherwise(0)).write.partitionBy("feed_number").parquet(folder)
+    stored = spark.read.schema(StructType([*rows.schema.fields, StructField("feed_number", IntegerType())])).parquet(folder)
+    for i in range(len(bounds) + 1):
+        yield stored.where(F.col("feed_number") == i).drop("feed_number")
+    remove(spark, folder)
 
 
 def _dedup_incremental(t: Tables, p: Params) -> DataFrame:
@@ -311,7 +322,8 @@ def _dedup_incremental(t: Tables, p: Params) -> DataFrame:
 def _life_cells(t: Tables, p: Params) -> DataFrame:
     spark = t["customers"].sparkSession
     cells = incremental.LifeCells(spark, f"{shared_folder(spark)}/cells-{uuid4().hex}")
-    for number, feed in enumerate(_feeds(t["transactions"], "created_at")):
+    paid = t["transactions"].select("created_at", *incremental.PAYMENT)
+    for number, feed in enumerate(_feeds(paid, "created_at")):
         cells.fold(number, feed, t, p)
     return cells.cells(p)
 

@@ -75,7 +75,8 @@ class PartitionedState:
 
     def apply(self, staging: str) -> None:
         rows = self.spark.read.schema(f"{self.schema}, {PART} int").parquet(staging)
-        rows.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.path)
+        # As staged, every partition is a file or a few, so nothing is dealt out again.
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.path)
 
     def merge(self, feed: DataFrame, combine: Callable[[DataFrame], DataFrame]) -> None:
         """Fold ``feed`` into the rows of its partitions, where folding the same feed again changes nothing."""

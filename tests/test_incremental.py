@@ -7,6 +7,7 @@ import pytest
 
 from fixtures import P, at, charge, table, tables
 from kohorte.operators import counters, facts, incremental, retention
+from kohorte.plans import registry
 from kohorte.sources.schemas import SCHEMAS
 from kohorte.sources.state import PartitionedState
 
@@ -104,6 +105,37 @@ def test_life_cells_day_by_day(spark, tmp_path, monkeypatch):
     assert all(r[retention.WEIGHT] > 0 for r in cells.cells(P).collect())
 
 
+def counted(spark, df):
+    """``df``, and the number of its rows that have been built so far, over all passes."""
+    built = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            built.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(passed, df.schema), built
+
+
+def test_payments_are_built_once(spark, tmp_path):
+    """Neither the feeds of a history nor the folding of a feed builds the rows again for every pass over them."""
+    paid = history()
+    whole, built = counted(spark, table(spark, "transactions", paid))
+    cells = incremental.LifeCells(spark, str(tmp_path / "cells"), parts=3)
+    cells.fold(0, whole, tables(spark, paid, subscriptions=subscriptions(set())), P)
+    assert built.value == len(paid)
+    assert rows(retention.life_table(cells.cells(P))) == rows(retention.life_table(rebuilt(tables(spark, paid, subscriptions=subscriptions(set())))))
+    assert not (tmp_path / "cells" / "aside" / "0").exists()
+    stamped = [(i, at(day) if day else None) for i, day in enumerate(
+        [None, "1995-12-31", "1996-01-01", "1997-05-01", "1998-01-01", "1999-12-31", "2000-01-01", "2031-01-01"])]
+    whole, built = counted(spark, spark.createDataFrame(stamped, "id bigint, stamp timestamp"))
+    parts = []
+    for feed in registry._feeds(whole, "stamp"):
+        assert feed.columns == whole.columns and feed.count() == 2
+        parts.append(sorted(r["id"] for r in feed.collect()))
+    assert parts == [[0, 1], [2, 3], [4, 5], [6, 7]] and built.value == len(stamped)
+
+
 def test_a_partition_may_become_empty(spark, tmp_path):
     """A refund of the only charge takes the subscription out of every cell."""
     first, back = [charge(1, 1, "29.95", "2000-02-01"), charge(2, 1, "29.95", "2000-02-09")], [charge(k, 1, "29.95", "2000-03-01", kind=1) for k in (3, 4)]
