@@ -5,6 +5,7 @@ import zlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import brute
@@ -354,3 +355,26 @@ def test_word_hashes_follow_words(texts):
     for word, value in zip([w for p in parts for w in p], h.tolist()):
         assert seen.setdefault(word, value) == value
     assert len(set(seen.values())) == len(seen)
+
+
+def test_maxent_holds_little_in_a_task(documents, monkeypatch):
+    """Scoring tasks get the weights as a broadcast, not inside their function; texts are cut up part by part, with the same result."""
+    import numpy as np
+    import pyarrow as pa
+    sent, cut, real, whole = [], [], maxent._scores, maxent.tokens
+
+    def scores(*given):
+        sent.append(len(cloudpickle.dumps(run := real(*given))))
+        return run
+
+    monkeypatch.setattr(maxent, "_scores", scores)
+    docs = documents([(i, f"w{i % 7} w{i % 3} c") for i in range(30)])
+    assert maxent.score(docs).count() == 30
+    assert sent[0] < maxent.ROWS * maxent.CLASSES
+    monkeypatch.setattr(maxent, "tokens", lambda texts: cut.append(sum(map(len, texts.to_pylist()))) or whole(texts))
+    texts = pa.array([" ".join(f"w{(i * k) % 97}" for k in range(40_000)) for i in range(20)] + ["", "one"])
+    nothing = maxent.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.arange(1 << 16) % maxent.RARE)
+    target, rows = maxent._targets(nothing, texts, maxent.ROWS)
+    assert max(cut) <= maxent.PART and len(cut) > 2
+    h, ending, at = whole(texts)
+    assert (target == nothing.classify(h, ending, nothing.find(h))).all() and (rows == maxent.histories(h, at, maxent.ROWS)).all()
