@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kohorte.llm.textops import slices, text_batch
+from kohorte.llm.textops import give_back, released, slices, text_batch
 
 # The piece pattern and the byte alphabet of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -30,6 +30,7 @@ PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *
 
 REMEMBERED = 250_000    # pieces a worker keeps
 POOL = 6 << 20         # bytes of text whose new pieces are merged together
+INDEXED = 1 << 17       # pairs put into the index at a time, each with several numbers of 8 bytes
 
 
 def byte_of_char() -> dict[str, int]:
@@ -124,7 +125,9 @@ def merge_pool(pieces: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
     preceding = np.arange(-1, n - 1, dtype=np.int32)
     preceding[ends - sizes] = -1
     index, inner = PairIndex(), np.flatnonzero(following >= 0).astype(np.int32)
-    index.add(vocabulary.rank(symbol[inner], symbol[inner + 1]), inner)
+    for lo in range(0, len(inner), INDEXED):
+        some = inner[lo:lo + INDEXED]
+        index.add(vocabulary.rank(symbol[some], symbol[some + 1]), some)
     while index.ranks:
         rank, at = index.pop()
         left, right = vocabulary.left[rank], vocabulary.right[rank]
@@ -179,24 +182,36 @@ class Encoder:
 
     def _learn(self, parts: set[str]) -> None:
         """Ids of new parts: those of their pieces, new pieces through the pair index."""
-        cut = {p: self.vocabulary.pieces.findall(p) for p in parts}
-        known = self.known
-        new = list({piece for pieces in cut.values() for piece in pieces} - known.keys())
+        known, several, new = self.known, {}, set()
+        for part in parts:
+            pieces = self.vocabulary.pieces.findall(part)
+            if len(pieces) > 1:
+                several[part] = pieces
+                new.update(pieces)
+            else:       # most parts are a piece, and stand for it
+                new.add(part)
+        new = list(new - known.keys())
         if new:
             known.update(zip(new, merge_pool([p.encode() for p in new], self.vocabulary)))
-        for part, pieces in cut.items():
-            if len(pieces) > 1:
-                known[part] = b"".join([known[p] for p in pieces])
+        for part, pieces in several.items():
+            known[part] = b"".join([known[p] for p in pieces])
+
+    def forget(self) -> None:
+        """Let go of the pieces: the worker stays for other tasks, also those of other operators."""
+        self.known = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.forget()
         parts: set[str] = set()
         for text in texts:      # cut twice rather than kept: the parts of a pool take ten times its bytes
             for special, found in self._sections(text):
                 if not special:
                     parts.update(found)
-        self._learn(parts - self.known.keys())
+        parts -= self.known.keys()
+        self._learn(parts)
+        del parts
+        give_back()     # what was learned with takes more than what is kept
         known = self.known
         special = {s: np.array([i], "<u4").tobytes() for s, i in self.vocabulary.special.items()}
         return [b"".join([special[p] if is_special else known[p] for is_special, found in self._sections(text) for p in found])
@@ -212,15 +227,20 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
+@released
 def encoded_batches(vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = encoder(vocabulary)
-    for batch in batches:
-        for first, texts in slices(text_batch(batch), POOL):
-            ids = own.encode(texts.to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, len(texts)), pa.array(ids, pa.binary())], names=["key", "ids"])
+    try:
+        for batch in batches:
+            for first, texts in slices(text_batch(batch), POOL):
+                ids = own.encode(texts.to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(texts)), pa.array(ids, pa.binary())], names=["key", "ids"])
+    finally:
+        own.forget()
 
 
+@released
 def decoded_batches(vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = encoder(vocabulary).vocabulary.bytes
     spelled = np.array([table.get(i, b"") for i in range(max(table) + 1)], dtype=object)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kohorte.llm.scratch import Scratch, free, keyed
-from kohorte.llm.textops import NON_ALNUM, flat, hashed, slices, text_batch
+from kohorte.llm.textops import NON_ALNUM, flat, hashed, released, slices, text_batch
 
 WINDOW = 10
 SHARE_WORDS = 400_000
@@ -167,6 +167,7 @@ class Share:
 def _search(shares: list[tuple[str, str]], window: int):
     own: list[Share] = []
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not own:
             own.append(Share(shares, window))
@@ -279,6 +280,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "do
 
 def _cut_spans(spans_column: str, names: list[str], text_column: str, length_column: str | None):
     """The texts without the words of their spans."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column(batch.schema.get_field_index(spans_column))
@@ -322,6 +324,7 @@ def _without(part: pa.RecordBatch, raw: np.ndarray, at: np.ndarray, offsets: np.
 def _filter(items: list[tuple[str, str]], window: int, text_column: str, length_column: str | None, max_coverage: float):
     own: list[Share] = []
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not own:
             own.append(Share(items, window))

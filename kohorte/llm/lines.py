@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from kohorte.llm.scratch import Scratch, free, keyed, partitions
-from kohorte.llm.textops import text_batch
+from kohorte.llm.textops import released, text_batch
 
 MIN_WORDS = 50
 ALONE = 1 << 62     # ranks of lines that occur once, above all others
@@ -230,6 +230,7 @@ def _merge(stack: Stack, entry) -> None:
 
 
 def _cut(min_words: int, names: list[str], text_column: str, length_column: str | None, runs_column: str):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column(batch.schema.get_field_index(runs_column)).to_pylist()

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from kohorte.llm.components import connected
 from kohorte.llm.scratch import Scratch, keyed
-from kohorte.llm.textops import flat, hashed, mix, slices, text_batch, windows
+from kohorte.llm.textops import flat, hashed, mix, released, slices, text_batch, windows
 
 PERCENT = 75
 SHINGLE = 5
@@ -109,6 +109,7 @@ def fingerprint(own: np.ndarray) -> int:
     return int(mix(np.array([mix(own).sum(dtype=np.uint64) + np.uint64(len(own))], np.uint64)).view(np.int64)[0])
 
 
+@released
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, texts in slices(text_batch(batch)):
@@ -119,6 +120,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _signatures(percent: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in slices(text_batch(batch)):
@@ -145,6 +147,7 @@ def _signatures(percent: int):
 
 def _compare(percent: int):
     """Pairs of texts that are similar; the last text's set is kept, as neighbours often share it."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, np.ndarray] | None = None
         for batch in batches:
@@ -243,6 +246,7 @@ def _closed(groups: DataFrame, sigs: DataFrame, texts: DataFrame, scratch: Scrat
     return roots if linked.isEmpty() else connected(edges.unionByName(linked), scratch, "roots-1")
 
 
+@released
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, texts in slices(text_batch(batch)):

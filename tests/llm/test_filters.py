@@ -378,3 +378,27 @@ def test_maxent_holds_little_in_a_task(documents, monkeypatch):
     assert max(cut) <= maxent.PART and len(cut) > 2
     h, ending, at = whole(texts)
     assert (target == nothing.classify(h, ending, nothing.find(h))).all() and (rows == maxent.histories(h, at, maxent.ROWS)).all()
+
+
+def test_features_take_little_memory():
+    """A slice of texts is turned into features in some 10 bytes a byte; running sums over all bytes took twice as many."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc DE!#\n") for _ in range(2000)) for _ in range(20)]
+    h, at = ebayes.features(pa.array(texts + ["", "!A#"]))
+    own = [h[a:b][-6:].tolist() for a, b in zip(at, at[1:])]
+    for text, shapes in zip(texts + ["", "!A#"], own):
+        words, n_bytes = max(len(brute.words(text)), 1), max(len(text), 1)
+        capitals, symbols, marks = (sum(c in some for c in text) for some in ("DE" + "A", "#", "!"))
+        assert shapes[1:4] == [100 + int(20 * (capitals / n_bytes)), 200 + int(min(20, 10 * (symbols / words))), 300 + int(min(20, 10 * (marks / words)))]
+    many = pa.array([" ".join(f"word{k % 1000}" for k in range(500)) for _ in range(1000)])
+    size = sum(map(len, many.to_pylist()))
+    ebayes.features(many)
+    tracemalloc.start()
+    ebayes.features(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 13 * size and isinstance(h, np.ndarray)

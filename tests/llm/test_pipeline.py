@@ -63,3 +63,17 @@ def test_stages(spark, documents, tmp_path, monkeypatch):
     assert sorted(tuple(r) for r in now.collect()) == sorted(
         tuple(r) for r in queries.coded(documents(list(free.items()))).collect())
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(tuple(r) for r in now.collect())
+
+
+def test_stages_lower_arrow_batches(spark, documents, tmp_path):
+    """Whole texts go to the workers in batches of at most ``BATCH_ROWS``; a lower limit of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = documents([(1, "a text")])
+    try:
+        for given, want in (("10000", corpus_pipeline.BATCH_ROWS), ("0", corpus_pipeline.BATCH_ROWS), ("100", 100)):
+            spark.conf.set(name, given)
+            corpus_pipeline.token_ids(spark, docs, str(tmp_path))
+            assert int(spark.conf.get(name)) == want
+    finally:
+        spark.conf.set(name, before)

@@ -137,3 +137,13 @@ def test_token_files_of_null_and_repeated_ids(spark, documents):
     assert sorted((repr(r["doc_id"]), bytes(r["ids"])) for r in got) == want
     assert [r["start"] for r in got] == [sum(len(x["ids"]) // 4 for x in got[:i]) for i in range(len(got))]
     assert mixcoder.unpack(mixcoder.pack([(None, mixcoder.np.zeros(1, "u4")), (0, mixcoder.np.zeros(2, "u4"))]))[0][0] is None
+
+
+def test_workers_forget_pieces_at_the_end_of_a_task():
+    """A worker that goes on to other operators holds no pieces of the task before."""
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"key": [1, 2], "text": ["some words of a text", None]})
+    ids = [r for out in bpe.encoded_batches(PATH, iter([batch])) for r in out.column(1).to_pylist()]
+    assert ids == bpe.encoder(PATH).encode(["some words of a text", ""])
+    list(bpe.encoded_batches(PATH, iter([batch])))
+    assert not bpe.encoder(PATH).known
