@@ -1,10 +1,11 @@
 """Line dedup with a suffix array over line ids.
 
 The documents, in ascending id order, are sequences of line ids. Prefix doubling sorts all suffixes that begin with a
-line that occurs more than once: in round r they are ranked by their first 2**r lines, from the ranks of the round
-before; a round is a join, a grouped count and a range sort. Ranks are kept for all rounds, so two neighbours in the
-suffix array tell within a factor of two how many lines they share; the rest is compared line by line, and only
-where the neighbours' preceding lines differ (else the length is one less than at the line before).
+line that occurs more than once: by their first 1, 2, 8, 32 ... lines, each time from the ranks of the round
+before at two places (the first round) or four; a round is a window over a document's lines, a grouped count, a range
+sort and a join. Ranks are kept for all rounds, so two neighbours in the suffix array tell within a factor of four how
+many lines they share; the rest is compared line by line, and only where the neighbours' preceding lines differ (else
+the length is one less than at the line before).
 
 A sweep over the suffix array then keeps the stack of open longest-common-prefix intervals, each with its earliest
 suffix, and gives for each suffix the longest run of lines that also begins at an earlier place. Partitions of the array
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from kohorte.llm.scratch import Scratch, free, keyed, partitions
@@ -48,37 +49,43 @@ def _ranked(keys: DataFrame, n: int, *names: str) -> DataFrame:
     return keys.repartitionByRange(n, *names).sortWithinPartitions(*names).withColumn("rank", F.monotonically_increasing_id())
 
 
+def _at(name: str, distance: int) -> Column:
+    """``name`` at the line so many places further on in the document; null where that line is not among the rows."""
+    return F.first(name).over(Window.partitionBy("doc").orderBy("pos").rangeBetween(distance, distance))
+
+
 def suffix_ranks(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc, n_lines, pos, id, before, ranks): suffixes that begin with a repeated line; ``ranks`` by 1, 2, 4 ... lines,
+    """(doc, n_lines, pos, id, before, ranks): suffixes that begin with a repeated line; ``ranks`` by 1, 2, 8, 32 ... lines,
     ``before`` the id of the line above if that is repeated too."""
     n = partitions(lines.sparkSession)
     repeated = lines.groupBy("id").count().where("count > 1").select("id")
     dup = scratch.keep(lines.join(repeated, "id", "left_semi").select("doc", "n_lines", "pos", "id"), "repeated")
     first = scratch.keep(_ranked(dup.select("id").distinct(), n, "id"), "rank-0")
-    above = dup.select("doc", (F.col("pos") + 1).alias("pos"), F.col("id").alias("before"))
-    now = dup.join(first, "id").join(above, ["doc", "pos"], "left").select(
-        "doc", "n_lines", "pos", "id", "before", "rank", F.array("rank").alias("ranks"))
+    now = dup.join(first, "id").select("doc", "n_lines", "pos", "id", _at("id", -1).alias("before"), "rank", F.array("rank").alias("ranks"))
     now = scratch.keep(now, "suffixes-0")
     classes, step, k = first.count(), 1, 0
     while True:
-        ahead = now.select("doc", (F.col("pos") - step).alias("pos"), F.col("rank").alias("rank2"))
-        there = F.col("pos") + step
-        alone = F.xxhash64("doc", there).bitwiseAND(F.lit(ALONE - 1)).bitwiseOR(F.lit(ALONE))
-        both = now.join(ahead, ["doc", "pos"], "left").withColumn(
-            "rank2", F.coalesce("rank2", F.when(there >= F.col("n_lines"), F.lit(-1)).otherwise(alone))).withColumnRenamed("rank", "rank1")
+        factor = 4 if k else 2
+        places = range(step, factor * step, step)
+        names = ["rank1", *(f"rank{i}" for i in range(2, factor + 1))]
+        both = now.withColumns({name: _at("rank", t) for name, t in zip(names[1:], places)}).withColumnRenamed("rank", "rank1")
+        for name, t in zip(names[1:], places):
+            there = F.col("pos") + t
+            alone = F.xxhash64("doc", there).bitwiseAND(F.lit(ALONE - 1)).bitwiseOR(F.lit(ALONE))
+            both = both.withColumn(name, F.coalesce(name, F.when(there >= F.col("n_lines"), F.lit(-1)).otherwise(alone)))
         k += 1
         both = scratch.keep(both, f"pairs-{k}")
         seen = Observation()     # filled while the ranks are written
-        ranked = scratch.keep(_ranked(both.select("rank1", "rank2").distinct(), n, "rank1", "rank2").observe(
+        ranked = scratch.keep(_ranked(both.select(*names).distinct(), n, *names).observe(
             seen, F.count(F.lit(1)).alias("n")), f"rank-{k}")
         found = seen.get["n"]
         if found == classes:    # no class was split: all that is equal now is equal to its end
             return now
-        after = both.join(ranked, ["rank1", "rank2"]).select(
+        after = both.join(ranked, names).select(
             "doc", "n_lines", "pos", "id", "before", "rank", F.concat("ranks", F.array("rank")).alias("ranks"))
         now = scratch.keep(after, f"suffixes-{k}")
         scratch.drop(f"suffixes-{k - 1}", f"pairs-{k}", f"rank-{k}")
-        classes, step = found, 2 * step
+        classes, step = found, factor * step
 
 
 def suffix_array(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -107,16 +114,17 @@ def suffix_array(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
                        F.when(F.col("p").isNull(), 0).otherwise(shared).alias("levels"), F.size("ranks").alias("all_levels"),
                        (F.col("before") == F.col("p.before")).alias("follows"))
     near = scratch.keep(near.withColumn("follows", F.coalesce("follows", F.lit(False))), "near")
-    # Lines to compare where the number of shared lines lies between 2**(levels-1) and 2**levels.
+    # Lines to compare where the number of shared lines lies between two ranked lengths: 2 and 8, 8 and 32 ...
     lines = suffixes.select("doc", "pos", "id")
     asked = near.where("levels > 1 and levels < all_levels and not follows").select(
-        "at", "doc", "pos", "doc2", "pos2", F.explode(F.expr("sequence(shiftleft(1, levels - 1), shiftleft(1, levels) - 1)")).alias("t"))
+        "at", "doc", "pos", "doc2", "pos2",
+        F.explode(F.expr("sequence(shiftleft(1, 2 * levels - 3), least(shiftleft(1, 2 * levels - 1) - 1, n_lines - pos))")).alias("t"))
     mine = asked.withColumn("pos", F.col("pos") + F.col("t")).join(lines, ["doc", "pos"], "left").select(
         "at", "t", F.col("id").alias("id1"), F.col("doc2").alias("doc"), (F.col("pos2") + F.col("t")).alias("pos"))
     compared = mine.join(lines, ["doc", "pos"], "left").where("id1 is null or id is null or id1 <> id")
     shorter = compared.groupBy("at").agg(F.min("t").alias("t"))
     level = F.when(F.col("levels") == 0, 0).when(F.col("levels") == F.col("all_levels"), F.col("n_lines") - F.col("pos")) \
-        .when(F.col("levels") == 1, 1).otherwise(F.coalesce("t", F.expr("shiftleft(1, levels) - 1")))
+        .when(F.col("levels") == 1, 1).otherwise(F.coalesce("t", F.expr("shiftleft(1, 2 * levels - 1) - 1")))
     direct = near.join(shorter, "at", "left").withColumn("lcp", F.when(~F.col("follows"), level))
     chain = F.last(F.col("lcp") + F.col("pos"), ignorenulls=True).over(Window.partitionBy("doc").orderBy("pos"))
     return scratch.keep(direct.select("part", "at", "doc", "pos", F.coalesce("lcp", chain - F.col("pos")).cast("int").alias("lcp")), "lcps")

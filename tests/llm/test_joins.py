@@ -118,6 +118,19 @@ def test_line_dedup_against_all_pairs(spark, documents, seed, min_words):
     assert len(got) == len(docs)
 
 
+def test_line_dedup_ranks_long_copies_in_few_rounds(spark, documents, monkeypatch):
+    """Copies of 300 lines are told apart in at most 7 rounds, also where they share 1, 2, 7, 8, 9, 31, 32 ... lines."""
+    kept, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: kept.append(name) or keep(self, df, name))
+    whole = [f"line {i} of the text" for i in range(300)]
+    docs = [(1, "\n".join(whole)), (2, "\n".join(whole))]
+    for i, n in enumerate((1, 2, 3, 7, 8, 9, 31, 32, 33, 127, 128, 129)):
+        docs.append((10 + i, "\n".join([f"before {i}", *whole[i:i + n], f"behind {i}", *whole[-n:]])))
+    got = lines.dedup_lines(documents(docs), min_words=10).collect()
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in got} == brute.deduped(docs, 10)
+    assert sum(name.startswith("pairs-") for name in kept) <= 7
+
+
 def test_line_dedup_extra_columns_and_empty_table(spark, documents):
     line = " ".join(["word"] * 60)
     docs = documents([(1, line), (2, f"own\n{line}"), (3, "")]).selectExpr("*", "1 as n_lines", "2 as pos", "3 as doc", "4 as rank")
