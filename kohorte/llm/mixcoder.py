@@ -16,86 +16,143 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kohorte.llm.bpe import Encoder, Vocabulary
+from kohorte.llm.bpe import Vocabulary
 from kohorte.llm.scratch import partitions
-from kohorte.llm.textops import slices, text_batch
+from kohorte.llm.textops import flat, slices, span_hashes, text_batch
 
 BLOCK_IDS = 1 << 20
-LANES, LANE_IDS = 2048, 256         # at most so many lanes, of at least so many ids
+LANES, LANE_IDS = 4096, 256         # at most so many lanes, of at least so many ids
 HASH_BITS = 18
-JOINED = 4000       # parts given to the library at a time
-TRUST = 8                           # confidences 0 to 7
+JOINED = 20_000     # parts given to the library at a time
+REMEMBERED = 1_500_000      # parts a worker keeps, about 60 bytes each
+FIRST_SLOTS = 1 << 16
+LONGEST = 1000      # bytes of a part; its hash is that of a polynomial modulo 2**64
+TRUST_BITS = 3
+TRUST = 1 << TRUST_BITS             # confidences 0 to 7
 MAGIC = b"KMX2"
 HEADER = struct.Struct("<4sIQIIIII")    # magic, CRC, ids, largest id + 1, lanes, documents, bytes of documents, words
 
-ONE = np.uint64(1)
-WORD = np.uint64(32)
+BLANKS = frozenset(b" \t\n\v\f\r")
+LETTER, BLANK, OTHER = 1, 2, 3      # of ASCII; bytes of other characters are 0
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[128:] = 0
+KINDS[[c for c in range(128) if chr(c).isalpha()]] = LETTER
+KINDS[list(BLANKS)] = BLANK
+OTHER_BLANKS = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+ONE, WORD, FULL = np.uint64(1), np.uint64(32), np.uint64(1 << 32)
+
+# By confidences (order 2 * TRUST + order 1) and, for 256 cases, which guesses were right (order 2 * 2 + order 1 times 64 more):
+# the gain of a guess's confidence, and whether the id takes its place.
+TRUST2, TRUST1 = np.divmod(np.arange(TRUST * TRUST), TRUST)
+GAIN2, GAIN1 = (np.concatenate([np.where(np.tile(right, TRUST * TRUST), np.where(t < TRUST - 1, 1, 0), -1) for right in rights])
+                for t, rights in ((TRUST2, (False, False, True, True)), (TRUST1, (False, True, False, True))))
+LOST2, LOST1 = (np.concatenate([~np.tile(right, TRUST * TRUST) & (t <= 1) for right in rights])
+                for t, rights in ((TRUST2, (False, False, True, True)), (TRUST1, (False, True, False, True))))
 
 
 class Mixer:
-    """The adaptive model of a block; the coder and the decoder take the same steps."""
+    """The adaptive model of a block; the coder and the decoder take the same steps.
+
+    A guess and its confidence are one number of a table, guess * TRUST + confidence. What a step learns depends on the two
+    confidences and on which guesses were right: 256 cases, looked up in small tables.
+    """
 
-    def __init__(self, size: int, lanes: int):
-        self.size = size
+    def __init__(self, size: int, lanes: int, decoding: bool = False):
+        self.size, self.decoding = size, decoding
         self.bits = max(4, (size - 1).bit_length() + 2)     # order-0 shares add up to 1 << bits
         self.total_bits = self.bits + 3
         self.counts = np.zeros(size, np.int64)
-        self.guess = [np.zeros(size, np.int64), np.zeros(1 << HASH_BITS, np.int64)]
-        self.trust = [np.zeros(size, np.int64), np.zeros(1 << HASH_BITS, np.int64)]
+        self.kind = np.dtype(np.int32 if size < 1 << 31 - TRUST_BITS else np.int64)
+        self.table1, self.table2 = np.full(size, -TRUST, self.kind), np.full(1 << HASH_BITS, -TRUST, self.kind)    # guess -1: none
+        self.gain1, self.gain2 = GAIN1.astype(self.kind), GAIN2.astype(self.kind)
         self.hits = np.tile(np.array([[2], [2], [4]], np.int64), (1, TRUST * TRUST))     # order 2, 1, 0 by confidences
         self.before = np.zeros(lanes, np.int64)
-        self.before2 = np.zeros(lanes, np.int64)
-        self.step, self.recent = 0, []
+        self.mixed, self.mixed2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.step, self.recent, self.cases = 0, [], []
         self._rebuild()
 
     def _rebuild(self) -> None:
         spare, seen = (1 << self.bits) - self.size, max(int(self.counts.sum()), 1)
         shares = 1 + self.counts * spare // seen
         shares[0] += (1 << self.bits) - int(shares.sum())
-        self.upto = np.concatenate([[0], np.cumsum(shares)])
-        self.owner = np.repeat(np.arange(self.size), shares)
+        self.upto = np.zeros(self.size + 1, np.uint64)
+        self.upto[1:] = np.cumsum(shares)
+        if self.decoding:
+            self.owner = np.repeat(np.arange(self.size, dtype=self.kind), shares)
         total = (1 << self.total_bits) - (1 << self.bits)
         every = self.hits.sum(axis=0)
-        self.share2, self.share1 = total * self.hits[0] // every, total * self.hits[1] // every
+        self.share2 = np.where(TRUST2 > 0, total * self.hits[0] // every, 0).astype(np.uint64)
+        self.share1 = np.where(TRUST1 > 0, total * self.hits[1] // every, 0).astype(np.uint64)
 
     def predict(self) -> tuple[np.ndarray, ...]:
-        """Guesses of orders 2 and 1, and the widths of their ranges (0: no guess)."""
-        context = ((self.before2 * 0x9E3779B1 + self.before * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - HASH_BITS)
-        self.context = context
-        self.guess2, self.guess1 = self.guess[1][context], self.guess[0][self.before]
-        self.trust2, self.trust1 = self.trust[1][context], self.trust[0][self.before]
-        self.state = self.trust2 * TRUST + self.trust1
-        width2 = np.where(self.trust2 > 0, self.share2[self.state], 0)
-        width1 = np.where((self.trust1 > 0) & ((self.trust2 == 0) | (self.guess1 != self.guess2)), self.share1[self.state], 0)
-        return self.guess2, width2, self.guess1, width1
+        """Guesses of orders 2 and 1 (-1: none), the width of the first one's range, and of both (0: no guess)."""
+        self.context = ((self.mixed2 + self.mixed) >> np.uint32(32 - HASH_BITS)).astype(np.int64)
+        self.found2, self.found1 = self.table2.take(self.context), self.table1.take(self.before)
+        self.guess2, self.guess1 = self.found2 >> TRUST_BITS, self.found1 >> TRUST_BITS
+        self.state = (((self.found2 & (TRUST - 1)) << TRUST_BITS) | (self.found1 & (TRUST - 1))).astype(np.int64)
+        width2, width1 = self.share2.take(self.state), self.share1.take(self.state)
+        width1 *= self.guess1 != self.guess2
+        width1 += width2
+        return self.guess2, self.guess1, width2, width1
+
+    def ranges(self, ids: np.ndarray, by2: np.ndarray, by1: np.ndarray, width2: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the range of each id begins and ends."""
+        bits, rest = np.uint64(self.bits), np.uint64(1 << self.total_bits) - both
+        first, last = self.upto.take(ids), self.upto[1:].take(ids)
+        for edge in (first, last):
+            edge *= rest
+            edge >>= bits
+            edge += both
+        np.copyto(first, width2, where=by1)
+        np.copyto(first, np.uint64(0), where=by2)
+        np.copyto(last, both, where=by1)
+        np.copyto(last, width2, where=by2)
+        return first, last
 
     def learn(self, ids: np.ndarray) -> None:
-        right2, right1 = (ids == self.guess2) & (self.trust2 > 0), (ids == self.guess1) & (self.trust1 > 0)
-        kind = np.where(right2, 0, np.where(right1, 1, 2))
-        self.hits += np.bincount(kind * (TRUST * TRUST) + self.state, minlength=3 * TRUST * TRUST).reshape(3, -1)
-        for order, at, guess, trust, right in ((1, self.context, self.guess2, self.trust2, right2), (0, self.before, self.guess1, self.trust1, right1)):
-            kept = right | (trust > 1)
-            self.guess[order][at] = np.where(kept, guess, ids)
-            self.trust[order][at] = np.where(right, np.minimum(trust + 1, TRUST - 1), np.maximum(trust - 1, 1))
-        self.before2, self.before = self.before, ids
+        own = ids.astype(self.kind)
+        right = (own == self.guess2).view(np.uint8) << np.uint8(1)
+        right |= (own == self.guess1).view(np.uint8)
+        right <<= np.uint8(2 * TRUST_BITS)
+        case = self.state + right
+        fresh = (own << TRUST_BITS) | 1
+        for table, at, found, gain, lost in ((self.table2, self.context, self.found2, self.gain2, LOST2),
+                                             (self.table1, self.before, self.found1, self.gain1, LOST1)):
+            found += gain.take(case)
+            np.copyto(found, fresh, where=lost.take(case))
+            table[at] = found
+        small = ids.astype(np.uint32)
+        self.mixed2 = self._of_before(small)
+        self.mixed = small * np.uint32(0x85EBCA77)
+        self.before = ids
         self.recent.append(ids)
+        self.cases.append(case)
         self.step += 1
         if self.step & (self.step - 1) == 0 or self.step % 64 == 0:
             self.counts += np.bincount(np.concatenate(self.recent), minlength=self.size)
-            self.recent = []
+            seen = np.bincount(np.concatenate(self.cases), minlength=4 * TRUST * TRUST).reshape(4, -1)
+            self.hits += np.stack([seen[2] + seen[3], seen[1], seen[0]])
+            self.recent, self.cases = [], []
             if self.hits.max() > 1 << 24:
                 self.hits = self.hits // 2 + 1
             self._rebuild()
 
+    def _of_before(self, ids: np.ndarray) -> np.ndarray:
+        """The share of what is now the id before last in the next context."""
+        last = self.small if self.step else np.zeros(len(ids), np.uint32)
+        self.small = ids
+        return last * np.uint32(0x9E3779B1)
+
 
 def _lanes(n: int) -> tuple[int, int]:
     lanes = max(1, min(LANES, n // LANE_IDS))
@@ -109,76 +166,86 @@ def code(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     grid[:len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = Mixer(size, lanes)
-    total, bits, all_lanes = np.uint64(model.total_bits), model.bits, np.arange(lanes)
+    total = np.uint64(model.total_bits)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    out, filled = np.zeros((lanes, steps + 3), np.uint32), np.zeros(lanes, np.int64)
+    out, begin = np.zeros(lanes * (steps + 3), np.uint32), np.arange(lanes) * (steps + 3)
+    end = begin.copy()      # after the last word of each lane
 
-    def carry(lane: np.ndarray) -> None:
-        at = filled[lane] - 1
-        while len(lane):
-            out[lane, at] += np.uint32(1)
-            on = out[lane, at] == 0
-            lane, at = lane[on], at[on] - 1
+    def carry(at: np.ndarray) -> None:
+        while len(at):
+            out[at] += np.uint32(1)
+            at = at[out[at] == 0] - 1
 
     for step in range(steps):
         now = grid[step]
-        guess2, width2, guess1, width1 = model.predict()
-        by2 = (now == guess2) & (width2 > 0)
-        by1 = (now == guess1) & (width1 > 0) & ~by2
-        rest = (1 << model.total_bits) - width2 - width1
-        first = width2 + width1 + (rest * model.upto[now] >> bits)
-        last = width2 + width1 + (rest * model.upto[now + 1] >> bits)
-        first = np.where(by2, 0, np.where(by1, width2, first)).astype(np.uint64)
-        last = np.where(by2, width2, np.where(by1, width2 + width1, last)).astype(np.uint64)
-        unit = width >> total
-        moved = low + unit * first
-        over = moved < low
+        guess2, guess1, width2, both = model.predict()
+        by2 = now == guess2
+        by2 &= width2 > 0
+        by1 = now == guess1
+        by1 &= both > width2
+        by1 &= ~by2
+        first, last = model.ranges(now, by2, by1, width2, both)
+        width >>= total
+        last -= first
+        first *= width
+        first += low
+        over = first < low
         if over.any():
-            carry(all_lanes[over])
-        low, width = moved, unit * (last - first)
-        small = np.flatnonzero(width >> WORD == 0)
+            carry(end[over] - 1)
+        low = first
+        width *= last
+        small = np.flatnonzero(width < FULL)
         if len(small):
-            out[small, filled[small]] = (low[small] >> WORD).astype(np.uint32)
-            filled[small] += 1
-            low[small] <<= WORD
-            width[small] <<= WORD
+            at, some = end.take(small), low.take(small)
+            out[at] = (some >> WORD).astype(np.uint32)
+            end[small] = at + 1
+            low[small] = some << WORD
+            width[small] = width.take(small) << WORD
         model.learn(now)
     for shift in (32, 0):
-        out[all_lanes, filled] = ((low >> np.uint64(shift)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        filled += 1
-    return out[np.arange(steps + 3) < filled[:, None]], filled
+        out[end] = ((low >> np.uint64(shift)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        end += 1
+    filled = end - begin
+    return out.reshape(lanes, -1)[np.arange(steps + 3) < filled[:, None]], filled
 
 
 def uncode(words: np.ndarray, filled: np.ndarray, n: int, size: int) -> np.ndarray:
-    lanes, steps = _lanes(n)
+    lanes = len(filled)
+    steps = -(-n // lanes)
     at = np.concatenate([[0], np.cumsum(filled)[:-1]]).astype(np.int64)
     words = np.concatenate([words, np.zeros(2, np.uint32)]).astype(np.uint64)
-    model = Mixer(size, lanes)
-    total, bits = np.uint64(model.total_bits), model.bits
+    model = Mixer(size, lanes, decoding=True)
+    total, bits = np.uint64(model.total_bits), np.uint64(model.bits)
+    most, whole = np.uint64((1 << model.total_bits) - 1), np.uint64(1 << model.total_bits)
     value = (words[at] << WORD) | words[at + 1]
     at += 2
     width = np.full(lanes, (1 << 64) - 1, np.uint64)
     grid = np.empty((steps, lanes), np.int64)
     for step in range(steps):
-        guess2, width2, guess1, width1 = model.predict()
-        unit = width >> total
-        place = np.minimum(value // unit, np.uint64((1 << model.total_bits) - 1)).astype(np.int64)
-        by2, by1 = place < width2, (place >= width2) & (place < width2 + width1)
-        rest = (1 << model.total_bits) - width2 - width1
-        inner = np.maximum(place - width2 - width1, 0)
-        plain = model.owner[np.minimum((((inner + 1) << bits) - 1) // rest, (1 << bits) - 1)]
-        now = np.where(by2, guess2, np.where(by1, guess1, plain))
-        first = width2 + width1 + (rest * model.upto[now] >> bits)
-        last = width2 + width1 + (rest * model.upto[now + 1] >> bits)
-        first = np.where(by2, 0, np.where(by1, width2, first)).astype(np.uint64)
-        last = np.where(by2, width2, np.where(by1, width2 + width1, last)).astype(np.uint64)
-        value = value - unit * first
-        width = unit * (last - first)
-        small = np.flatnonzero(width >> WORD == 0)
+        guess2, guess1, width2, both = model.predict()
+        width >>= total
+        place = np.minimum(value // width, most)
+        by2, by1 = place < width2, place < both
+        plain = np.flatnonzero(~by1)
+        by1 &= ~by2
+        now = np.where(by2, guess2, guess1)
+        some = both.take(plain)
+        inner = place.take(plain) - some + ONE
+        inner <<= bits
+        inner -= ONE
+        inner //= whole - some
+        now[plain] = model.owner.take(np.minimum(inner, np.uint64((1 << model.bits) - 1)).astype(np.int64))
+        first, last = model.ranges(now, by2, by1, width2, both)
+        last -= first
+        first *= width
+        value -= first
+        width *= last
+        small = np.flatnonzero(width < FULL)
         if len(small):
-            value[small] = (value[small] << WORD) | words[np.minimum(at[small], len(words) - 1)]
-            width[small] <<= WORD
-            at[small] += 1
+            where = at.take(small)
+            value[small] = (value.take(small) << WORD) | words.take(np.minimum(where, len(words) - 1))
+            width[small] = width.take(small) << WORD
+            at[small] = where + 1
         grid[step] = now
         model.learn(now)
     return grid.T.reshape(-1)[:n]
@@ -209,34 +276,169 @@ def unpack(data: bytes) -> list[tuple[int | None, np.ndarray]]:
     return [(None if no else int(k), part) for k, no, part in zip(keys, none, np.split(ids, np.cumsum(sizes.astype(np.int64))[:-1]))] if n_docs else []
 
 
-class LibraryEncoder(Encoder):
-    """Ids by the tokenizers library. Each distinct part of the texts is given to it once and remembered."""
+class LibraryEncoder:
+    """Ids by the tokenizers library. Each distinct part of the texts is given to it once and remembered by its hash.
+
+    A part ends before a space, tab or line end that follows another character, and between a letter and another
+    ASCII character that is none: no piece of the byte-level pattern crosses there. Texts with other white space, a special
+    token or a part of more than ``LONGEST`` bytes are given to the library whole. Two different parts have one hash with a
+    probability of about 2**-58 (``textops``).
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark runs as many tasks as there are cores
         from tokenizers import Tokenizer
-        super().__init__(Vocabulary(path))
+        vocabulary = Vocabulary(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.spelled = np.array([len(self.vocabulary.bytes.get(i, b"")) for i in range(self.vocabulary.width)])
+        self.special = list(vocabulary.special)
+        self.spelled = np.array([len(vocabulary.bytes.get(i, b"")) for i in range(vocabulary.width)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots = np.zeros(FIRST_SLOTS, np.uint64)       # hash of the part at a place of the table; 0: none
+        self.numbers = np.zeros(FIRST_SLOTS, np.int32)
+        self.ids = np.zeros(0, np.uint32)                   # of all parts, one after the other
+        self.starts = np.zeros(1, np.int64)                 # where each part's begin, and one more at the end
+
+    def _place(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def _numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each part, -1 if it is new."""
+        place = self._place(hashes)
+        there = self.slots.take(place)
+        found = np.where(there == hashes, self.numbers.take(place), -1)
+        left = np.flatnonzero((there != hashes) & (there != 0))
+        place = place[left]
+        while len(left):
+            place = (place + 1) & (len(self.slots) - 1)
+            there, own = self.slots.take(place), hashes.take(left)
+            same = there == own
+            found[left[same]] = self.numbers.take(place[same])
+            on = ~same & (there != 0)
+            left, place = left[on], place[on]
+        return found
+
+    def _insert(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        place, left = self._place(hashes), np.arange(len(hashes))
+        while len(left):
+            at = place[left]
+            free = self.slots[at] == 0
+            self.slots[at[free]] = hashes[left[free]]       # of several for one place the last one has it
+            mine = free & (self.slots[at] == hashes[left])
+            self.numbers[at[mine]] = numbers[left[mine]]
+            left = left[~mine]
+            place[left] = (place[left] + 1) & (len(self.slots) - 1)
+
+    def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> np.ndarray:
+        """The numbers that new parts get."""
+        ids, counts, order = self._encoded(parts)
+        old = len(self.starts) - 1
+        while 2 * (old + len(parts)) > len(self.slots):
+            used = np.flatnonzero(self.slots)
+            kept, numbers = self.slots[used], self.numbers[used]
+            self.slots, self.numbers = np.zeros(2 * len(self.slots), np.uint64), np.zeros(2 * len(self.slots), np.int32)
+            self._insert(kept, numbers)
+        numbers = np.empty(len(parts), np.int32)
+        numbers[order] = np.arange(old, old + len(parts))
+        self._insert(hashes, numbers)
+        self.ids = np.concatenate([self.ids, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        return numbers
+
+    def _encoded(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the parts one after the other, how many each has, and in which order the parts come."""
+        joined = [i for i, p in enumerate(parts) if p[-1] not in BLANKS]
+        alone = [i for i, p in enumerate(parts) if p[-1] in BLANKS]
+        found, counts = [], []
+
+        def one_by_one(some: list[int]) -> None:
+            for e in self.tokenizer.encode_batch_fast([parts[i].decode() for i in some], add_special_tokens=False):
+                found.append(np.array(e.ids, np.uint32))
+                counts.append(np.array([len(found[-1])]))
 
-    def _learn(self, parts: set[str]) -> None:
-        # Parts that begin with one space and end with a character join to a text whose pieces are theirs.
-        joined, alone = [], []
-        for p in parts:
-            (joined if p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() else alone).append(p)
         for at in range(0, len(joined), JOINED):
             some = joined[at:at + JOINED]
-            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, np.uint32)
-            ends = np.cumsum([len(p.encode()) for p in some])
-            cuts = (4 * np.searchsorted(np.cumsum(self.spelled[ids]), ends, side="left") + 4).tolist()
-            packed = ids.astype("<u4").tobytes()
-            self.known.update((p, packed[a:b]) for p, a, b in zip(some, [0, *cuts], cuts))
+            # Behind another character white space begins a piece; a part without any gets a line end, which is a piece of its own.
+            spelled = [p if p[0] in BLANKS else b"\n" + p for p in (parts[i] for i in some)]
+            text = b"".join(spelled).decode()
+            if any(s in text for s in self.special):
+                one_by_one(some)
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            sizes = np.array([len(p) for p in spelled])
+            added = sizes > np.array([len(parts[i]) for i in some])
+            cuts = np.searchsorted(np.cumsum(self.spelled[ids]), np.cumsum(sizes), side="left") + 1
+            begins = np.concatenate([[0], cuts[:-1]])
+            own = np.ones(len(ids), bool)
+            own[begins[added]] = False
+            found.append(ids[own])
+            counts.append(cuts - begins - added)
         for at in range(0, len(alone), JOINED):
-            some = alone[at:at + JOINED]
-            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update((p, array("I", e.ids).tobytes()) for p, e in zip(some, encoded))
+            one_by_one(alone[at:at + JOINED])
+        return np.concatenate(found), np.concatenate(counts), np.array(joined + alone)
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin (one more at the end)."""
+        if len(self.starts) > REMEMBERED:
+            self.forget()
+        raw, at = flat(texts)
+        whole = pc.match_substring_regex(texts, OTHER_BLANKS)
+        for s in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, s))
+        whole = whole.to_numpy(zero_copy_only=False) & (np.diff(at) > 0)
+        kind = KINDS[raw]
+        begins = np.zeros(len(raw) + 1, bool)
+        blank = kind == BLANK
+        begins[1:-1] = blank[1:] & ~blank[:-1]
+        begins[1:-1] |= (kind[1:] == OTHER) & (kind[:-1] == LETTER)
+        del kind, blank
+        begins[at] = True
+        begins[-1] = False
+        first = np.flatnonzero(begins)
+        sizes = np.diff(first, append=len(raw))
+        upto = np.searchsorted(first, at)       # the parts of each text
+        long = np.flatnonzero(sizes > LONGEST)
+        if len(long):
+            whole[np.searchsorted(at, first[long], side="right") - 1] = True
+        odd = np.flatnonzero(whole)
+        for row in odd:
+            begins[at[row] + 1:at[row + 1]] = False
+        if len(odd):
+            first = np.flatnonzero(begins)
+            sizes = np.diff(first, append=len(raw))
+            upto = np.searchsorted(first, at)
+        plain = np.ones(len(first), bool)
+        plain[upto[odd]] = False
+        begin, size = first[plain], sizes[plain]
+        hashes = span_hashes(raw, begin, size)
+        found = self._numbers(hashes)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            distinct, one, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
+            one = new[one]
+            data = raw.tobytes()
+            numbers = self._learn(distinct, [data[a:a + n] for a, n in zip(begin[one].tolist(), size[one].tolist())])
+            found[new] = numbers[inverse]
+        store, starts = self.ids, self.starts
+        begin, end = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+        begin[plain], end[plain] = starts.take(found), starts[1:].take(found)
+        if len(odd):
+            own = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.take(pa.array(odd)).to_pylist(), add_special_tokens=False)]
+            ends = len(store) + np.cumsum([len(x) for x in own])
+            begin[~plain], end[~plain] = np.concatenate([[len(store)], ends[:-1]]), ends
+            store = np.concatenate([store, *own])
+        counts = end - begin
+        behind = np.concatenate([[0], np.cumsum(counts)])
+        take = np.repeat(begin - behind[:-1], counts)
+        take += np.arange(len(take))
+        return store.take(take), behind[upto]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, at = self.encoded(pa.array(texts, pa.string()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(at.tolist(), at[1:].tolist())]
 
 
 _loaded: dict[str, LibraryEncoder] = {}
@@ -257,7 +459,6 @@ def blocks(docs: DataFrame, vocabulary: str, *, end_id: int = 0, id_column: str
     order = [F.asc_nulls_last("key"), "mark"]
     ranged = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(
         *order, "text").select("key", "text")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, number = library(vocabulary), TaskContext.get().partitionId(), 0
@@ -269,10 +470,13 @@ def blocks(docs: DataFrame, vocabulary: str, *, end_id: int = 0, id_column: str
                 {"part": [part], "block": [number], "n_docs": [len(held)], "n_ids": [n], "data": [pack(held)]}, schema=kind)
 
         for batch in batches:
-            for first, texts in slices(text_batch(batch), 6 << 20):
-                for key, ids in zip(batch.column(0).slice(first, len(texts)).to_pylist(), own.encode(texts.to_pylist())):
-                    held.append((key, np.frombuffer(ids + end, "<u4")))
-                    n += len(held[-1][1])
+            for first, texts in slices(text_batch(batch)):
+                ids, at = own.encoded(texts)
+                ids = np.insert(ids, at[1:], end_id)
+                at += np.arange(len(at))
+                for key, a, b in zip(batch.column(0).slice(first, len(texts)).to_pylist(), at.tolist(), at[1:].tolist()):
+                    held.append((key, ids[a:b]))
+                    n += b - a
                     if n >= block_ids:
                         yield block()
                         held, n, number = [], 0, number + 1

@@ -147,3 +147,53 @@ def test_workers_forget_pieces_at_the_end_of_a_task():
     assert ids == bpe.encoder(PATH).encode(["some words of a text", ""])
     list(bpe.encoded_batches(PATH, iter([batch])))
     assert not bpe.encoder(PATH).known
+
+
+def test_library_gets_each_distinct_part_once():
+    """Line ends and signs behind a word make no new part of it, and a part met before is not given to the library again."""
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.given = inner, 0
+
+        def encode(self, text, **more):
+            self.given += len(text)
+            return self.inner.encode(text, **more)
+
+        def encode_batch_fast(self, texts, **more):
+            self.given += sum(map(len, texts))
+            return self.inner.encode_batch_fast(texts, **more)
+
+    own = mixcoder.LibraryEncoder(PATH)
+    own.tokenizer = counted = Counted(own.tokenizer)
+    words, rng = [f"{a}{b}ing" for a in "abcdefghij" for b in ("lor", "tis", "men", "qua")], random.Random(5)
+    texts = ["".join(rng.choice([" ", " ", "\n"]) + rng.choice(words) + rng.choice(["", ".", ",", "!!", "&&&"]) for _ in range(500)) for _ in range(20)]
+    got = [ids for text in texts for ids in own.encode([text])]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in counted.inner.encode_batch(texts, add_special_tokens=False)]
+    assert counted.given < 1500
+
+
+def test_library_encoder_keeps_texts_apart(library, monkeypatch):
+    """Long parts, special tokens (also such that parts would join to), other white space, a table that grows and is let go of."""
+    monkeypatch.setattr(mixcoder, "FIRST_SLOTS", 16)
+    monkeypatch.setattr(mixcoder, "JOINED", 7)
+    rng = random.Random(6)
+    pieces = ["<", "|", "endoftext", "|>", "<|endoftext|>", " ", "  ", "\n", "\t", "\x1c", " ", "　", "'s", "it's", "x" * 1200, "é", "1", "word", "…", ""]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(400)] + ["<|endoftext", "|>", "", *ODD]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    own = mixcoder.LibraryEncoder(PATH)
+    for remembered in (10**6, 0):
+        monkeypatch.setattr(mixcoder, "REMEMBERED", remembered)
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+        assert [np.frombuffer(own.encode([t])[0], "<u4").tolist() for t in texts[:100]] == want[:100]
+    assert own.encode([]) == []
+
+
+def test_blocks_of_fewer_lanes_are_read(monkeypatch):
+    """The number of lanes is read from the block."""
+    ids = np.random.default_rng(2).integers(0, 900, 20000).astype(np.uint32)
+    monkeypatch.setattr(mixcoder, "LANES", 20)
+    data = mixcoder.pack([(4, ids)])
+    monkeypatch.undo()
+    (key, back), = mixcoder.unpack(data)
+    assert key == 4 and (back == ids).all()
